@@ -1,3 +1,4 @@
 """Import every query module so the registry is complete."""
 
 from adflow.plans import ads_queries  # noqa: F401
+from adflow.plans import series_queries  # noqa: F401
