@@ -60,15 +60,15 @@ def grid_from_bounds(bounds: DataFrame, by: Sequence[str] = (), start: str = "st
     one over the points of a chunk, so no row holds more than ``chunk`` values.
     """
     by = list(by)
-    b = bounds.select(*by, F.col(start).alias("__s"), F.col(end).alias("__e")).withColumn(
-        "__step", step_of(F.col("__s"), F.col("__e")))
-    span = F.lit(chunk) * F.col("__step")
-    chunks = b.select(*by, "__s", "__e", "__step", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("__e") - F.col("__s")) / span).cast("long")))
-        .alias("__c"))
-    lo = F.col("__s") + F.col("__c") * span
-    hi = F.least(F.col("__e"), lo + span - F.col("__step"))
-    return chunks.select(*by, F.explode(F.sequence(lo, hi, F.col("__step"))).alias("ts"))
+    b = bounds.select(*by, F.col(start).alias("__gs"), F.col(end).alias("__ge")).withColumn(
+        "__gstep", step_of(F.col("__gs"), F.col("__ge")))
+    span = F.lit(chunk) * F.col("__gstep")
+    chunks = b.select(*by, "__gs", "__ge", "__gstep", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("__ge") - F.col("__gs")) / span).cast("long")))
+        .alias("__gc"))
+    lo = F.col("__gs") + F.col("__gc") * span
+    hi = F.least(F.col("__ge"), lo + span - F.col("__gstep"))
+    return chunks.select(*by, F.explode(F.sequence(lo, hi, F.col("__gstep"))).alias("ts"))
 
 
 def bounds_of(df: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -12,7 +12,8 @@ These map the generic tables onto the data model of the operators:
 * series       <- ``events``: one series per event type, ``ts`` = 1704067200 +
   event_id (10-digit seconds), value null on every 11th event.
 * samples      <- the same rows as metric samples with a ``pod`` label
-  (``pod-`` || user_id % 4); ``bucket`` > 1 groups events into shared seconds.
+  (``pod-`` || user_id % 4) and a ``job`` label (``job-`` || user_id % 3);
+  ``bucket`` > 1 groups events into shared seconds.
 """
 
 from __future__ import annotations
@@ -78,11 +79,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str, bucket: int = 1) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     pod = F.concat(F.lit("pod-"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
+    job = F.concat(F.lit("job-"), F.pmod(F.col("user_id"), F.lit(3)).cast("string"))
     ts = F.lit(SERIES_BASE_S) + (F.col("event_id") if bucket == 1
                                  else F.floor(F.col("event_id") / bucket).cast("long"))
     return ev.select(
         F.col("event_type").alias("metric"),
-        F.create_map(F.lit("pod"), pod, F.lit("namespace"), F.lit("default")).alias("labels"),
+        F.create_map(F.lit("pod"), pod, F.lit("namespace"), F.lit("default"),
+                     F.lit("job"), job).alias("labels"),
         ts.cast("long").alias("ts"),
         F.when(F.pmod(F.col("event_id"), F.lit(11)) == 0, F.lit(None).cast("double"))
         .otherwise(F.col("value")).alias("value"),
