@@ -53,15 +53,19 @@ def grid(spark: SparkSession, start: int, end: int) -> DataFrame:
 
 
 def grid_from_bounds(bounds: DataFrame, by: Sequence[str] = (), start: str = "start",
-                     end: str = "end", chunk: int = GRID_CHUNK) -> DataFrame:
+                     end: str = "end", chunk: int = GRID_CHUNK,
+                     step: int | None = None) -> DataFrame:
     """Grid points of every row of ``bounds`` -> ``(*by, ts)``.
 
     Points are produced in chunks of ``chunk``: one explode over chunk numbers,
     one over the points of a chunk, so no row holds more than ``chunk`` values.
+    ``step`` overrides the timestamp-width rule (e.g. 1 for plain indexes).
     """
     by = list(by)
+    step_col = (F.lit(step).cast("long") if step is not None
+                else step_of(F.col("__gs"), F.col("__ge")))
     b = bounds.select(*by, F.col(start).alias("__gs"), F.col(end).alias("__ge")).withColumn(
-        "__gstep", step_of(F.col("__gs"), F.col("__ge")))
+        "__gstep", step_col)
     span = F.lit(chunk) * F.col("__gstep")
     chunks = b.select(*by, "__gs", "__ge", "__gstep", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("__ge") - F.col("__gs")) / span).cast("long")))

@@ -16,7 +16,11 @@ from adflow.operators.windows import end_ms
 from adflow.plans.registry import query
 from adflow.sources import testdata as td
 from adflow.sources.campaigns import campaign_set, campaigns_for
+from adflow.operators import workload as W
+from adflow.operators.audit import late_audit
+from adflow.session import scratch_dir
 from adflow.sources.events import decode, encode, of_type, project, quarantined
+from adflow.streaming.store import read_latest, upsert_counts
 
 DAY_MS = 86_400_000
 TUMBLE_MS = DAY_MS
@@ -235,3 +239,99 @@ FROM {VIEWS_ENRICHED} v GROUP BY campaign_id, t // {TUMBLE_MS}""")
 def q_message_aggregate(spark, sf):
     return aggregate_message(
         count_views(views(spark, sf), td.campaigns(spark, sf), "tumbling", TUMBLE_MS))
+
+
+# --- late-row audit -----------------------------------------------------------------
+
+AUDIT_WINDOW_MS = 3_600_000
+AUDIT_DELAY_MS = 1_000
+REVERSE_BLOCK = 16  # arrival order: each run of 16 consecutive events arrives reversed
+
+
+@query("late_audit", f"""
+WITH a AS (SELECT CAST(user_id % 4 AS INTEGER) AS "partition",
+                  (event_id // {REVERSE_BLOCK}) * {REVERSE_BLOCK} + {REVERSE_BLOCK - 1} - event_id % {REVERSE_BLOCK} AS "offset",
+                  CAST(user_id AS VARCHAR) AS ad_id, epoch_ms(date_trunc('second', ts)) AS ts FROM events),
+b AS (SELECT *, max(ts) OVER (PARTITION BY "partition" ORDER BY "offset"
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {AUDIT_DELAY_MS} AS watermark FROM a)
+SELECT "partition", "offset", ad_id, ts, (ts // {AUDIT_WINDOW_MS} + 1) * {AUDIT_WINDOW_MS} AS window_end, watermark,
+       coalesce((ts // {AUDIT_WINDOW_MS} + 1) * {AUDIT_WINDOW_MS} <= watermark, false) AS late
+FROM b""")
+def q_late_audit(spark, sf):
+    ev = td.table(spark, sf, "events")
+    eid = F.col("event_id")
+    arrivals = ev.select(
+        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("partition"),
+        (F.floor(eid / REVERSE_BLOCK) * REVERSE_BLOCK + (REVERSE_BLOCK - 1)
+         - F.pmod(eid, F.lit(REVERSE_BLOCK))).cast("long").alias("offset"),
+        F.col("user_id").cast("string").alias("ad_id"),
+        F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("ts"),
+    )
+    return late_audit(arrivals, AUDIT_DELAY_MS, "tumbling", AUDIT_WINDOW_MS, block=1024)
+
+
+# --- workload generator ---------------------------------------------------------------
+
+WORKLOAD_START_MS = 1_700_000_000_000
+CURVE_INTERVAL_S = 3600  # the rate curve: events per hour of the events table
+
+_CURVE_SQL = f"""
+h AS (SELECT CAST(floor(epoch(ts) / {CURVE_INTERVAL_S}) AS BIGINT) AS hr, count(*) AS n FROM events GROUP BY 1),
+r AS (SELECT min(hr) AS lo, max(hr) AS hi FROM h),
+g AS (SELECT unnest(range(lo, hi + 1)) AS hr, lo FROM r),
+curve AS (SELECT g.hr - g.lo AS i, coalesce(h.n, 0) AS value FROM g LEFT JOIN h ON g.hr = h.hr)"""
+
+
+def _mix_sql(i: str, k: str, a: int, b: int, salt: int) -> str:
+    return f"((({i}) % {W.HASH_MODULUS}) * {a} + ({k}) * {b} + {salt}) % {W.HASH_MODULUS}"
+
+
+def workload_inputs(spark, sf):
+    curve = W.events_per_interval(td.table(spark, sf, "events"), "ts", CURVE_INTERVAL_S)
+    ads = campaigns_for(td.table(spark, sf, "customer").select(F.col("c_custkey").alias("ad_num")))
+    return curve, ads
+
+
+@query("workload_expand", f"""
+WITH {_CURVE_SQL},
+ev AS (SELECT i AS second, unnest(range(1, least(value, {W.DEFAULT_LARGEST}) + 1)) AS k FROM curve WHERE value > 0),
+n AS (SELECT count(*) AS n FROM customer),
+ads AS (SELECT c_custkey AS ad_num, substr(sha256('adflow:ad:' || CAST(c_custkey AS VARCHAR)), 1, 16) AS ad_id FROM customer)
+SELECT e.second, e.k, {WORKLOAD_START_MS} + e.second * 1000 AS ts, ads.ad_id,
+       ['view', 'click', 'purchase'][{_mix_sql('e.second', 'e.k', W.HASH_B, W.HASH_A, W.TYPE_SALT)} % 3 + 1] AS et
+FROM ev e CROSS JOIN n JOIN ads ON ads.ad_num = {_mix_sql('e.second', 'e.k', W.HASH_A, W.HASH_B, W.AD_SALT)} % n.n""")
+def q_workload_expand(spark, sf):
+    curve, ads = workload_inputs(spark, sf)
+    out = W.expand_workload(curve, ads, largest=W.DEFAULT_LARGEST, start_ms=WORKLOAD_START_MS)
+    return out.select("second", F.col("k").cast("long").alias("k"), "ts", "ad_id", "et")
+
+
+@query("workload_rate", f"""
+WITH {_CURVE_SQL}
+SELECT i AS second, CAST(least(value, {W.DEFAULT_LARGEST}) AS BIGINT) AS events FROM curve WHERE value > 0""")
+def q_workload_rate(spark, sf):
+    curve, ads = workload_inputs(spark, sf)
+    gen = W.expand_workload(curve, ads, largest=W.DEFAULT_LARGEST, start_ms=WORKLOAD_START_MS)
+    return W.events_per_second(gen)
+
+
+# --- keyed latest-count store ----------------------------------------------------------
+
+@query("campaign_window_store", f"""
+SELECT campaign_id, count(*) AS "count", (t // {TUMBLE_MS} + 1) * {TUMBLE_MS} AS window_end
+FROM {VIEWS_ENRICHED} v GROUP BY 1, 3""")
+def q_campaign_window_store(spark, sf):
+    """Two update batches: the counts of the first half of the time range, then
+    the updated counts of every window the second half touches."""
+    v = views(spark, sf)
+    camps = td.campaigns(spark, sf)
+    mid = v.agg(F.floor((F.min("ts") + F.max("ts")) / 2)).first()[0]
+    path = scratch_dir(spark, "campaign-store")
+    first = v.where(F.col("ts") < mid)
+    upsert_counts(count_views(first, camps, "tumbling", TUMBLE_MS), path, 0)
+    touched = count_views(v.where(F.col("ts") >= mid), camps, "tumbling", TUMBLE_MS).select(
+        "campaign_id", "window_end")
+    updated = count_views(v, camps, "tumbling", TUMBLE_MS).join(
+        touched, on=["campaign_id", "window_end"], how="left_semi")
+    upsert_counts(updated, path, 1)
+    return read_latest(spark, path).select("campaign_id", "count", "window_end")
