@@ -51,10 +51,11 @@ DEFAULT_ROLES = {
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast to the table schema, nulls -> 0, reals rounded to six decimals."""
+    """Cast to the table schema, nulls (and absent columns) -> 0, reals rounded to six decimals."""
     cols = []
     for f in PROFILE_SCHEMA.fields:
-        c = F.col(f.name).cast(f.dataType)
+        src = F.col(f.name) if f.name in df.columns else F.lit(None)
+        c = src.cast(f.dataType)
         if isinstance(f.dataType, T.DoubleType):
             c = F.round(F.coalesce(c, F.lit(0.0)), 6)
         elif isinstance(f.dataType, T.StringType):
