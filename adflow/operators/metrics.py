@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adflow.operators.series import densify, grid_from_bounds
+from adflow.operators.series import densify, grid_from_bounds, step_of
 
 MATRIX_SCHEMA = (
     "status STRING, data STRUCT<resultType: STRING, "
@@ -38,8 +38,9 @@ def to_matrix_docs(samples: DataFrame, span: int = SPAN_POINTS) -> DataFrame:
     labels = F.map_concat(F.create_map(F.lit("__name__"), F.col("metric")), F.col("labels"))
     val = F.coalesce(F.col("value").cast("string"), F.lit("NaN"))
     per_series = samples.groupBy("metric", span_start.alias("span"), labels.alias("m")).agg(
-        F.array_sort(F.collect_list(F.array(F.col("ts").cast("string"), val))).alias("vals"))
-    # string sort of equal-width timestamps is time order
+        F.array_sort(F.collect_list(F.struct(F.col("ts"), val.alias("v")))).alias("__obs"))
+    per_series = per_series.withColumn("vals", F.transform(
+        "__obs", lambda o: F.array(o["ts"].cast("string"), o["v"])))
     docs = per_series.groupBy("metric", "span").agg(
         F.collect_list(F.struct(F.col("m").alias("metric"), F.col("vals").alias("values")))
         .alias("result"))
@@ -148,32 +149,48 @@ def total_by_ts(df: DataFrame, metric: str, bounds: DataFrame | None = None) ->
 
 
 def trailing_max_sum(df: DataFrame, metric: str, by_label: str = "pod", seconds: int = 3600,
-                     left_open: bool = True, block: int = 86_400) -> DataFrame:
+                     left_open: bool = True) -> DataFrame:
     """``sum(max_over_time(metric[seconds]))`` on the job grid (1-second steps).
 
     Per series, the max over the samples in ``(ts - seconds, ts]`` (closed left
-    edge with ``left_open=False``), then the sum over series.  The window runs
-    per ``(series, block of time)``; the last ``seconds`` of each block are copied
-    into the next block so no series is scanned by a single task.
+    edge with ``left_open=False``), then the sum over series.
+
+    A sliding max over a long frame costs O(rows x frame) in a window function.
+    Here the grid is cut into blocks as long as the frame ``L``: the frame of
+    ``ts`` is the tail of the previous block (a suffix max) plus the head of its
+    own block (a prefix max).  Both are running maxima per ``(series, block)``
+    (O(rows), split by block), and the suffix max is fetched by an equi-join on
+    the timestamp shifted by ``L - 1``.
     """
-    reach = seconds - 1 if left_open else seconds
-    if block <= reach:
-        raise ValueError("block must be longer than the window")
+    frame = seconds if left_open else seconds + 1
     sel = F.col("metric") == metric
     per_ts = df.where(sel).groupBy(F.col("labels")[by_label].alias("__s"), "ts").agg(
         F.max(nan_to_null("value")).alias("value"))
     kb = _keys_on_job_grid(df, F.when(sel, F.col("labels")[by_label]))
-    dense = grid_from_bounds(kb, by=["__s"]).join(per_ts, on=["__s", "ts"], how="left")
-    blk = F.floor(F.col("ts") / F.lit(block)).cast("long")
-    own = dense.select("__s", "ts", "value", blk.alias("__blk"), F.lit(False).alias("__halo"))
-    halo = per_ts.where(
-        F.col("value").isNotNull()
-        & ((F.col("ts") + F.lit(reach)) >= (blk + 1) * F.lit(block))
-    ).select("__s", "ts", "value", (blk + 1).alias("__blk"), F.lit(True).alias("__halo"))
-    w = Window.partitionBy("__s", "__blk").orderBy("ts").rangeBetween(-reach, 0)
-    mx = own.unionByName(halo).withColumn("__max", F.max("value").over(w))
-    summed = mx.where(~F.col("__halo")).groupBy("ts").agg(F.sum("__max").alias("value"))
-    return summed.select("ts", "value")
+    # second-resolution grid (checked), padded by one frame before the start so the
+    # shifted suffix lookup always finds its row; the padding is dropped at the end
+    padded = kb.select("__s", "start", "end", (F.col("start") - F.lit(frame - 1)).alias("__ps"),
+                       F.when(step_of(F.col("start"), F.col("end")) == 1, F.col("end"))
+                       .otherwise(F.raise_error(F.lit("metric grid needs 10-digit seconds"))
+                                  .cast("long")).alias("__pe"))
+    dense = grid_from_bounds(padded, by=["__s"], start="__ps", end="__pe", step=1).join(
+        per_ts, on=["__s", "ts"], how="left")
+    first = kb.select("__s", F.col("start").alias("__first"))
+    blk = F.floor(F.col("ts") / F.lit(frame)).cast("long")
+    staged = dense.withColumn("__blk", blk)
+    head = Window.partitionBy("__s", "__blk").orderBy(F.col("ts").asc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy("__s", "__blk").orderBy(F.col("ts").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    runs = staged.select("__s", "ts", F.max("value").over(head).alias("__pre"),
+                         F.max("value").over(tail).alias("__suf"))
+    shifted = runs.select("__s", (F.col("ts") + F.lit(frame - 1)).alias("ts"),
+                          F.col("__suf").alias("__prev_suf"))
+    joined = (runs.select("__s", "ts", "__pre").join(shifted, on=["__s", "ts"], how="left")
+              .join(first, on="__s").where(F.col("ts") >= F.col("__first")))
+    last_of_block = F.pmod(F.col("ts"), F.lit(frame)) == F.lit(frame - 1)
+    mx = F.greatest(F.col("__pre"), F.when(~last_of_block, F.col("__prev_suf")))
+    return joined.groupBy("ts").agg(F.sum(mx).alias("value")).select("ts", "value")
 
 
 def _cond_sum(metric: str, positive: bool = False) -> Column:

@@ -127,7 +127,7 @@ SELECT ts, round(sum(mx), 6) AS value FROM w GROUP BY ts"""
 
 @query("metric_max_over_time", _max_over_time_sql(PS))
 def q_max_over_time(spark, sf):
-    return _r(M.trailing_max_sum(ps(spark, sf), "signup", "pod", seconds=3600, block=7200))
+    return _r(M.trailing_max_sum(ps(spark, sf), "signup", "pod", seconds=3600))
 
 
 DELAY_SQL = _on_grid_sql(BS, f"""

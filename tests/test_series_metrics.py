@@ -175,12 +175,22 @@ def test_delay(spark):
     assert out == {1: 500.0} or out == {0: None, 1: 500.0}
 
 
-def test_trailing_max_blocks(spark):
-    rows = [("r", "p%d" % (i % 2), i * 37 % 900, float(i % 5)) for i in range(200)]
+@pytest.mark.parametrize("left_open", [True, False])
+def test_trailing_max_brute_force(spark, left_open):
+    rows = [("r", "p%d" % (i % 2), i * 37 % 900, float((i * 7) % 11)) for i in range(200)]
+    rows += [("other", "p0", 950, 1.0)]  # widens the job grid
     s = samples(spark, rows)
-    a = pts(M.trailing_max_sum(s, "r", seconds=100, block=86_400))
-    b = pts(M.trailing_max_sum(s, "r", seconds=100, block=150))
-    assert a == b
+    got = dict(pts(M.trailing_max_sum(s, "r", seconds=100, left_open=left_open)))
+    reach = 99 if left_open else 100
+    want = {}
+    for t in range(0, 951):
+        tot = None
+        for pod in ("p0", "p1"):
+            vals = [v for m, p, ts, v in rows if m == "r" and p == pod and t - reach <= ts <= t]
+            if vals:
+                tot = (tot or 0.0) + max(vals)
+        want[t] = tot
+    assert got == want
 
 
 def test_filters_and_usage(spark):
