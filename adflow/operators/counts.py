@@ -62,10 +62,27 @@ def count_joined(views: DataFrame, clicks: DataFrame, campaigns: DataFrame,
     stage is exact.  The campaign of a pair is the campaign of its view's ad,
     so the lookup runs on the per-ad aggregate.  Works on batch and streams.
     """
-    validate_window(kind, size_ms)
     v = views.select("ad_id", "event_time", F.lit(1).alias("__v"), F.lit(0).alias("__c"))
     c = clicks.select("ad_id", "event_time", F.lit(0).alias("__v"), F.lit(1).alias("__c"))
-    u = v.unionByName(c)
+    return _count_tagged(v.unionByName(c), campaigns, kind, size_ms, unknown, broadcast)
+
+
+def count_joined_events(events: DataFrame, campaigns: DataFrame, kind: str, size_ms: int,
+                        view: str = "view", click: str = "click", unknown: str = UNKNOWN,
+                        broadcast: bool | None = None) -> DataFrame:
+    """:func:`count_joined` from one event stream ``(ad_id, et, event_time)``: a
+    single scan filtered to ``et IN (view, click)`` instead of reading the source
+    once per side."""
+    tagged = events.where(F.col("et").isin(view, click)).select(
+        "ad_id", "event_time",
+        (F.col("et") == view).cast("int").alias("__v"),
+        (F.col("et") == click).cast("int").alias("__c"))
+    return _count_tagged(tagged, campaigns, kind, size_ms, unknown, broadcast)
+
+
+def _count_tagged(u: DataFrame, campaigns: DataFrame, kind: str, size_ms: int,
+                  unknown: str, broadcast: bool | None) -> DataFrame:
+    validate_window(kind, size_ms)
     per_ad = u.groupBy("ad_id", window_column(kind, size_ms).alias("window")).agg(
         F.sum("__v").cast("long").alias("__nv"), F.sum("__c").cast("long").alias("__nc"))
     weighted = per_ad.where((F.col("__nv") > 0) & (F.col("__nc") > 0)).select(

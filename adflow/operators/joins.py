@@ -73,47 +73,56 @@ def session_join_grouped(views: DataFrame, clicks: DataFrame, gap_ms: int) -> Da
     return _pair_time(pairs)
 
 
+def _bucket(t: str, gap_ms: int):
+    return F.floor(F.col(t) / F.lit(gap_ms)).cast("long")
+
+
 def session_ids(events: DataFrame, key: str, gap_ms: int, t: str = "ts") -> DataFrame:
     """Per-bucket session ids for batch sessionisation without a per-key sort of all rows.
 
     Time is cut into buckets of ``gap_ms``.  A gap larger than ``gap_ms`` between
     consecutive events of a key can only start at the first event of a bucket,
     so sessions are found on the (key, bucket) aggregate: a bucket starts a
-    session when the previous bucket is empty or ended more than ``gap_ms``
-    before it.  Returns ``(key, __b, __sid)`` where ``__sid`` is the bucket that
-    started the session.  Touching events (exactly ``gap_ms`` apart) merge.
+    session when the previous non-empty bucket is not adjacent or ended more
+    than ``gap_ms`` before it.  Returns ``(key, __b, __sid)`` where ``__sid`` is
+    the bucket that started the session.  Touching events (exactly ``gap_ms``
+    apart) merge.  ``events`` may already carry ``__b``.
     """
-    b = F.floor(F.col(t) / F.lit(gap_ms)).cast("long")
-    buckets = events.groupBy(F.col(key), b.alias("__b")).agg(
-        F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    prev = buckets.select(F.col(key), (F.col("__b") + 1).alias("__b"),
-                          F.col("__hi").alias("__prev_hi"))
-    flagged = buckets.join(prev, on=[key, "__b"], how="left").withColumn(
-        "__start",
-        F.col("__prev_hi").isNull() | ((F.col("__lo") - F.col("__prev_hi")) > gap_ms),
-    )
-    w = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    if "__b" not in events.columns:
+        events = events.withColumn("__b", _bucket(t, gap_ms))
+    buckets = events.groupBy(key, "__b").agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+    # one row per (key, bucket): the windows per key run over buckets, not events
+    order = Window.partitionBy(key).orderBy("__b")
+    start = (F.lag("__b").over(order).isNull()
+             | (F.lag("__b").over(order) != F.col("__b") - 1)
+             | ((F.col("__lo") - F.lag("__hi").over(order)) > gap_ms))
+    flagged = buckets.withColumn("__start", start)
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
     return flagged.select(
-        key, "__b", "__lo", "__hi",
-        F.max(F.when(F.col("__start"), F.col("__b"))).over(w).alias("__sid"),
-    )
+        key, "__b", F.max(F.when(F.col("__start"), F.col("__b"))).over(running).alias("__sid"))
 
 
 def session_join_bucketed(views: DataFrame, clicks: DataFrame, gap_ms: int) -> DataFrame:
-    """Batch session join: sessions from the bucket table, then an equi-join on (ad, session)."""
-    u = _tagged_union(views, clicks)
+    """Batch session join: sessions from the bucket table, then an equi-join on (ad, session).
+
+    Events get their session by an equi-join on ``(ad_id, bucket)`` (a hot ad is
+    spread over its buckets); the session bounds are a window over the pairs,
+    which the pair join has already partitioned by ``(ad_id, session)``.
+    """
+    u = _tagged_union(views, clicks).withColumn("__b", _bucket("ts", gap_ms))
     ids = session_ids(u, "ad_id", gap_ms)
-    bounds = ids.groupBy("ad_id", "__sid").agg(
-        F.min("__lo").alias("__s"), (F.max("__hi") + gap_ms).alias("__e"))
-    bucket_sid = ids.select("ad_id", "__b", "__sid")
-    b = F.floor(F.col("ts") / F.lit(gap_ms)).cast("long").alias("__b")
-    v = views.select("ad_id", "campaign_id", b).join(bucket_sid, ["ad_id", "__b"])
-    c = clicks.select("ad_id", F.col("ts").alias("ts_clicked"), b).join(bucket_sid, ["ad_id", "__b"])
-    pairs = v.select("ad_id", "campaign_id", "__sid").join(
-        c.select("ad_id", "ts_clicked", "__sid"), ["ad_id", "__sid"])
-    out = pairs.join(bounds, ["ad_id", "__sid"]).select(
+    assigned = u.join(ids, ["ad_id", "__b"])
+    v = assigned.where(F.col("is_view")).select("ad_id", "campaign_id", "__sid",
+                                                F.col("ts").alias("__tv"))
+    c = assigned.where(~F.col("is_view")).select("ad_id", "__sid", F.col("ts").alias("ts_clicked"))
+    pairs = v.join(c, ["ad_id", "__sid"])
+    # every event of a session with both sides appears in some pair
+    ses = Window.partitionBy("ad_id", "__sid")
+    lo = F.least(F.min("__tv").over(ses), F.min("ts_clicked").over(ses))
+    hi = F.greatest(F.max("__tv").over(ses), F.max("ts_clicked").over(ses)) + gap_ms
+    out = pairs.select(
         "campaign_id", "ad_id", "ts_clicked",
-        F.struct(F.timestamp_millis("__s").alias("start"),
-                 F.timestamp_millis("__e").alias("end")).alias("window"),
+        F.struct(F.timestamp_millis(lo).alias("start"),
+                 F.timestamp_millis(hi).alias("end")).alias("window"),
     )
     return _pair_time(out, native=False)

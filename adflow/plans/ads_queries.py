@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adflow.functions.messages import aggregate_message, event_message, join_message
-from adflow.operators.counts import count_joined, count_views
+from adflow.operators.counts import count_joined_events, count_views
 from adflow.operators.enrich import enrich
 from adflow.operators.joins import window_join
 from adflow.operators.windows import end_ms
@@ -202,16 +202,14 @@ def q_join_session(spark, sf):
 @query("join_count_tumbling", f"""
 SELECT campaign_id, count(*) AS "count", window_end FROM ({JOIN_TUMBLING_SQL}) p GROUP BY 1, 3""")
 def q_join_count_tumbling(spark, sf):
-    return count_joined(views(spark, sf), clicks(spark, sf), td.campaigns(spark, sf),
-                        "tumbling", TUMBLE_MS)
+    return count_joined_events(td.ad_events(spark, sf), td.campaigns(spark, sf), "tumbling", TUMBLE_MS)
 
 
 @query("join_count_sliding", f"""
 SELECT campaign_id, count(*) AS "count", {_sliding_end('window_end - 1')} AS window_end
 FROM ({JOIN_SLIDING_SQL}) p, range(5) r(i) GROUP BY 1, 3""")
 def q_join_count_sliding(spark, sf):
-    return count_joined(views(spark, sf), clicks(spark, sf), td.campaigns(spark, sf),
-                        "sliding", SLIDE_SIZE_MS)
+    return count_joined_events(td.ad_events(spark, sf), td.campaigns(spark, sf), "sliding", SLIDE_SIZE_MS)
 
 
 @query("join_count_session", f"""
@@ -219,8 +217,7 @@ SELECT campaign_id, count(*) AS "count", max(t2) + {SESSION_GAP_MS} AS window_en
 FROM {_session_sql(f'(SELECT campaign_id, window_end - 1 AS t2 FROM ({JOIN_SESSION_SQL}) p0)', 'campaign_id', 't2', SESSION_GAP_MS)} s
 GROUP BY campaign_id, sid""")
 def q_join_count_session(spark, sf):
-    return count_joined(views(spark, sf), clicks(spark, sf), td.campaigns(spark, sf),
-                        "session", SESSION_GAP_MS)
+    return count_joined_events(td.ad_events(spark, sf), td.campaigns(spark, sf), "session", SESSION_GAP_MS)
 
 
 # --- messages -------------------------------------------------------------------

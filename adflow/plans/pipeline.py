@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from adflow.config import PipelineConfig
 from adflow.functions.messages import aggregate_message, join_message
-from adflow.operators.counts import count_joined, count_views
+from adflow.operators.counts import count_joined_events, count_views
 from adflow.operators.enrich import enrich
 from adflow.operators.joins import window_join
 from adflow.sources.events import of_type, project, with_event_time
@@ -34,7 +34,8 @@ def build(config: PipelineConfig, events: DataFrame, campaigns: DataFrame,
         # the click side needs no campaign: the pair takes the view's campaign
         clicks = project(of_type(ev, "click"))
         if config.apply_aggregate:
-            return count_joined(views, clicks, campaigns, kind, size, broadcast=broadcast)
+            # one read of the source for both sides
+            return count_joined_events(ev, campaigns, kind, size, broadcast=broadcast)
         return window_join(enrich(views, campaigns, broadcast=broadcast), clicks, kind, size)
     if config.apply_aggregate:
         return count_views(views, campaigns, kind, size, broadcast=broadcast)
