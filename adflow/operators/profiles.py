@@ -37,6 +37,7 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("stopTs", T.LongType(), False),
 ])
 PROFILE_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields]
+EXACT = "decimal(38, 12)"
 REAL_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields if isinstance(f.dataType, T.DoubleType)]
 
 # which metric plays which role when profiles are built from samples
@@ -82,18 +83,23 @@ def build_profiles(samples: DataFrame, exp_id: Column, job_id: Column,
     def of(role: str) -> Column:
         return F.when(F.col("metric") == r[role], F.col("value"))
 
+    def exact_avg(role: str) -> Column:
+        # decimal mean (of the values' decimal forms): the six-decimal rounding of a
+        # mean must not depend on the order a float sum happened to run in
+        return F.avg(of(role).cast(EXACT)).cast("double")
+
     bp = of("backpressure")
     g = samples.groupBy(exp_id.alias("expId"), job_id.alias("jobId")).agg(
         F.count_distinct(F.col("labels")["pod"]).alias("scaleOut"),
         F.floor(F.round(F.coalesce(F.sum(of("throughput")), F.lit(0.0)), 6)).alias("workload"),
-        F.avg(of("latency")).alias("avgLat"),
-        F.avg(of("throughput")).alias("avgThr"),
+        exact_avg("latency").alias("avgLat"),
+        exact_avg("throughput").alias("avgThr"),
         F.max(F.when(bp > backpressure_above, 1).otherwise(0)).alias("isBckPres"),
         F.try_divide(F.count(F.when(bp > backpressure_above, 1)), F.count(bp)).alias("perBckPres"),
-        F.avg(of("consumer_lag")).alias("avgConsLag"),
-        F.avg(of("checkpoint_duration")).alias("avgChkDur"),
-        F.avg(of("cpu")).alias("cpuAvg"),
-        F.avg(of("memory")).alias("memAvg"),
+        exact_avg("consumer_lag").alias("avgConsLag"),
+        exact_avg("checkpoint_duration").alias("avgChkDur"),
+        exact_avg("cpu").alias("cpuAvg"),
+        exact_avg("memory").alias("memAvg"),
         F.sum(of("cpu")).alias("cpuTotal"),
         F.sum(of("memory")).alias("memTotal"),
         F.min("ts").alias("startTs"),

@@ -44,7 +44,7 @@ def _sliding_end(t: str, size: int = SLIDE_SIZE_MS) -> str:
 
 def _session_sql(rows: str, key: str, t: str, gap: int, extra: str = "") -> str:
     """Rows of ``rows`` with a session id ``sid`` per ``key`` (touching events merge)."""
-    return f"""(SELECT *, sum(nw) OVER (PARTITION BY {key} ORDER BY {t} ROWS UNBOUNDED PRECEDING) AS sid
+    return f"""(SELECT *, sum(nw) OVER (PARTITION BY {key} ORDER BY {t} RANGE UNBOUNDED PRECEDING) AS sid
   FROM (SELECT *, CASE WHEN {t} - lag({t}) OVER (PARTITION BY {key} ORDER BY {t}) <= {gap}
                    THEN 0 ELSE 1 END AS nw FROM {rows} {extra}) s0)"""
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from adflow.operators import metrics as M
 from adflow.operators.profiles import ProfileStore, build_profiles, profiles_select
-from adflow.plans.registry import query
+from adflow.plans.registry import query, sql_round
 from adflow.session import scratch_dir
 from adflow.sources import testdata as td
 
@@ -45,7 +45,7 @@ def _on_grid_sql(src: str, per_ts_sql: str, digits: int = 6) -> str:
 WITH r AS (SELECT min(ts) AS lo, max(ts) AS hi FROM {src} s0),
 g AS (SELECT unnest(range(lo, hi + 1)) AS ts FROM r),
 a AS ({per_ts_sql})
-SELECT g.ts, round(a.v, {digits}) AS value FROM g LEFT JOIN a ON g.ts = a.ts"""
+SELECT g.ts, {sql_round('a.v', digits)} AS value FROM g LEFT JOIN a ON g.ts = a.ts"""
 
 
 def ps(spark, sf):
@@ -113,7 +113,7 @@ def q_total(spark, sf):
     return _r(M.total_by_ts(df, "click", bounds=M.job_bounds(df)))
 
 
-def _max_over_time_sql(src: str) -> str:
+def _max_over_time_sql(src: str, digits: int = 6) -> str:
     return f"""
 WITH s AS (SELECT * FROM {src} s0 WHERE metric = 'signup'),
 r AS (SELECT min(ts) AS lo, max(ts) AS hi FROM {src} s1),
@@ -122,7 +122,7 @@ g AS (SELECT p.pod, unnest(range(r.lo, r.hi + 1)) AS ts FROM p, r),
 m AS (SELECT pod, ts, max(value) AS v FROM s GROUP BY 1, 2),
 d AS (SELECT g.pod, g.ts, m.v FROM g LEFT JOIN m ON g.pod = m.pod AND g.ts = m.ts),
 w AS (SELECT ts, max(v) OVER (PARTITION BY pod ORDER BY ts RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS mx FROM d)
-SELECT ts, round(sum(mx), 6) AS value FROM w GROUP BY ts"""
+SELECT ts, {sql_round('sum(mx)', digits)} AS value FROM w GROUP BY ts"""
 
 
 @query("metric_max_over_time", _max_over_time_sql(PS))
@@ -157,7 +157,7 @@ def q_state_usage(spark, sf):
 
 
 @query("metric_state_usage_by_pod", f"""
-SELECT namespace, pod, ts, round({_USAGE}), 9) AS value FROM {BS} s GROUP BY namespace, pod, ts""")
+SELECT namespace, pod, ts, {sql_round(_USAGE + ")", 9)} AS value FROM {BS} s GROUP BY namespace, pod, ts""")
 def q_state_usage_by_pod(spark, sf):
     out = M.state_usage(bs(spark, sf), "purchase", "view", "signup", None, by=("namespace", "pod"))
     return out.select("namespace", "pod", "ts", F.round("value", 9).alias("value"))
@@ -196,7 +196,7 @@ def _export_sql() -> str:
         "cpuLoad": _on_grid_sql(BS, f"SELECT ts, sum(value) AS v FROM {BS} s WHERE metric = 'view' GROUP BY ts", 9),
         "memUsed": _on_grid_sql(BS, f"SELECT ts, sum(value) AS v FROM {BS} s WHERE metric = 'click' GROUP BY ts", 9),
         "numWorkers": _on_grid_sql(BS, f"SELECT ts, sum(value) AS v FROM {BS} s WHERE metric = 'error' GROUP BY ts", 9),
-        "numRestarts": _max_over_time_sql(BS).replace("round(sum(mx), 6)", "round(sum(mx), 9)"),
+        "numRestarts": _max_over_time_sql(BS, 9),
         "delay": DELAY_SQL,
         "stateUsage": STATE_SQL,
     }
@@ -218,22 +218,32 @@ def _role(role: str) -> str:
     return f"CASE WHEN metric = '{ROLES[role]}' THEN value END"
 
 
+_BP_SHARE = (f"coalesce(CAST(count(CASE WHEN {_role('backpressure')} > {BACKPRESSURE_ABOVE} THEN 1 END) "
+             f"AS DOUBLE) / nullif(count({_role('backpressure')}), 0), 0.0)")
+
+
+def _r6(agg: str, role: str) -> str:
+    if agg == "avg":  # decimal mean of the values' decimal forms, as the Spark side
+        return sql_round(
+            f"coalesce(avg(CAST(CAST({_role(role)} AS VARCHAR) AS DECIMAL(38, 12))), 0.0)", 6)
+    return sql_round(f"coalesce({agg}({_role(role)}), 0.0)", 6)
+
+
 PROFILE_SQL = f"""
 SELECT CAST((ts - {BASE}) // {EXP_SECONDS} AS INTEGER) AS expId,
        CAST(count(DISTINCT pod) AS INTEGER) AS scaleOut,
        job AS jobId,
        CAST(floor(round(coalesce(sum({_role('throughput')}), 0.0), 6)) AS INTEGER) AS workload,
-       round(coalesce(avg({_role('latency')}), 0.0), 6) AS avgLat,
-       round(coalesce(avg({_role('throughput')}), 0.0), 6) AS avgThr,
+       {_r6('avg', 'latency')} AS avgLat,
+       {_r6('avg', 'throughput')} AS avgThr,
        CAST(max(CASE WHEN {_role('backpressure')} > {BACKPRESSURE_ABOVE} THEN 1 ELSE 0 END) AS INTEGER) AS isBckPres,
-       round(coalesce(CAST(count(CASE WHEN {_role('backpressure')} > {BACKPRESSURE_ABOVE} THEN 1 END) AS DOUBLE)
-                      / nullif(count({_role('backpressure')}), 0), 0.0), 6) AS perBckPres,
-       round(coalesce(avg({_role('consumer_lag')}), 0.0), 6) AS avgConsLag,
-       round(coalesce(avg({_role('checkpoint_duration')}), 0.0), 6) AS avgChkDur,
-       round(coalesce(avg({_role('cpu')}), 0.0), 6) AS cpuAvg,
-       round(coalesce(avg({_role('memory')}), 0.0), 6) AS memAvg,
-       round(coalesce(sum({_role('cpu')}), 0.0), 6) AS cpuTotal,
-       round(coalesce(sum({_role('memory')}), 0.0), 6) AS memTotal,
+       {sql_round(_BP_SHARE, 6)} AS perBckPres,
+       {_r6('avg', 'consumer_lag')} AS avgConsLag,
+       {_r6('avg', 'checkpoint_duration')} AS avgChkDur,
+       {_r6('avg', 'cpu')} AS cpuAvg,
+       {_r6('avg', 'memory')} AS memAvg,
+       {_r6('sum', 'cpu')} AS cpuTotal,
+       {_r6('sum', 'memory')} AS memTotal,
        min(ts) AS startTs, max(ts) AS stopTs
 FROM {BS} s GROUP BY 1, 3"""
 

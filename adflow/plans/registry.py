@@ -21,3 +21,10 @@ def query(name: str, sql: str | None = None):
             ORACLE[name] = sql.strip()
         return fn
     return deco
+
+
+def sql_round(expr: str, digits: int) -> str:
+    """DuckDB rounding that matches Spark's ``round`` (and Java's ``%f``): half-up on
+    the shortest decimal form of the double, not on its binary value."""
+    return (f"(CASE WHEN isnan({expr}) THEN ({expr}) ELSE CAST(round(CAST(CAST(({expr}) AS VARCHAR) "
+            f"AS DECIMAL(38, 20)), {digits}) AS DOUBLE) END)")

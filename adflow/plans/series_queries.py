@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adflow.operators import series as S
-from adflow.plans.registry import query
+from adflow.plans.registry import query, sql_round
 from adflow.session import scratch_dir
 from adflow.sources import testdata as td
 from adflow.sources.series_csv import (read_series_csv, read_series_csv_rows,
@@ -150,8 +150,8 @@ def _stats_sql(strict: bool) -> str:
     mn = "min(value)" if strict else "least(0.0, coalesce(min(value), 0.0))"
     mx = "max(value)" if strict else "greatest(0.0, coalesce(max(value), 0.0))"
     return f"""
-SELECT series_id, round(coalesce(avg(value), 'NaN'::DOUBLE), 6) AS avg, {mn} AS min, {mx} AS max,
-       round(coalesce(sum(value), 0.0), 6) AS sum, count(*) AS size
+SELECT series_id, {sql_round("coalesce(avg(value), 'NaN'::DOUBLE)", 6)} AS avg, {mn} AS min, {mx} AS max,
+       {sql_round("coalesce(sum(value), 0.0)", 6)} AS sum, count(*) AS size
 FROM ({GRID_SQL}) g GROUP BY series_id"""
 
 
