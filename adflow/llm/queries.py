@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from adflow.llm import chat, exact_dedup, mixing, url_filter
+import os
+
+import public_tokenizers
+from adflow.llm import bpe, chat, exact_dedup, mixing, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -10,6 +13,14 @@ def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tokenizer files lie at the same place on every machine; set ADFLOW_BPE_FILE for another one.
+BPE_FILE = os.environ.get("ADFLOW_BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_bpe(spark, sf_dir):
+    return bpe.roundtrip_report(_table(spark, sf_dir, "documents"), BPE_FILE)
+
+
 def op3_chat_format(spark, sf_dir):
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -27,6 +38,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_bpe": op1_bpe,
     "op3_chat_format": op3_chat_format,
     "op6_url_filter": op6_url_filter,
     "op9_mix_sources": op9_mix_sources,
