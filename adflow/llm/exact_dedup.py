@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from adflow.llm.base import Scratch, ascii_lower
 
-FIRST_DIGIT = 64        # bytes read by the first level
+FIRST_DIGIT = 256       # bytes read by the first level
 GROWTH = 4              # each level's digit is so many times wider than the last one's
 WIDEST_DIGIT = 1 << 18  # bytes; from there on the width stays
 
