@@ -53,7 +53,8 @@ def radix_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         digest = F.sha2("rest", 256) if level == 0 else F.col("sha")
         rows = rows.select("gid", digit.alias("digit"), ended.alias("ended"), "id", "uid",
                            digest.alias("sha"), left.alias("rest"))
-        split = rows.join(groups, ["gid", "digit", "ended"], "left")
+        # the same plan at every size: a small table of groups would otherwise be broadcast
+        split = rows.join(groups.hint("merge"), ["gid", "digit", "ended"], "left")
         # The first level numbers the rows while its table is written, so its groups stay open once more.
         done = F.col("size").isNull() | (F.col("ended") if level else F.lit(False))
         uid = F.monotonically_increasing_id() if level == 0 else F.col("uid")
