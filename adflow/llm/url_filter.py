@@ -8,8 +8,8 @@ rules are dealt out by ranges of the key and sorted; one sweep per range keeps
 a stack of the rules whose interval is open, innermost last, and matches each
 url's path against those rules only.
 
-Range limits come from a bounded hash sample of (key, row hash), so a host or
-url that fills a third of the table is cut over several ranges; a rule is
+Range limits come from a bounded sample of (key, hash of the row's number), so a
+host or url that fills a third of the table is cut over several ranges; a rule is
 copied to each range that its interval meets: at most one copy per range and
 level of nesting beyond the rules themselves.  The limits decide where a row is
 handled, never what it gets.
@@ -36,7 +36,7 @@ from adflow.llm.base import UPPER, ascii_lower, partitions
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
          ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-SAMPLED_PER_RANGE = 64
+SAMPLED_PER_RANGE = 64   # rows sampled for the limits, for each range
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -90,11 +90,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"),
-                        F.xxhash64("page_id", "url").alias("salt"))
+                        F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
     urls = urls.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit("/")))
     n = partitions(spark)
+    rows = pages.count()   # from the footers of the files
     sample = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt")
-                    .orderBy(F.xxhash64("salt", "key")).limit(SAMPLED_PER_RANGE * n).collect())
+                    .sample(min(1.0, SAMPLED_PER_RANGE * n / max(rows, 1)), seed=7).collect())
     limits = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
 
     @F.pandas_udf("int")
