@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
+import adflow
 from adflow.session import scratch_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,6 +36,27 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let Spark hand this package to the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_adflow_shipped", False):
+        return
+    root = Path(adflow.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="adflow-code-")) / "adflow.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._adflow_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package wherever the driver found it."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adflow.llm.base import arrow_map
+
 # The pattern by which byte-level BPE splits a text before the merges.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A word starts at every blank before a non-blank, whatever stands before it.
@@ -303,7 +305,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
             texts = batch.column(text_col)
             yield _replaced(batch, keep, ids_col, _lists(own.encode_batch([t or "" for t in texts.to_pylist()])))
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -316,7 +318,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
             texts = [own.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in batch.column(ids_col)]
             yield _replaced(batch, keep, text_col, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def roundtrip_report(docs: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import bpe, chat, exact_dedup, mixing, url_filter
+from adflow.llm import bpe, chat, exact_dedup, langid, mixing, quality, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -21,10 +21,18 @@ def op1_bpe(spark, sf_dir):
     return bpe.roundtrip_report(_table(spark, sf_dir, "documents"), BPE_FILE)
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark, sf_dir):
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES))
 
@@ -39,7 +47,9 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
+    "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
     "op6_url_filter": op6_url_filter,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,

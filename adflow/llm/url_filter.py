@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adflow.llm.base import UPPER, ascii_lower, partitions
+from adflow.llm.base import UPPER, arrow_map, ascii_lower, partitions
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
@@ -114,9 +114,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
                       F.lit(None).cast("string").alias("path"), "rules"))
     dealt = urls.select(span("key", "salt").alias("span"), "key", F.lit(None).cast("string").alias("end"),
                         "page_id", "host", "path", F.lit(None).cast(opened.schema["rules"].dataType).alias("rules"))
-    swept = (dealt.unionByName(opened).repartition(n, "span")
-             .sortWithinPartitions("span", "key", F.col("end").isNull())
-             .mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string"))
+    swept = arrow_map(dealt.unionByName(opened).repartition(n, "span")
+                      .sortWithinPartitions("span", "key", F.col("end").isNull()),
+                      _sweep, "page_id long, host string, path string, rule string, verdict string")
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
