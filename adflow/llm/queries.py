@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import bpe, chat, exact_dedup, langid, mixing, quality, url_filter
+from adflow.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -37,6 +37,10 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op6_url_filter": op6_url_filter,
+    "op7_near_dedup": op7_near_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
