@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, url_filter
+from adflow.llm import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -33,6 +33,10 @@ def op4_quality(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_ann(spark, sf_dir):
+    return ann.ann_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_language_id": op2_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
+    "op5_ann": op5_ann,
     "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op9_mix_sources": op9_mix_sources,
