@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, url_filter
+from adflow.llm import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, passages, quality, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -45,6 +45,10 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return passages.passages_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, QueryFn] = {
     "op5_ann": op5_ann,
     "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
