@@ -2,31 +2,52 @@
 
 ``STAGES`` are ``(name, function)`` pairs; each function takes
 ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
-and read again as the next stage's ``docs``.
+and read again as the next stage's ``docs``.  All but the last return the
+columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adflow.llm import bpe, langid
 from adflow.llm.base import Scratch
 from adflow.llm.exact_dedup import exact_dedup
 from adflow.llm.mixing import mix_sources
+from adflow.llm.near_dedup import near_dedup
+from adflow.llm.queries import BPE_FILE
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text, or no letter in it) go."""
+    model = langid.learn(docs, ~langid.held_out())
+    named = langid.identify(docs, model, lang_col="_lang_found", score_col="_lang_score")
+    return named.where(named["_lang_found"] != langid.UNDETERMINED).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal texts, the one with the largest id stays."""
     return exact_dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the least id stays."""
+    return near_dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at equal shares: documents are repeated or left out by a Poisson draw."""
+    """Sources at equal shares: each document is repeated or left out by its Poisson draw."""
     return mix_sources(docs).select(*docs.columns)
 
 
-STAGES = [("exact_dedup", exact), ("mix_sources", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document that the mix holds."""
+    return bpe.encode(docs.select("doc_id", "source", "text"), BPE_FILE).select("doc_id", "source", "ids")
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mix_sources", mix), ("bpe", tokens)]
 
-#: Two stages are models, which SQL cannot express; tests hold the pipeline against brute force.
+#: Three stages are models or sketches, which SQL cannot express; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
@@ -34,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"{n}-{name}")
     return docs
