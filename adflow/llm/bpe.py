@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 CUT = regex.compile(r" (?=\S)")
 UNSURE = regex.compile(r" (?:\s|\Z)")
 SLICE = 1 << 20        # characters of text that are split into words at a time
-CACHED = 250_000       # encoded words that a worker keeps of late, and as many from before
+CACHED = 200_000       # encoded words that a worker keeps of late, and as many from before
 MEMO = 1_000_000       # seams, and steps of the automaton, that a worker keeps
+BATCH = 1024           # rows that are encoded or decoded at a time
 LEARNT = 50_000        # new words that are put into one trie
 LATIN = "ɏ"       # beyond, Unicode versions differ and the library's pre-tokeniser splits
 
@@ -90,11 +92,12 @@ class Vocabulary:
         self.sizes = list(map(len, self.bytes))
         self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
         self.seams: dict[int, bool] = {}
-        self._automaton()
+        self.step: dict[int, int] = {}   # state * 256 + byte -> state; made when first used
         self.first: dict[str, bytes] = {}   # words at the start of a slice -> ids as int32 bytes
         self.after: dict[str, bytes] = {}   # words after one blank, without it -> the same
         self.before: dict[str, bytes] = {}  # what ``after`` held when it was full
         self._library = None
+        self.flat: np.ndarray | None = None
 
     # -- seams ---------------------------------------------------------------------------------
 
@@ -121,7 +124,6 @@ class Vocabulary:
             whole = self.ids[self.bytes[a] + self.bytes[b]]
             if self.parts[whole] == (a, b):
                 made[whole] = made.get(a, False) and made.get(b, False) and self.stable(a, b, rank)
-        self.step: dict[int, int] = {}            # state * 256 + byte -> state
         self.ending: list[int] = [-1]             # state -> the longest token that ends there
         for token, i in self.ids.items():
             state = 0
@@ -161,38 +163,43 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct words, as int32."""
+        if not self.step:
+            self._automaton()
         step, ending, shorter, seams = self.step, self.ending, self.shorter, self.seams
         size, bytes_of = self.sizes, self.id_bytes
         out: dict[str, bytes] = {}
-        last, states = [-1], [0]   # last token and automaton state at each depth of the path
+        trie = sorted([(w.encode(), w) for w in words])
+        depth = 1 + max((len(w) for w, _ in trie), default=0)
+        last, states = [-1] * depth, [0] * depth   # last token and automaton state at each depth of the path
         before = b""
-        for word, name in sorted([(w.encode(), w) for w in words]):
+        for word, name in trie:
             shared = 0
             for a, b in zip(word, before):  # noqa: B905  the shorter one ends it
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1:], states[shared + 1:]
             state, end = states[shared], shared
             for byte in word[shared:]:
                 end += 1
                 key = state << 8 | byte
-                if key in step:
+                try:
                     state = step[key]
-                else:
+                except KeyError:
                     state = step[key] = self.next_state(state, byte)
                 token = ending[state]
                 start = end - size[token]
                 while start:
                     seam = last[start] << 20 | token
-                    if seam not in seams:
-                        seams[seam] = self.stable(last[start], token)
-                    if seams[seam]:
+                    try:
+                        fits = seams[seam]
+                    except KeyError:
+                        fits = seams[seam] = self.stable(last[start], token)
+                    if fits:
                         break
                     token = shorter[token]
                     start = end - size[token]
-                last.append(token)
-                states.append(state)
+                last[end] = token
+                states[end] = state
             before = word
             token = last[end]
             ids = bytes_of[token]
@@ -211,8 +218,8 @@ class Vocabulary:
     # -- texts ---------------------------------------------------------------------------------
 
     def split_words(self, piece: str) -> list[str]:
-        if max(piece, default="") <= LATIN:
-            return [piece] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else PATTERN.findall(piece)
+        if piece.isascii() or max(piece) <= LATIN:
+            return PATTERN.findall(piece)
         if self._library is None:
             from tokenizers.pre_tokenizers import ByteLevel
             self._library = ByteLevel(add_prefix_space=False)
@@ -234,10 +241,19 @@ class Vocabulary:
                 start = cut.start() if cut else -1
 
     def _learn(self, pieces: set[str], cache: dict[str, bytes], blank: str) -> None:
-        words = [self.split_words(blank + p) for p in pieces]
-        ids = self.encode_words({w for ws in words for w in ws})
-        for p, ws in zip(pieces, words, strict=True):
-            cache[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        whole, split = [], []
+        for p in pieces:
+            if p.isalpha() and (p.isascii() or max(p) <= LATIN):
+                whole.append(p)
+            else:
+                split.append((p, self.split_words(blank + p)))
+        words = {w for _, ws in split for w in ws}
+        words.update([blank + p for p in whole])
+        ids = self.encode_words(words)
+        for p in whole:
+            cache[p] = ids[blank + p]
+        for p, ws in split:
+            cache[p] = b"".join([ids[w] for w in ws])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32; the new words of many texts share a trie."""
@@ -273,6 +289,24 @@ class Vocabulary:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of the ids between each two of ``ends``: one gather of the tokens' bytes."""
+        if self.flat is None:
+            self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+            self.lengths = np.array(self.sizes, dtype=np.int64)
+            self.starts = np.cumsum(self.lengths) - self.lengths
+        sizes = self.lengths[ids]
+        upto = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=upto[1:])
+        place = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], sizes)
+        cuts = upto[ends]
+        texts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(cuts), pa.py_buffer(self.flat[place]))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:   # some ids end inside a character
+            texts = pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        return texts.cast(pa.string())
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -286,6 +320,13 @@ def _lists(values: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
+def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``BATCH`` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH):
+            yield batch.slice(start, BATCH)
+
+
 def _replaced(batch: pa.RecordBatch, keep: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, name])
 
@@ -301,9 +342,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in batches:
-            texts = batch.column(text_col)
-            yield _replaced(batch, keep, ids_col, _lists(own.encode_batch([t or "" for t in texts.to_pylist()])))
+        for batch in _some_rows(batches):
+            ids = own.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
+            yield _replaced(batch, keep, ids_col, _lists(ids))
 
     return arrow_map(df, run, schema)
 
@@ -314,9 +355,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in batches:
-            texts = [own.decode(ids.values.to_pylist() if ids.is_valid else ()) for ids in batch.column(ids_col)]
-            yield _replaced(batch, keep, text_col, pa.array(texts, pa.string()))
+        for batch in _some_rows(batches):
+            lists = batch.column(ids_col)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            yield _replaced(batch, keep, text_col, own.decode_batch(lists.flatten().to_numpy(), ends))
 
     return arrow_map(df, run, schema)
 
