@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adflow.config import validate_window
-from adflow.operators.enrich import UNKNOWN, DEFAULT_MAX_BROADCAST_ROWS, enrich, fits_broadcast
+from adflow.operators.enrich import UNKNOWN, enrich
 from adflow.operators.joins import window_join
+from adflow.operators.sessions import session_counts
 from adflow.operators.windows import end_ms, window_column
 
 COUNT_COLUMNS = ("campaign_id", "count", "window_end")
@@ -19,40 +20,30 @@ COUNT_COLUMNS = ("campaign_id", "count", "window_end")
 
 def count_by_campaign(df: DataFrame, kind: str, size_ms: int,
                       weight: str | None = None) -> DataFrame:
-    """Window count per campaign over ``event_time`` (rows may carry a ``weight``)."""
+    """Window count per campaign over ``event_time`` (rows may carry a ``weight``).
+
+    Batch sessions are counted per ``(campaign, gap-long bucket)`` first, so a
+    campaign with a third of all rows (all misses are one) is spread over its
+    buckets; streams use Spark's session window, which keeps one state row per
+    open session.
+    """
     validate_window(kind, size_ms)
     agg = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    out = df.groupBy(window_column(kind, size_ms).alias("window"), "campaign_id").agg(
-        agg.cast("long").alias("count"))
-    return out.select("campaign_id", "count", end_ms("window").alias("window_end"))
+    if kind == "session" and not df.isStreaming:
+        out = session_counts(df, "campaign_id", size_ms, {"count": agg})
+    else:
+        out = df.groupBy(window_column(kind, size_ms).alias("window"), "campaign_id").agg(agg.alias("count"))
+    return out.select("campaign_id", F.col("count").cast("long").alias("count"), end_ms("window").alias("window_end"))
 
 
 def count_views(views: DataFrame, campaigns: DataFrame, kind: str, size_ms: int,
-                unknown: str = UNKNOWN, broadcast: bool | None = None,
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Views per campaign and window from un-enriched views ``(ad_id, ts, event_time)``.
-
-    With a broadcastable campaign table the lookup is a map-side hash join
-    before the count.  With a large one, views are first counted per
-    ``(ad_id, window)`` so the shuffle join sees one row per ad and window
-    instead of one per event (tumbling and sliding only; sessions depend on
-    the campaign grouping and are counted after the lookup).
-    """
-    if broadcast is None:
-        broadcast = fits_broadcast(campaigns.select("ad_id", "campaign_id"), max_broadcast_rows)
-    if broadcast or kind == "session" or views.isStreaming:
-        enriched = enrich(views, campaigns, unknown, broadcast=broadcast)
-        return count_by_campaign(enriched, kind, size_ms)
-    per_ad = views.groupBy(window_column(kind, size_ms).alias("window"), "ad_id").agg(
-        F.count(F.lit(1)).alias("__n"))
-    enriched = enrich(per_ad, campaigns, unknown, broadcast=False)
-    out = enriched.groupBy("window", "campaign_id").agg(F.sum("__n").cast("long").alias("count"))
-    return out.select("campaign_id", "count", end_ms("window").alias("window_end"))
+                unknown: str = UNKNOWN) -> DataFrame:
+    """Views per campaign and window from un-enriched views ``(ad_id, ts, event_time)``."""
+    return count_by_campaign(enrich(views, campaigns, unknown), kind, size_ms)
 
 
 def count_joined(views: DataFrame, clicks: DataFrame, campaigns: DataFrame,
-                 kind: str, size_ms: int, unknown: str = UNKNOWN,
-                 broadcast: bool | None = None) -> DataFrame:
+                 kind: str, size_ms: int, unknown: str = UNKNOWN) -> DataFrame:
     """Joined view x click pairs per campaign and window, without building the pairs.
 
     The pairs of an ad in a join window number ``views x clicks`` and all carry
@@ -64,12 +55,11 @@ def count_joined(views: DataFrame, clicks: DataFrame, campaigns: DataFrame,
     """
     v = views.select("ad_id", "event_time", F.lit(1).alias("__v"), F.lit(0).alias("__c"))
     c = clicks.select("ad_id", "event_time", F.lit(0).alias("__v"), F.lit(1).alias("__c"))
-    return _count_tagged(v.unionByName(c), campaigns, kind, size_ms, unknown, broadcast)
+    return _count_tagged(v.unionByName(c), campaigns, kind, size_ms, unknown)
 
 
 def count_joined_events(events: DataFrame, campaigns: DataFrame, kind: str, size_ms: int,
-                        view: str = "view", click: str = "click", unknown: str = UNKNOWN,
-                        broadcast: bool | None = None) -> DataFrame:
+                        view: str = "view", click: str = "click", unknown: str = UNKNOWN) -> DataFrame:
     """:func:`count_joined` from one event stream ``(ad_id, et, event_time)``: a
     single scan filtered to ``et IN (view, click)`` instead of reading the source
     once per side."""
@@ -77,26 +67,27 @@ def count_joined_events(events: DataFrame, campaigns: DataFrame, kind: str, size
         "ad_id", "event_time",
         (F.col("et") == view).cast("int").alias("__v"),
         (F.col("et") == click).cast("int").alias("__c"))
-    return _count_tagged(tagged, campaigns, kind, size_ms, unknown, broadcast)
+    return _count_tagged(tagged, campaigns, kind, size_ms, unknown)
 
 
-def _count_tagged(u: DataFrame, campaigns: DataFrame, kind: str, size_ms: int,
-                  unknown: str, broadcast: bool | None) -> DataFrame:
+def _count_tagged(u: DataFrame, campaigns: DataFrame, kind: str, size_ms: int, unknown: str) -> DataFrame:
     validate_window(kind, size_ms)
-    per_ad = u.groupBy("ad_id", window_column(kind, size_ms).alias("window")).agg(
-        F.sum("__v").cast("long").alias("__nv"), F.sum("__c").cast("long").alias("__nc"))
-    weighted = per_ad.where((F.col("__nv") > 0) & (F.col("__nc") > 0)).select(
-        "ad_id",
-        F.window_time("window").alias("event_time"),
-        (F.col("__nv") * F.col("__nc")).alias("__w"),
-    )
-    enriched = enrich(weighted, campaigns, unknown, broadcast=broadcast)
-    return count_by_campaign(enriched, kind, size_ms, weight="__w")
+    views, clicks = F.sum("__v").cast("long"), F.sum("__c").cast("long")
+    if kind == "session" and not u.isStreaming:
+        per_ad = session_counts(u, "ad_id", size_ms, {"__nv": views, "__nc": clicks})
+    else:
+        per_ad = u.groupBy("ad_id", window_column(kind, size_ms).alias("window")).agg(
+            views.alias("__nv"), clicks.alias("__nc"))
+    both = per_ad.where((F.col("__nv") > 0) & (F.col("__nc") > 0))
+    # the pairs' event time is the last instant of their window
+    last = F.window_time("window") if u.isStreaming or kind != "session" else \
+        F.col("window.end") - F.expr("INTERVAL 1 MICROSECOND")
+    weighted = both.select("ad_id", last.alias("event_time"), (F.col("__nv") * F.col("__nc")).alias("__w"))
+    return count_by_campaign(enrich(weighted, campaigns, unknown), kind, size_ms, weight="__w")
 
 
 def count_joined_pairs(views: DataFrame, clicks: DataFrame, campaigns: DataFrame,
-                       kind: str, size_ms: int, unknown: str = UNKNOWN,
-                       broadcast: bool | None = None) -> DataFrame:
+                       kind: str, size_ms: int, unknown: str = UNKNOWN) -> DataFrame:
     """The literal plan: enrich views, build every pair, count pairs (for checks)."""
-    ev = enrich(views, campaigns, unknown, broadcast=broadcast)
+    ev = enrich(views, campaigns, unknown)
     return count_by_campaign(window_join(ev, clicks, kind, size_ms), kind, size_ms)

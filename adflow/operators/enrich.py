@@ -1,8 +1,9 @@
 """Campaign enrichment: ad id -> campaign id, missing -> 'UNKNOWN', one row out per row in.
 
-The campaign table is a dimension.  It is broadcast only after its row count
-has been checked against ``max_broadcast_rows``; a larger table is joined with
-a regular shuffle join (AQE may still turn it into a broadcast at run time).
+One plan for every size and for streams: a left equi-join without hints.  Spark
+broadcasts the campaign table when its size is under the session's threshold
+(by file statistics, or at run time) and splits a hot ad of the probe side
+otherwise.
 """
 
 from __future__ import annotations
@@ -11,17 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
-# ~64 bytes per (ad_id, campaign_id) row -> about 64 MB of broadcast at most.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def fits_broadcast(dim: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows (stops counting past the bound)."""
-    return dim.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(dim: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(dim) if fits_broadcast(dim, max_rows) else dim
 
 
 def assert_unique(dim: DataFrame, key: str = "ad_id") -> None:
@@ -30,24 +20,13 @@ def assert_unique(dim: DataFrame, key: str = "ad_id") -> None:
         raise ValueError(f"campaign table is not unique on {key}: {dup[0][key]!r}")
 
 
-def enrich(
-    df: DataFrame,
-    campaigns: DataFrame,
-    unknown: str = UNKNOWN,
-    broadcast: bool | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def enrich(df: DataFrame, campaigns: DataFrame, unknown: str = UNKNOWN) -> DataFrame:
     """Left-join ``campaign_id`` onto ``df`` by ``ad_id``; output ``campaign_id`` first.
 
-    ``broadcast=None`` checks the dimension size; True/False force the choice.
-    The dimension must be unique on ``ad_id`` (see :func:`assert_unique`).
+    The dimension must be unique on ``ad_id``: :func:`adflow.sources.campaigns.load_campaigns`
+    checks that where it is loaded.
     """
-    dim = campaigns.select("ad_id", "campaign_id")
-    if broadcast is None:
-        dim = checked_broadcast(dim, max_broadcast_rows)
-    elif broadcast:
-        dim = F.broadcast(dim)
-    joined = df.join(dim, on="ad_id", how="left")
+    joined = df.join(campaigns.select("ad_id", "campaign_id"), on="ad_id", how="left")
     rest = [c for c in df.columns if c != "ad_id"]
     return joined.select(
         F.coalesce(F.col("campaign_id"), F.lit(unknown)).alias("campaign_id"),

@@ -12,10 +12,11 @@ the tagged union); a session holding only one side gives nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adflow.config import validate_window
+from adflow.operators.sessions import bucket_of, bucket_sessions, micros, session_struct
 from adflow.operators.windows import window_column
 
 JOIN_COLUMNS = ("campaign_id", "ad_id", "ts_clicked", "window")
@@ -53,10 +54,11 @@ def _tagged_union(views: DataFrame, clicks: DataFrame) -> DataFrame:
 
 
 def session_join_grouped(views: DataFrame, clicks: DataFrame, gap_ms: int) -> DataFrame:
-    """Co-group form (works on streams): one session row per ad, then two explodes.
+    """Stream form: one session row per ad, then two explodes.
 
-    A session's views and clicks are held in one row, so its size is bounded by
-    the session; the batch path (:func:`session_join_bucketed`) avoids that.
+    The views and clicks of an open session are held in one state row, so its
+    size is bounded by what one ad gets without a pause of ``gap_ms``: an ad that
+    never pauses is not for this join (count its pairs, or use a fixed window).
     """
     u = _tagged_union(views, clicks)
     sessions = u.groupBy(
@@ -73,56 +75,17 @@ def session_join_grouped(views: DataFrame, clicks: DataFrame, gap_ms: int) -> Da
     return _pair_time(pairs)
 
 
-def _bucket(t: str, gap_ms: int):
-    return F.floor(F.col(t) / F.lit(gap_ms)).cast("long")
-
-
-def session_ids(events: DataFrame, key: str, gap_ms: int, t: str = "ts") -> DataFrame:
-    """Per-bucket session ids for batch sessionisation without a per-key sort of all rows.
-
-    Time is cut into buckets of ``gap_ms``.  A gap larger than ``gap_ms`` between
-    consecutive events of a key can only start at the first event of a bucket,
-    so sessions are found on the (key, bucket) aggregate: a bucket starts a
-    session when the previous non-empty bucket is not adjacent or ended more
-    than ``gap_ms`` before it.  Returns ``(key, __b, __sid)`` where ``__sid`` is
-    the bucket that started the session.  Touching events (exactly ``gap_ms``
-    apart) merge.  ``events`` may already carry ``__b``.
-    """
-    if "__b" not in events.columns:
-        events = events.withColumn("__b", _bucket(t, gap_ms))
-    buckets = events.groupBy(key, "__b").agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
-    # one row per (key, bucket): the windows per key run over buckets, not events
-    order = Window.partitionBy(key).orderBy("__b")
-    start = (F.lag("__b").over(order).isNull()
-             | (F.lag("__b").over(order) != F.col("__b") - 1)
-             | ((F.col("__lo") - F.lag("__hi").over(order)) > gap_ms))
-    flagged = buckets.withColumn("__start", start)
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.select(
-        key, "__b", F.max(F.when(F.col("__start"), F.col("__b"))).over(running).alias("__sid"))
-
-
 def session_join_bucketed(views: DataFrame, clicks: DataFrame, gap_ms: int) -> DataFrame:
-    """Batch session join: sessions from the bucket table, then an equi-join on (ad, session).
-
-    Events get their session by an equi-join on ``(ad_id, bucket)`` (a hot ad is
-    spread over its buckets); the session bounds are a window over the pairs,
-    which the pair join has already partitioned by ``(ad_id, session)``.
-    """
-    u = _tagged_union(views, clicks).withColumn("__b", _bucket("ts", gap_ms))
-    ids = session_ids(u, "ad_id", gap_ms)
+    """Batch session join over event time: sessions and their bounds come from the
+    ``(ad, bucket)`` table (:mod:`adflow.operators.sessions`) and are carried into an
+    equi-join on ``(ad, session)``, whose hot sessions adaptive execution can split."""
+    gap_us = gap_ms * 1000
+    u = _tagged_union(views, clicks).withColumn("__t", micros())
+    u = u.withColumn("__b", bucket_of(F.col("__t"), gap_us))
+    buckets = u.groupBy("ad_id", "__b").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    ids = bucket_sessions(buckets, "ad_id", gap_us).select("ad_id", "__b", "__sid", "__start", "__end")
     assigned = u.join(ids, ["ad_id", "__b"])
-    v = assigned.where(F.col("is_view")).select("ad_id", "campaign_id", "__sid",
-                                                F.col("ts").alias("__tv"))
+    v = assigned.where(F.col("is_view")).select("ad_id", "campaign_id", "__sid", "__start", "__end")
     c = assigned.where(~F.col("is_view")).select("ad_id", "__sid", F.col("ts").alias("ts_clicked"))
-    pairs = v.join(c, ["ad_id", "__sid"])
-    # every event of a session with both sides appears in some pair
-    ses = Window.partitionBy("ad_id", "__sid")
-    lo = F.least(F.min("__tv").over(ses), F.min("ts_clicked").over(ses))
-    hi = F.greatest(F.max("__tv").over(ses), F.max("ts_clicked").over(ses)) + gap_ms
-    out = pairs.select(
-        "campaign_id", "ad_id", "ts_clicked",
-        F.struct(F.timestamp_millis(lo).alias("start"),
-                 F.timestamp_millis(hi).alias("end")).alias("window"),
-    )
+    out = v.join(c, ["ad_id", "__sid"]).select("campaign_id", "ad_id", "ts_clicked", session_struct().alias("window"))
     return _pair_time(out, native=False)

@@ -1,7 +1,8 @@
 """Workload generation: a per-second rate curve expanded into random ad events.
 
 Row ``i`` of the curve is second ``i`` of the run; that second gets
-``min(value, largest)`` events (none when the value is 0 or negative), each
+``value`` events (none when it is 0 or negative; at most ``largest`` if the caller
+gives one), each
 with a uniformly chosen ad and event type and ``ts = start + i`` seconds.  The
 choices are a deterministic hash of ``(i, k)`` computed on the executors, so a
 rerun (or a retried task) produces the same events.
@@ -12,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adflow.operators.enrich import checked_broadcast
 from adflow.operators.series import grid_from_bounds
 
 # Event types of the generator and the hash constants
@@ -23,7 +23,6 @@ HASH_A = 48_271
 HASH_B = 69_621
 AD_SALT = 12_345
 TYPE_SALT = 54_321
-DEFAULT_LARGEST = 100_000
 
 
 def _mix(i: Column, k: Column, a: int, b: int, salt: int) -> Column:
@@ -55,15 +54,15 @@ def events_per_interval(events: DataFrame, ts: str, interval_s: int) -> DataFram
         F.coalesce(F.col("value"), F.lit(0)).alias("value"))
 
 
-def expand_workload(curve: DataFrame, ads: DataFrame, largest: int = DEFAULT_LARGEST,
+def expand_workload(curve: DataFrame, ads: DataFrame, largest: int | None = None,
                     start_ms: int = 0, n_ads: int | None = None) -> DataFrame:
     """Curve ``(i, value)`` + ads ``(ad_num 0..n-1, ad_id)`` -> events
-    ``(second, k, ts, ad_id, et)``."""
+    ``(second, k, ts, ad_id, et)``.  An ad number without an ad is an error."""
     if n_ads is None:
         n_ads = ads.count()
     if n_ads <= 0:
         raise ValueError("no ads to choose from")
-    n = F.least(F.col("value"), F.lit(largest))
+    n = F.col("value") if largest is None else F.least(F.col("value"), F.lit(largest))
     per_second = curve.where(n > 0).select(
         F.col("i").cast("long").alias("second"),
         F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("k"))
@@ -73,8 +72,10 @@ def expand_workload(curve: DataFrame, ads: DataFrame, largest: int = DEFAULT_LAR
         ad_choice(F.col("second"), F.col("k"), n_ads).alias("ad_num"),
         type_choice(F.col("second"), F.col("k")).alias("et"),
     )
-    dim = checked_broadcast(ads.select(F.col("ad_num").cast("long"), "ad_id"))
-    return chosen.join(dim, on="ad_num", how="inner").select("second", "k", "ts", "ad_id", "et")
+    dim = ads.select(F.col("ad_num").cast("long"), "ad_id")
+    ad = F.when(F.col("ad_id").isNull(), F.raise_error(F.format_string("no ad numbered %d", F.col("ad_num")))
+                .cast("string")).otherwise(F.col("ad_id"))
+    return chosen.join(dim, on="ad_num", how="left").select("second", "k", "ts", ad.alias("ad_id"), "et")
 
 
 def events_per_second(generated: DataFrame) -> DataFrame:

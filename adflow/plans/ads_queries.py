@@ -28,10 +28,10 @@ SLIDE_SIZE_MS = 5 * DAY_MS  # slide = size / 5 = 1 day
 SESSION_GAP_MS = 2 * 3_600_000
 
 # --- DuckDB building blocks (same mapping as adflow.sources.testdata) --------
-AE = ("(SELECT CAST(user_id AS VARCHAR) AS ad_id, epoch_ms(date_trunc('second', ts)) AS t, "
+AE = ("(SELECT CASE WHEN user_id % 7 = 3 THEN 'x' ELSE '' END || CAST(user_id AS VARCHAR) AS ad_id, epoch_ms(date_trunc('second', ts)) AS t, "
       "event_type AS et FROM events)")
 CAMP = ("(SELECT CAST(c_custkey AS VARCHAR) AS ad_id, "
-        "'c' || CAST(c_custkey // 10 AS VARCHAR) AS campaign_id FROM customer WHERE c_acctbal >= 0)")
+        "'c' || CAST(c_custkey // 10 AS VARCHAR) AS campaign_id FROM customer)")
 VIEWS_ENRICHED = (f"(SELECT coalesce(c.campaign_id, 'UNKNOWN') AS campaign_id, e.ad_id, e.t "
                   f"FROM {AE} e LEFT JOIN {CAMP} c ON e.ad_id = c.ad_id WHERE e.et = 'view')")
 CLICKS = f"(SELECT ad_id, t FROM {AE} WHERE et = 'click')"
@@ -73,7 +73,10 @@ def q_decode(spark, sf):
 
 
 @query("decode_quarantine", """
-SELECT CAST(user_id AS VARCHAR) AS key, props AS value, CAST(user_id % 4 AS INTEGER) AS "partition",
+SELECT CAST(user_id AS VARCHAR) AS key,
+       CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"ts":1700000000000,"id":"a","et":"view"}'
+            WHEN 2 THEN '{"ts":" 1700000000000","id":"a","et":"view"}' ELSE '{"ts":"1700000000000","id":7,"et":"view"}' END AS value,
+       CAST(user_id % 4 AS INTEGER) AS "partition",
        event_id AS "offset" FROM events WHERE event_type = 'error'""")
 def q_quarantine(spark, sf):
     return quarantined(td.wire_events(spark, sf)).select("key", "value", "partition", "offset")
@@ -291,7 +294,7 @@ def workload_inputs(spark, sf):
 
 @query("workload_expand", f"""
 WITH {_CURVE_SQL},
-ev AS (SELECT i AS second, unnest(range(1, least(value, {W.DEFAULT_LARGEST}) + 1)) AS k FROM curve WHERE value > 0),
+ev AS (SELECT i AS second, unnest(range(1, value + 1)) AS k FROM curve WHERE value > 0),
 n AS (SELECT count(*) AS n FROM customer),
 ads AS (SELECT c_custkey AS ad_num, substr(sha256('adflow:ad:' || CAST(c_custkey AS VARCHAR)), 1, 16) AS ad_id FROM customer)
 SELECT e.second, e.k, {WORKLOAD_START_MS} + e.second * 1000 AS ts, ads.ad_id,
@@ -299,16 +302,16 @@ SELECT e.second, e.k, {WORKLOAD_START_MS} + e.second * 1000 AS ts, ads.ad_id,
 FROM ev e CROSS JOIN n JOIN ads ON ads.ad_num = {_mix_sql('e.second', 'e.k', W.HASH_A, W.HASH_B, W.AD_SALT)} % n.n""")
 def q_workload_expand(spark, sf):
     curve, ads = workload_inputs(spark, sf)
-    out = W.expand_workload(curve, ads, largest=W.DEFAULT_LARGEST, start_ms=WORKLOAD_START_MS)
+    out = W.expand_workload(curve, ads, start_ms=WORKLOAD_START_MS)
     return out.select("second", F.col("k").cast("long").alias("k"), "ts", "ad_id", "et")
 
 
 @query("workload_rate", f"""
 WITH {_CURVE_SQL}
-SELECT i AS second, CAST(least(value, {W.DEFAULT_LARGEST}) AS BIGINT) AS events FROM curve WHERE value > 0""")
+SELECT i AS second, CAST(value AS BIGINT) AS events FROM curve WHERE value > 0""")
 def q_workload_rate(spark, sf):
     curve, ads = workload_inputs(spark, sf)
-    gen = W.expand_workload(curve, ads, largest=W.DEFAULT_LARGEST, start_ms=WORKLOAD_START_MS)
+    gen = W.expand_workload(curve, ads, start_ms=WORKLOAD_START_MS)
     return W.events_per_second(gen)
 
 
@@ -322,7 +325,7 @@ def q_campaign_window_store(spark, sf):
     the updated counts of every window the second half touches."""
     v = views(spark, sf)
     camps = td.campaigns(spark, sf)
-    mid = v.agg(F.floor((F.min("ts") + F.max("ts")) / 2)).first()[0]
+    mid = v.agg(F.floor((F.min("ts") + F.max("ts")) / 2)).scalar()
     path = scratch_dir(spark, "campaign-store")
     first = v.where(F.col("ts") < mid)
     upsert_counts(count_views(first, camps, "tumbling", TUMBLE_MS), path, 0)

@@ -24,8 +24,7 @@ def prepare(events: DataFrame, config: PipelineConfig) -> DataFrame:
     return with_event_time(events, delay_ms=delay)
 
 
-def build(config: PipelineConfig, events: DataFrame, campaigns: DataFrame,
-          broadcast: bool | None = None) -> DataFrame:
+def build(config: PipelineConfig, events: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Result rows of the configured mode (before message formatting)."""
     ev = prepare(events, config)
     views = project(of_type(ev, "view"))
@@ -35,23 +34,22 @@ def build(config: PipelineConfig, events: DataFrame, campaigns: DataFrame,
         clicks = project(of_type(ev, "click"))
         if config.apply_aggregate:
             # one read of the source for both sides
-            return count_joined_events(ev, campaigns, kind, size, broadcast=broadcast)
-        return window_join(enrich(views, campaigns, broadcast=broadcast), clicks, kind, size)
+            return count_joined_events(ev, campaigns, kind, size)
+        return window_join(enrich(views, campaigns), clicks, kind, size)
     if config.apply_aggregate:
-        return count_views(views, campaigns, kind, size, broadcast=broadcast)
-    return enrich(views, campaigns, broadcast=broadcast)
+        return count_views(views, campaigns, kind, size)
+    return enrich(views, campaigns)
 
 
 def has_sink(config: PipelineConfig) -> bool:
     return config.apply_join or config.apply_aggregate
 
 
-def messages(config: PipelineConfig, events: DataFrame, campaigns: DataFrame,
-             broadcast: bool | None = None) -> DataFrame:
+def messages(config: PipelineConfig, events: DataFrame, campaigns: DataFrame) -> DataFrame:
     """The sink payload ``value`` of the configured mode."""
     if not has_sink(config):
         raise ValueError("neither join nor aggregate is applied: the job has no sink")
-    out = build(config, events, campaigns, broadcast=broadcast)
+    out = build(config, events, campaigns)
     if config.apply_aggregate:
         return aggregate_message(out)
     return join_message(out)

@@ -1,8 +1,9 @@
 """SparkSession defaults and the shared scratch folder.
 
 On a cluster the shared folder comes from ``spark.checkpoint.dir`` (or the
-SparkContext checkpoint dir).  Only when neither is set -- local runs and
-tests -- do we create one of our own.
+SparkContext checkpoint dir).  Where neither is set, a local master (tests)
+gets a folder of its own; any other master is an error, as executors would
+write to disks that no one else sees.
 """
 
 from __future__ import annotations
@@ -50,13 +51,15 @@ def get_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder, creating one only if unset under a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="adflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adflow.operators.enrich import assert_unique
+
 DEFAULT_SEED = "adflow"
 N_CAMPAIGNS = 100
 ADS_PER_CAMPAIGN = 10
@@ -42,6 +44,13 @@ def campaign_set(dim: DataFrame) -> DataFrame:
     return dim.select("campaign_id").distinct()
 
 
+def load_campaigns(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table ``(ad_id, campaign_id)``; an ad that is in it twice is an error."""
+    dim = spark.read.schema("ad_id string, campaign_id string").parquet(path)
+    assert_unique(dim)
+    return dim
+
+
 def save_campaigns(dim: DataFrame, path: str) -> None:
     """Replace the stored table (the store is emptied first, as in the reference)."""
     dim.select("ad_id", "campaign_id").write.mode("overwrite").parquet(path)

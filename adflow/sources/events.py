@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AD_EVENT_JSON_SCHEMA = "ts STRING, id STRING, et STRING"
 WIRE_COLUMNS = ("key", "value", "timestamp", "partition", "offset")
 
 
@@ -46,57 +45,58 @@ def read_events(
     return reader.load(path) if path is not None else reader.load()
 
 
-def _parsed(df: DataFrame) -> tuple[Column, Column]:
-    p = F.from_json(F.col("value").cast("string"), AD_EVENT_JSON_SCHEMA,
-                    {"mode": "PERMISSIVE"})
-    ts_long = F.expr("try_cast(__p.ts AS BIGINT)")
-    bad = (
-        F.col("__p").isNull()
-        | F.col("__p.id").isNull()
-        | F.col("__p.et").isNull()
-        | ts_long.isNull()
-    )
-    return p, bad
+def _string_field(name: str) -> Column:
+    """The JSON string at ``name`` of the variant ``__doc``; null when it is missing or of another kind."""
+    path = f"$.{name}"
+    kind = F.schema_of_variant(F.try_variant_get("__doc", path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get("__doc", path, "string"))
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """``df`` plus ``__event`` ``(ts, id, et)``, null when the record is malformed.
+
+    All three fields must be JSON strings and ``ts`` a whole number in decimal
+    digits (an optional sign, no blanks) that fits a long.
+    """
+    doc = df.withColumn("__doc", F.try_parse_json(F.col("value").cast("string")))
+    text = doc.select("*", _string_field("ts").alias("__ts"), _string_field("id").alias("__id"),
+                      _string_field("et").alias("__et"))
+    ts = F.when(F.col("__ts").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(__ts AS BIGINT)"))
+    event = F.struct(ts.alias("ts"), F.col("__id").alias("id"), F.col("__et").alias("et"))
+    whole = ts.isNotNull() & F.col("__id").isNotNull() & F.col("__et").isNotNull()
+    return text.select(*df.columns, F.when(whole, event).alias("__event"))
 
 
 def decode(df: DataFrame, mode: str = "failfast") -> DataFrame:
     """JSON value -> ``(ad_id, ts, et, event_time)``.
 
-    ``failfast`` (the reference behaviour): any malformed record fails the job.
+    ``failfast``: any malformed record fails the job, whichever columns are read
+    later.  The check is a row predicate and also stands before every output
+    column, so neither column pruning nor the order of filters can skip it.
     ``permissive``: malformed records are dropped here and returned by
     :func:`quarantined`.
     Event time is the record ``timestamp`` when present, else ``ts``.
     """
     if mode not in ("failfast", "permissive"):
         raise ValueError("mode must be 'failfast' or 'permissive'")
-    p, bad = _parsed(df)
-    staged = df.withColumn("__p", p)
-    ts_long = F.expr("try_cast(__p.ts AS BIGINT)")
+    staged = _parsed(df)
+    event = F.col("__event")
     if mode == "failfast":
-        ts_col = F.when(
-            bad, F.raise_error(F.concat(F.lit("malformed ad event: "),
-                                        F.coalesce(F.col("value").cast("string"), F.lit("null"))))
-        ).otherwise(ts_long)
+        stop = F.raise_error(F.concat(F.lit("malformed ad event: "), F.coalesce(F.col("value").cast("string"), F.lit("null"))))
+        staged = staged.where(F.when(event.isNull(), stop.cast("boolean")).otherwise(F.lit(True)))
+        event = F.when(event.isNull(), stop.cast("struct<ts:bigint,id:string,et:string>")).otherwise(event)
     else:
-        staged = staged.where(~bad)
-        ts_col = ts_long
+        staged = staged.where(event.isNotNull())
     has_record_time = "timestamp" in df.columns
-    out = staged.select(
-        F.col("__p.id").alias("ad_id"),
-        ts_col.cast("long").alias("ts"),
-        F.col("__p.et").alias("et"),
-        *([F.col("timestamp").cast("timestamp").alias("__rt")] if has_record_time else []),
-    )
-    event_time = F.col("__rt") if has_record_time else F.timestamp_millis(F.col("ts"))
-    out = out.withColumn("event_time", event_time)
-    return out.drop("__rt") if has_record_time else out
+    event_time = F.col("timestamp").cast("timestamp") if has_record_time else F.timestamp_millis(event["ts"])
+    return staged.select(event["id"].alias("ad_id"), event["ts"].alias("ts"), event["et"].alias("et"),
+                         event_time.alias("event_time"))
 
 
 def quarantined(df: DataFrame) -> DataFrame:
     """The records :func:`decode` cannot turn into an ad event (wire columns kept)."""
-    p, bad = _parsed(df)
     keep = [c for c in WIRE_COLUMNS if c in df.columns]
-    return df.withColumn("__p", p).where(bad).select(*keep)
+    return _parsed(df).where(F.col("__event").isNull()).select(*keep)
 
 
 def encode(df: DataFrame) -> DataFrame:

@@ -2,23 +2,23 @@
 
 These map the generic tables onto the data model of the operators:
 
-* ad events    <- ``events``: ad id = user id, type = event_type, event time =
-  ``ts`` truncated to whole seconds (as the generator does), ``ts`` = its epoch ms.
+* ad events    <- ``events``: ad id = user id (``'x' || user_id`` where user_id % 7 = 3:
+  ads that no customer has), type = event_type, event time = ``ts`` truncated to whole seconds (as the generator does), ``ts`` = its epoch ms.
 * wire events  <- the ad events through the encoder, Kafka-shaped; ``error``
-  events carry their ``props`` text instead of an ad event (malformed records).
+  events are malformed, in turn: their ``props`` text, a number for ``ts``, a
+  blank before it, a number for ``id``.
 * campaigns    <- ``customer``: ad id = c_custkey, 10 ads per campaign
-  (``'c' || c_custkey div 10``); customers with a negative balance have no
-  campaign, so lookups miss and give ``UNKNOWN``.
+  (``'c' || c_custkey div 10``); the ads that no customer has give ``UNKNOWN``.
 * series       <- ``events``: one series per event type, ``ts`` = 1704067200 +
-  event_id (10-digit seconds), value null on every 11th event.
-* samples      <- the same rows as metric samples with a ``pod`` label
-  (``pod-`` || user_id % 4) and a ``job`` label (``job-`` || user_id % 3);
-  ``bucket`` > 1 groups events into shared seconds.
+  event_id (10-digit seconds).
+* samples      <- the same rows as metric samples with the labels ``pod``
+  (``pod-`` || user_id % 4), ``job`` (``job-`` || user_id % 3) and ``operator_name``
+  (``op-`` || event_id % 3); ``bucket`` > 1 groups events into shared seconds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SERIES_BASE_S = 1_704_067_200
@@ -28,11 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ad_id() -> Column:
+    user = F.col("user_id").cast("string")
+    return F.when(F.pmod(F.col("user_id"), F.lit(7)) == 3, F.concat(F.lit("x"), user)).otherwise(user)
+
+
 def ad_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     event_time = F.date_trunc("second", F.col("ts").cast("timestamp"))
     return ev.select(
-        F.col("user_id").cast("string").alias("ad_id"),
+        ad_id().alias("ad_id"),
         F.unix_millis(event_time).alias("ts"),
         F.col("event_type").alias("et"),
         event_time.alias("event_time"),
@@ -44,10 +49,15 @@ def wire_events(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFr
     event_time = F.date_trunc("second", F.col("ts").cast("timestamp"))
     good = F.to_json(F.struct(
         F.unix_millis(event_time).cast("string").alias("ts"),
-        F.col("user_id").cast("string").alias("id"),
+        ad_id().alias("id"),
         F.col("event_type").alias("et"),
     ))
-    value = F.when(F.col("event_type") == "error", F.col("props")).otherwise(good) if faulty else good
+    turn = F.pmod(F.col("event_id"), F.lit(4))
+    bad = (F.when(turn == 0, F.col("props"))
+           .when(turn == 1, F.lit('{"ts":1700000000000,"id":"a","et":"view"}'))
+           .when(turn == 2, F.lit('{"ts":" 1700000000000","id":"a","et":"view"}'))
+           .otherwise(F.lit('{"ts":"1700000000000","id":7,"et":"view"}')))
+    value = F.when(F.col("event_type") == "error", bad).otherwise(good) if faulty else good
     return ev.select(
         F.col("user_id").cast("string").alias("key"),
         value.alias("value"),
@@ -59,7 +69,7 @@ def wire_events(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFr
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = table(spark, sf_dir, "customer")
-    return cu.where(F.col("c_acctbal") >= 0).select(
+    return cu.select(
         F.col("c_custkey").cast("string").alias("ad_id"),
         F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 10).cast("long").cast("string"))
         .alias("campaign_id"),
@@ -71,8 +81,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_type").alias("series_id"),
         (F.lit(SERIES_BASE_S) + F.col("event_id")).alias("ts"),
-        F.when(F.pmod(F.col("event_id"), F.lit(11)) == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("value")).alias("value"),
+        "value",
     )
 
 
@@ -80,13 +89,13 @@ def samples(spark: SparkSession, sf_dir: str, bucket: int = 1) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     pod = F.concat(F.lit("pod-"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
     job = F.concat(F.lit("job-"), F.pmod(F.col("user_id"), F.lit(3)).cast("string"))
+    operator = F.concat(F.lit("op-"), F.pmod(F.col("event_id"), F.lit(3)).cast("string"))
     ts = F.lit(SERIES_BASE_S) + (F.col("event_id") if bucket == 1
                                  else F.floor(F.col("event_id") / bucket).cast("long"))
     return ev.select(
         F.col("event_type").alias("metric"),
         F.create_map(F.lit("pod"), pod, F.lit("namespace"), F.lit("default"),
-                     F.lit("job"), job).alias("labels"),
+                     F.lit("job"), job, F.lit("operator_name"), operator).alias("labels"),
         ts.cast("long").alias("ts"),
-        F.when(F.pmod(F.col("event_id"), F.lit(11)) == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("value")).alias("value"),
+        "value",
     )

@@ -14,7 +14,7 @@ from adflow.operators.workload import expand_workload, events_per_second
 from adflow.plans.pipeline import build, messages
 from adflow.sources.campaigns import build_campaigns, campaign_set
 from adflow.sources.events import decode, encode, quarantined, with_event_time
-from tests.conftest import T0_MS, ms
+from tests.conftest import T0, T0_MS, ms
 
 
 def events(spark, rows):
@@ -37,20 +37,39 @@ def test_decode_good_and_extra_field(spark):
     assert (row.ad_id, row.ts, row.et) == ("a1", 1700000000000, "view")
 
 
-BAD = ["bad", "", '{"ts":"x","id":"a","et":"view"}', '{"ts":"1","id":"a"}']
+GOOD = '{"ts":"1700000000000","id":"a1","et":"view"}'
+BAD = ["bad", "", None, '{"ts":"x","id":"a","et":"view"}', '{"ts":"1","id":"a"}', '{"ts":1700000000000,"id":"a","et":"view"}',
+       '{"ts":" 17","id":"a","et":"view"}', '{"ts":"17","id":7,"et":"view"}', '{"ts":"17","id":{"a":1},"et":"view"}',
+       '{"ts":"17","id":null,"et":"click"}', '{"ts":"99999999999999999999","id":"a","et":"view"}', "[1]"]
 
 
-def test_decode_failfast_raises(spark):
+def test_decode_failfast_raises_whatever_is_read(spark):
     for v in BAD:
-        wire = spark.createDataFrame([(v,)], "value string")
-        with pytest.raises(Exception):
-            decode(wire).collect()
+        df = decode(spark.createDataFrame([(GOOD,), (v,)], "value string"))
+        for read in (df.select("ad_id"), df.where("et = 'purchase'"), df.where("et = 'view'").select("event_time"),
+                     df.groupBy("et").count()):
+            with pytest.raises(Exception, match="malformed"):
+                read.collect()
+        with pytest.raises(Exception, match="malformed"):
+            df.count()
+
+
+@pytest.mark.parametrize("join,aggregate", [(False, True), (True, False), (True, True)])
+def test_job_fails_on_a_malformed_record(spark, join, aggregate):
+    from adflow.streaming.runner import job_messages
+    cfg = PipelineConfig(apply_join=join, apply_aggregate=aggregate)
+    c = camps(spark, [("a1", "c1")])
+    for v in BAD:
+        wire = spark.createDataFrame([(GOOD, T0), (v, T0 + 1)], "value string, t long").select(
+            "value", F.timestamp_seconds("t").alias("timestamp"))
+        with pytest.raises(Exception, match="malformed"):
+            job_messages(cfg, wire, c).collect()
+        assert job_messages(cfg, wire, c, decode_mode="permissive").count() == (0 if join else 1)
 
 
 def test_decode_quarantine(spark):
-    good = '{"ts":"1700000000000","id":"a1","et":"view"}'
-    wire = spark.createDataFrame([(v,) for v in BAD + [good]], "value string")
-    assert quarantined(wire).count() == 4
+    wire = spark.createDataFrame([(v,) for v in BAD + [GOOD]], "value string")
+    assert sorted(str(r.value) for r in quarantined(wire.withColumn("key", F.lit("k"))).collect()) == sorted(map(str, BAD))
     assert decode(wire, mode="permissive").count() == 1
 
 
@@ -66,8 +85,8 @@ def test_encode_roundtrip(spark):
 def test_enrich_unknown(spark):
     ev = events(spark, [("a1", 0, "view"), ("a2", 1, "view"), ("a9", 2, "view")])
     c = camps(spark, [("a1", "c1"), ("a2", "c1")])
-    for b in (True, False, None):
-        out = enrich(ev, c, broadcast=b).orderBy("ts").collect()
+    for hint in ("broadcast", "merge"):
+        out = enrich(ev, c.hint(hint)).orderBy("ts").collect()
         assert [r.campaign_id for r in out] == ["c1", "c1", "UNKNOWN"]
 
 
@@ -81,8 +100,7 @@ def test_tumbling_count(spark):
     c = camps(spark, [("a1", "c1")])
     out = counts(count_views(ev, c, "tumbling", 10_000))
     assert out == sorted([("c1", 2, ms(10)), ("c1", 1, ms(20))])
-    # the large-dimension plan (pre-count per ad, shuffle join) gives the same
-    assert counts(count_views(ev, c, "tumbling", 10_000, broadcast=False)) == out
+    assert counts(count_views(ev, c.hint("merge"), "tumbling", 10_000)) == out
 
 
 def test_sliding_count_five_windows(spark):
@@ -131,6 +149,23 @@ def test_session_join_both_sides(spark):
     assert _join_rows(session_join_grouped(v, k, 10_000)) == out
 
 
+def test_session_join_uses_the_record_time(spark):
+    """Payload times one second apart, record times far apart: no session is shared, in either form."""
+    from adflow.operators.joins import session_join_grouped
+    rows = [("a1", ms(0), T0, "view"), ("a1", ms(1), T0 + 100, "click"), ("a2", ms(0), T0, "view"), ("a2", ms(90), T0 + 10, "click")]
+    ev = spark.createDataFrame(rows, "ad_id string, ts long, rt long, et string").withColumn("event_time", F.timestamp_seconds("rt"))
+    v, k = enrich(ev.where("et='view'"), camps(spark, [("a2", "c2")])), ev.where("et='click'")
+    out = _join_rows(window_join(v, k, "session", 10_000))
+    assert out == [("c2", "a2", ms(90), ms(20))] == _join_rows(session_join_grouped(v, k, 10_000))
+
+
+def test_session_counts_of_a_hot_campaign_are_spread(spark):
+    """All misses are one campaign; its sessions come from (campaign, bucket) rows."""
+    ev = events(spark, [("a%d" % i, 7 * i, "view") for i in range(300)] + [("b", 5000, "view")])
+    out = counts(count_views(ev, camps(spark, []), "session", 10_000))
+    assert out == [("UNKNOWN", 1, ms(5010)), ("UNKNOWN", 300, ms(7 * 299 + 10))]
+
+
 def test_session_join_one_side(spark):
     ev = events(spark, [("a1", 0, "view"), ("a1", 5, "view")])
     c = camps(spark, [("a1", "c1")])
