@@ -29,60 +29,78 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def label_text(labels: Column | str = "labels") -> Column:
+    """The label set as one text, ``k=v`` in order of the names: what tells series apart."""
+    labels = F.col(labels) if isinstance(labels, str) else labels
+    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)),
+                                    lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ",")
+
+
 # --- matrix documents ---------------------------------------------------------------
 
-def to_matrix_docs(samples: DataFrame, span: int = SPAN_POINTS) -> DataFrame:
-    """Encode samples as range-query documents ``json``: one per (metric, span of
-    ``span`` seconds), one result per label set; null values are written ``NaN``."""
-    span_start = (F.floor(F.col("ts") / F.lit(span)) * F.lit(span)).cast("long")
-    labels = F.map_concat(F.create_map(F.lit("__name__"), F.col("metric")), F.col("labels"))
-    val = F.coalesce(F.col("value").cast("string"), F.lit("NaN"))
-    per_series = samples.groupBy("metric", span_start.alias("span"), labels.alias("m")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("ts"), val.alias("v")))).alias("__obs"))
-    per_series = per_series.withColumn("vals", F.transform(
-        "__obs", lambda o: F.array(o["ts"].cast("string"), o["v"])))
-    docs = per_series.groupBy("metric", "span").agg(
-        F.collect_list(F.struct(F.col("m").alias("metric"), F.col("vals").alias("values")))
-        .alias("result"))
-    doc = F.struct(F.lit("success").alias("status"),
-                   F.struct(F.lit("matrix").alias("resultType"), F.col("result").alias("result"))
-                   .alias("data"))
-    return docs.select("metric", "span", F.to_json(doc).alias("json"))
-
-
-def explode_matrix(docs: DataFrame, col: str = "json", first_only: bool = False) -> DataFrame:
-    """Documents -> ``(metric, labels, ts, value)``; failed documents give nothing.
-
-    ``first_only`` keeps only the first result series of each document (the
-    single-series form of the range query).
+def _matrix(docs: DataFrame, col: str) -> DataFrame:
+    parsed = F.from_json(F.col(col), MATRIX_SCHEMA)
+    return docs.withColumn("__m", parsed).withColumn(
+        "__ok", F.coalesce(F.lower(F.col("__m.status")) == "success", F.lit(False)))
+
+
+def explode_matrix(docs: DataFrame, col: str = "json", first_only: bool = False,
+                   order: str | None = None) -> DataFrame:
+    """Documents -> ``(metric, labels, ts, value, at)``; see :func:`failed_documents` for the others.
+
+    ``at`` is the place of the point's series: the document's ``order`` (a long
+    column, 0 without one) and the number of the series in it.  ``first_only``
+    keeps only the first result series of each document (the single-series form
+    of the range query).
     """
-    m = docs.select(F.from_json(F.col(col), MATRIX_SCHEMA).alias("m")).where(
-        F.lower(F.col("m.status")) == "success")
-    r = m.select(F.posexplode("m.data.result").alias("__pos", "r"))
+    place = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    r = _matrix(docs, col).where("__ok").select(place.alias("__doc"), F.posexplode("__m.data.result").alias("__pos", "r"))
     if first_only:
         r = r.where(F.col("__pos") == 0)
-    pts = r.select(F.col("r.metric").alias("__labels"), F.explode("r.values").alias("v"))
+    pts = r.select("__doc", "__pos", F.col("r.metric").alias("__labels"), F.explode("r.values").alias("v"))
     return pts.select(
         F.col("__labels")["__name__"].alias("metric"),
         F.map_filter("__labels", lambda k, v: k != "__name__").alias("labels"),
         F.expr("CAST(try_cast(v[0] AS DOUBLE) AS BIGINT)").alias("ts"),
         nan_to_null(F.expr("try_cast(v[1] AS DOUBLE)")).alias("value"),
+        F.struct(F.col("__doc").alias("doc"), F.col("__pos").alias("result")).alias("at"),
     )
 
 
+def failed_documents(docs: DataFrame, col: str = "json") -> DataFrame:
+    """The documents that :func:`explode_matrix` gives nothing for: not to be parsed, or not a success."""
+    return _matrix(docs, col).where("NOT __ok").select(*docs.columns)
+
+
 # --- selection ------------------------------------------------------------------------
 
-def where_labels(df: DataFrame, metric: str | None = None, eq: Mapping[str, str] | None = None,
-                 regex: Mapping[str, str] | None = None) -> DataFrame:
-    """Label predicates: exact ``eq`` and fully anchored ``regex`` matches."""
+def selects(metric: str | None = None, eq: Mapping[str, str] | None = None,
+            regex: Mapping[str, str] | None = None) -> Column:
+    """A sample predicate: metric name, exact ``eq`` and fully anchored ``regex`` label matches.
+
+    Usable as a filter and as a term of :func:`progress_delay` and :func:`state_usage`.
+    """
     cond = F.lit(True)
     if metric is not None:
         cond = cond & (F.col("metric") == metric)
     for k, v in (eq or {}).items():
-        cond = cond & (F.col("labels")[k] == F.lit(v))
+        cond = cond & F.coalesce(F.col("labels")[k] == F.lit(v), F.lit(False))
     for k, r in (regex or {}).items():
         cond = cond & F.coalesce(F.col("labels")[k], F.lit("")).rlike(f"^(?:{r})$")
-    return df.where(cond)
+    return cond
+
+
+def where_labels(df: DataFrame, metric: str | None = None, eq: Mapping[str, str] | None = None,
+                 regex: Mapping[str, str] | None = None) -> DataFrame:
+    """The samples that :func:`selects`."""
+    return df.where(selects(metric, eq, regex))
+
+
+Term = Column | str   # a predicate, or the name of a metric
+
+
+def _picked(term: Term, value: str = "value") -> Column:
+    return F.when(selects(term) if isinstance(term, str) else term, F.col(value))
 
 
 def series_keys(df: DataFrame, label: str) -> DataFrame:
@@ -115,32 +133,41 @@ def metric_mean(df: DataFrame, metric: str, eq=None, regex=None,
     return on_grid(s, bounds)
 
 
-def _keys_on_job_grid(df: DataFrame, key: Column) -> DataFrame:
-    """``(__s, start, end)``: every non-null ``key`` with the bounds of all of ``df``.
+def _on_job_grid(keys: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``keys`` with ``start`` and ``end`` of the one row of ``bounds`` (scalar subqueries, no join)."""
+    return keys.withColumn("start", bounds.select("start").scalar()).withColumn("end", bounds.select("end").scalar())
 
-    One aggregate per key (rows with a null key form one extra group), then a
-    global min/max over that small table -- no join against a bounds row.
-    """
-    t = df.groupBy(key.alias("__s")).agg(F.min("ts").alias("__lo"), F.max("ts").alias("__hi"))
-    w = Window.partitionBy()
-    return t.select("__s", F.min("__lo").over(w).alias("start"),
-                    F.max("__hi").over(w).alias("end")).where(F.col("__s").isNotNull())
 
+def series_by_label(df: DataFrame, label: str, metric: str | None = None,
+                    bounds: DataFrame | None = None) -> DataFrame:
+    """One series per value of ``label`` (of ``metric``) on the job grid (bounds of all of
+    ``df`` unless given) -- the grouped range query.
 
-def series_by_label(df: DataFrame, label: str, metric: str | None = None) -> DataFrame:
-    """One series per value of ``label`` (of ``metric``) laid on the job grid
-    (bounds of all of ``df``) -- the grouped range query.  A selected sample
-    without that label is an error."""
-    sel = F.col("metric") == metric if metric is not None else F.lit(True)
+    Series that share the label's value share its one series: a point takes the
+    value of the last one, in the order of ``at`` if the samples have it (see
+    :func:`explode_matrix`), else of the label sets.  A selected sample without
+    that label is an error.
+    """
     raw = F.col("labels")[label]
-    key = F.when(~sel, F.lit(None).cast("string")).when(
-        F.coalesce(raw, F.lit("")) == "",
-        F.raise_error(F.lit(f"metric not found: {label}")).cast("string")).otherwise(raw)
-    kb = _keys_on_job_grid(df, key)
+    key = F.when(F.coalesce(raw, F.lit("")) == "", F.raise_error(F.lit(f"metric not found: {label}")).cast("string")).otherwise(raw)
+    order = F.col("at") if "at" in df.columns else label_text()
+    picked = where_labels(df, metric).select(key.alias("__s"), "ts", "value", order.alias("__at"))
+    points = picked.groupBy("__s", "ts").agg(F.max_by("value", "__at").alias("value"))
+    kb = _on_job_grid(picked.select("__s").distinct(), job_bounds(df) if bounds is None else bounds)
     g = grid_from_bounds(kb, by=["__s"])
-    vals = df.where(sel).select(raw.alias("__s"), "ts", "value")
-    return g.join(vals, on=["__s", "ts"], how="left").select(
-        F.col("__s").alias(label), "ts", "value")
+    return g.join(points, on=["__s", "ts"], how="left").select(F.col("__s").alias(label), "ts", "value")
+
+
+def first_series(df: DataFrame, bounds: DataFrame | None = None, span: int = SPAN_POINTS) -> DataFrame:
+    """The single-series range query on the job grid: of each span of ``span`` seconds from the
+    start, the points of the first series that has any there (in the order of the label sets)."""
+    bounds = job_bounds(df) if bounds is None else bounds
+    part = F.floor((F.col("ts") - F.col("__start")) / F.lit(span))
+    placed = (df.withColumn("__start", bounds.select("start").scalar()).withColumn("__part", part)
+              .withColumn("__key", F.concat(F.col("metric"), F.lit(","), label_text())))
+    # one row per (part, second): the point of the part's first series, if it has one there
+    first = placed.groupBy("__part").agg(F.min("__key").alias("__key"))
+    return on_grid(placed.join(first, ["__part", "__key"]).groupBy("ts").agg(F.max_by("value", "ts").alias("value")), bounds)
 
 
 def total_by_ts(df: DataFrame, metric: str, bounds: DataFrame | None = None) -> DataFrame:
@@ -148,12 +175,9 @@ def total_by_ts(df: DataFrame, metric: str, bounds: DataFrame | None = None) ->
     return metric_sum(df, metric, bounds=bounds)
 
 
-def trailing_max_sum(df: DataFrame, metric: str, by_label: str = "pod", seconds: int = 3600,
-                     left_open: bool = True) -> DataFrame:
-    """``sum(max_over_time(metric[seconds]))`` on the job grid (1-second steps).
-
-    Per series, the max over the samples in ``(ts - seconds, ts]`` (closed left
-    edge with ``left_open=False``), then the sum over series.
+def trailing_max(df: DataFrame, by: Sequence[str], bounds: DataFrame, seconds: int = 3600, left_open: bool = True) -> DataFrame:
+    """``(*by, ts, value)``: per series, the max over the samples in ``(ts - seconds, ts]`` at each second
+    of its grid; ``df`` is ``(*by, ts, value)`` and ``bounds`` ``(*by, start, end)``.
 
     A sliding max over a long frame costs O(rows x frame) in a window function.
     Here the grid is cut into blocks as long as the frame ``L``: the frame of
@@ -162,88 +186,133 @@ def trailing_max_sum(df: DataFrame, metric: str, by_label: str = "pod", seconds:
     (O(rows), split by block), and the suffix max is fetched by an equi-join on
     the timestamp shifted by ``L - 1``.
     """
+    by = list(by)
     frame = seconds if left_open else seconds + 1
-    sel = F.col("metric") == metric
-    per_ts = df.where(sel).groupBy(F.col("labels")[by_label].alias("__s"), "ts").agg(
-        F.max(nan_to_null("value")).alias("value"))
-    kb = _keys_on_job_grid(df, F.when(sel, F.col("labels")[by_label]))
     # second-resolution grid (checked), padded by one frame before the start so the
     # shifted suffix lookup always finds its row; the padding is dropped at the end
-    padded = kb.select("__s", "start", "end", (F.col("start") - F.lit(frame - 1)).alias("__ps"),
-                       F.when(step_of(F.col("start"), F.col("end")) == 1, F.col("end"))
-                       .otherwise(F.raise_error(F.lit("metric grid needs 10-digit seconds"))
-                                  .cast("long")).alias("__pe"))
-    dense = grid_from_bounds(padded, by=["__s"], start="__ps", end="__pe", step=1).join(
-        per_ts, on=["__s", "ts"], how="left")
-    first = kb.select("__s", F.col("start").alias("__first"))
-    blk = F.floor(F.col("ts") / F.lit(frame)).cast("long")
-    staged = dense.withColumn("__blk", blk)
-    head = Window.partitionBy("__s", "__blk").orderBy(F.col("ts").asc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy("__s", "__blk").orderBy(F.col("ts").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    runs = staged.select("__s", "ts", F.max("value").over(head).alias("__pre"),
-                         F.max("value").over(tail).alias("__suf"))
-    shifted = runs.select("__s", (F.col("ts") + F.lit(frame - 1)).alias("ts"),
-                          F.col("__suf").alias("__prev_suf"))
-    joined = (runs.select("__s", "ts", "__pre").join(shifted, on=["__s", "ts"], how="left")
-              .join(first, on="__s").where(F.col("ts") >= F.col("__first")))
+    seconds_only = F.when(step_of(F.col("start"), F.col("end")) == 1, F.col("end")).otherwise(
+        F.raise_error(F.lit("metric grid needs 10-digit seconds")).cast("long"))
+    padded = bounds.select(*by, F.col("start").alias("__first"), (F.col("start") - F.lit(frame - 1)).alias("__ps"), seconds_only.alias("__pe"))
+    dense = grid_from_bounds(padded, by=by, start="__ps", end="__pe", step=1, carry=["__first"]).join(
+        df.select(*by, "ts", "value"), on=[*by, "ts"], how="left")
+    staged = dense.withColumn("__blk", F.floor(F.col("ts") / F.lit(frame)).cast("long"))
+    head = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    runs = staged.select(*by, "ts", "__first", F.max("value").over(head).alias("__pre"), F.max("value").over(tail).alias("__suf"))
+    shifted = runs.select(*by, (F.col("ts") + F.lit(frame - 1)).alias("ts"), F.col("__suf").alias("__prev_suf"))
+    joined = runs.where(F.col("ts") >= F.col("__first")).select(*by, "ts", "__pre").join(shifted, on=[*by, "ts"], how="left")
     last_of_block = F.pmod(F.col("ts"), F.lit(frame)) == F.lit(frame - 1)
-    mx = F.greatest(F.col("__pre"), F.when(~last_of_block, F.col("__prev_suf")))
-    return joined.groupBy("ts").agg(F.sum(mx).alias("value")).select("ts", "value")
+    return joined.select(*by, "ts", F.greatest(F.col("__pre"), F.when(~last_of_block, F.col("__prev_suf"))).alias("value"))
 
 
-def _cond_sum(metric: str, positive: bool = False) -> Column:
-    cond = F.col("metric") == metric
-    if positive:
-        cond = cond & (F.col("value") > 0)
-    return F.sum(F.when(cond, F.col("value")))
+def trailing_max_sum(df: DataFrame, metric: str, seconds: int = 3600, left_open: bool = True,
+                     bounds: DataFrame | None = None) -> DataFrame:
+    """``sum(max_over_time(metric[seconds]))`` on the job grid (1-second steps): the trailing max of every
+    series -- every label set -- and their sum per second."""
+    key = label_text().alias("__s")
+    per_ts = where_labels(df, metric).select(key, "ts", nan_to_null("value").alias("value")).groupBy("__s", "ts").agg(F.max("value").alias("value"))
+    kb = _on_job_grid(per_ts.select("__s").distinct(), job_bounds(df) if bounds is None else bounds)
+    return trailing_max(per_ts, ["__s"], kb, seconds, left_open).groupBy("ts").agg(F.sum("value").alias("value"))
 
 
-def progress_delay(df: DataFrame, source: str, sink: str, workers: str,
+def _delay(source: Column, sink: Column, workers: Column, limit: float) -> Column:
+    d = F.abs(F.try_divide(F.try_divide(source - sink, workers), F.lit(1000.0)))
+    return F.when(d < limit, d)
+
+
+def progress_delay(df: DataFrame, source: Term, sink: Term, workers: Term,
                    limit: float = 1500.0, bounds: DataFrame | None = None) -> DataFrame:
-    """``abs((sum(source>0) - sum(sink>0)) / avg(workers) / 1000)``, kept when ``< limit``."""
-    per = df.groupBy("ts").agg(
-        (F.abs(F.try_divide(F.try_divide(_cond_sum(source, True) - _cond_sum(sink, True),
-                                         F.avg(F.when(F.col("metric") == workers, F.col("value")))),
-                            F.lit(1000.0)))).alias("__d"))
-    s = per.select("ts", F.when(F.col("__d") < limit, F.col("__d")).alias("value"))
+    """``abs((sum(source>0) - sum(sink>0)) / avg(workers) / 1000)``, kept when ``< limit``.
+
+    Each term is a metric name or a predicate (:func:`selects`): the usual case
+    is one metric under two values of a label.
+    """
+    above = lambda term: F.sum(F.when(F.col("value") > 0, _picked(term)))
+    s = df.groupBy("ts").agg(_delay(above(source), above(sink), F.avg(_picked(workers)), limit).alias("value"))
     return on_grid(s, bounds)
 
 
-def state_usage(df: DataFrame, usage: str, pinned: str, capacity: str, workers: str | None,
+def state_usage(df: DataFrame, usage: Term, pinned: Term, capacity: Term, workers: Term | None,
                 by: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
-    """``(sum(usage) + sum(pinned)) / (max(capacity) * avg(workers))``.
+    """``(sum(usage) + sum(pinned)) / (max(capacity) * avg(workers))``; terms as in :func:`progress_delay`.
 
     With ``by`` label names (e.g. namespace, pod) the sums and max are taken per
     label set and the worker factor is left out (the per-pod form).
     """
     by = list(by)
     keys = [F.col("labels")[k].alias(k) for k in by]
-    num = _cond_sum(usage) + _cond_sum(pinned)
-    cap = F.max(F.when(F.col("metric") == capacity, F.col("value")))
-    if by or workers is None:
-        den = cap
-    else:
-        den = cap * F.avg(F.when(F.col("metric") == workers, F.col("value")))
+    num = F.sum(_picked(usage)) + F.sum(_picked(pinned))
+    cap = F.max(_picked(capacity))
+    den = cap if by or workers is None else cap * F.avg(_picked(workers))
     out = df.groupBy(*keys, "ts").agg(F.try_divide(num, den).alias("value"))
     if by:
         return out.select(*by, "ts", "value")
     return on_grid(out, bounds)
 
 
-def uptime_seconds(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Last point of each series (null counts as 0), ms -> whole seconds (truncated)."""
+def uptime_seconds(df: DataFrame, by: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
+    """Per ``by`` group of ``(*by, ts, value)``: the last point of the grid, ms -> whole seconds (truncated).
+
+    A group without a value at the end of the grid (``bounds``, else that of all
+    of ``df``) has 0.  Of several series of a group the first counts, in the
+    order of ``labels`` if there are any.
+    """
     by = list(by)
-    last = df.groupBy(*by).agg(F.max_by("value", "ts").alias("__v"))
+    end = (job_bounds(df) if bounds is None else bounds).select("end").scalar()
+    order = label_text() if "labels" in df.columns else F.lit(0)
+    at_end = F.when(F.col("ts") == F.col("__end"), F.col("value"))
+    own = df.withColumn("__end", end).groupBy(*by).agg(F.min_by(at_end, F.struct(order, -F.col("ts"))).alias("__v"))
     secs = F.coalesce(F.expr("CAST(__v AS BIGINT) div 1000"), F.lit(0).cast("long"))
-    return last.select(*by, secs.alias("uptime_s"))
+    return own.select(*by, secs.alias("uptime_s"))
+
+
+# --- export ---------------------------------------------------------------------------
+
+EXPORTED = ("cpuLoad", "memUsed", "numWorkers", "numRestarts", "delay", "stateUsage")
+
+
+def export_series(samples: DataFrame, job: str, terms: Mapping[str, Term], scratch: str,
+                  restarts_seconds: int = 3600, limit: float = 1500.0) -> DataFrame:
+    """``(job_id, name, ts, value)``: the six series of every job on the job's own grid.
+
+    ``job`` is the label that tells jobs apart; ``terms`` picks the samples of
+    ``cpu``, ``memory``, ``workers``, ``restarts``, ``source``, ``sink``,
+    ``usage``, ``pinned`` and ``capacity``.  One scan of the samples gives a
+    table of partial sums per (job, series, second), written to ``scratch``; all
+    series, and the jobs' bounds, come from that table.
+    """
+    part = {f"s_{n}": F.sum(_picked(terms[n])) for n in ("cpu", "memory", "workers", "usage", "pinned")}
+    part |= {f"s_{n}": F.sum(F.when(F.col("value") > 0, _picked(terms[n]))) for n in ("source", "sink")}
+    part |= {"n_workers": F.count(_picked(terms["workers"])), "m_capacity": F.max(_picked(terms["capacity"])),
+             "m_restarts": F.max(nan_to_null(_picked(terms["restarts"])))}
+    table = samples.groupBy(F.col("labels")[job].alias("job_id"), label_text().alias("series"), "ts").agg(
+        *[c.alias(n) for n, c in part.items()])
+    table.write.parquet(scratch)
+    table = samples.sparkSession.read.schema(table.schema).parquet(scratch)
+    bounds = table.groupBy("job_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    whole = table.groupBy("job_id", "ts").agg(
+        *[F.sum(n).alias(n) for n in part if n[0] in "sn"], F.max("m_capacity").alias("m_capacity"))
+    workers = F.try_divide(F.col("s_workers"), F.col("n_workers"))
+    values = {"cpuLoad": F.col("s_cpu"), "memUsed": F.col("s_memory"), "numWorkers": F.col("s_workers"),
+              "delay": _delay(F.col("s_source"), F.col("s_sink"), workers, limit),
+              "stateUsage": F.try_divide(F.col("s_usage") + F.col("s_pinned"), F.col("m_capacity") * workers)}
+    restarts = table.select("job_id", "series", "ts", F.col("m_restarts").alias("value")).where("value IS NOT NULL")
+    kb = restarts.select("job_id", "series").distinct().join(bounds, "job_id")
+    tops = trailing_max(restarts, ["job_id", "series"], kb, restarts_seconds).groupBy("job_id", "ts").agg(F.sum("value").alias("numRestarts"))
+    grid = grid_from_bounds(bounds, by=["job_id"])
+    wide = (grid.join(whole.select("job_id", "ts", *[c.alias(n) for n, c in values.items()]), ["job_id", "ts"], "left")
+            .join(tops, ["job_id", "ts"], "left"))
+    return wide.unpivot(["job_id", "ts"], list(EXPORTED), "name", "value").select("job_id", "name", "ts", "value")
 
 
 def export_metrics(named: DataFrame, path: str, sep: str = "|") -> None:
-    """Write ``(job_id, name, ts, value)`` as ``<path>/job_id=<j>/name=<n>/`` CSV files."""
+    """Write ``(job_id, name, ts, value)`` as ``<path>/job_id=<j>/name=<n>/`` CSV files.
+
+    Rows are range-partitioned by job, series and time: a long series is several
+    files in time order, and short ones share a task.
+    """
     (named.select("job_id", "name", F.col("ts").alias("timestamp"), "value")
-        .repartition("job_id", "name").sortWithinPartitions("job_id", "name", "timestamp")
+        .orderBy("job_id", "name", "timestamp")
         .write.mode("append").partitionBy("job_id", "name")
         .option("sep", sep).option("header", True).option("nullValue", "null").csv(path))
 

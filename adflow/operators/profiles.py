@@ -1,11 +1,9 @@
 """Experiment profiles: one summary row per (experiment, job), and the profile table.
 
-The table keeps 16 NOT NULL columns; reals are stored with six decimals (they
-were printed with ``%f``).  Table changes are copy-on-write: each operation is
-a DataFrame function, and :class:`ProfileStore` writes every new state to a
-fresh folder under its root (rows clustered by ``expId``), so a reader never
-sees a half-written table and no folder is rewritten while it is read.  The
-table holds one row per experiment job, so rewriting it is cheap.
+The table has 16 NOT NULL columns and lies in one folder, partitioned by
+``expId``: an insert appends files, reading an experiment reads its folder only,
+and a delete drops folders, or rewrites those of the experiments that lose some
+of their jobs.  Any process that knows the folder can open it.
 """
 
 from __future__ import annotations
@@ -16,13 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adflow.session import scratch_dir
-
 PROFILE_SCHEMA = T.StructType([
     T.StructField("expId", T.IntegerType(), False),
     T.StructField("scaleOut", T.IntegerType(), False),
     T.StructField("jobId", T.StringType(), False),
-    T.StructField("workload", T.IntegerType(), False),
+    T.StructField("workload", T.LongType(), False),
     T.StructField("avgLat", T.DoubleType(), False),
     T.StructField("avgThr", T.DoubleType(), False),
     T.StructField("isBckPres", T.IntegerType(), False),
@@ -37,7 +33,6 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("stopTs", T.LongType(), False),
 ])
 PROFILE_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields]
-EXACT = "decimal(38, 12)"
 REAL_COLUMNS = [f.name for f in PROFILE_SCHEMA.fields if isinstance(f.dataType, T.DoubleType)]
 
 # which metric plays which role when profiles are built from samples
@@ -53,19 +48,16 @@ DEFAULT_ROLES = {
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast to the table schema, nulls (and absent columns) -> 0, reals rounded to six decimals."""
-    cols = []
-    for f in PROFILE_SCHEMA.fields:
-        src = F.col(f.name) if f.name in df.columns else F.lit(None)
-        c = src.cast(f.dataType)
-        if isinstance(f.dataType, T.DoubleType):
-            c = F.round(F.coalesce(c, F.lit(0.0)), 6)
-        elif isinstance(f.dataType, T.StringType):
-            c = F.coalesce(c, F.lit(""))
-        else:
-            c = F.coalesce(c, F.lit(0).cast(f.dataType))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    """Cast to the table's types; columns that ``df`` lacks are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in PROFILE_SCHEMA.fields])
+
+
+def complete(df: DataFrame) -> DataFrame:
+    """``df`` in the table's types; a null in any column fails the query (all columns are NOT NULL)."""
+    checked = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a profile needs {c}")).cast(PROFILE_SCHEMA[c].dataType))
+               .otherwise(F.col(c)).alias(c) for c in PROFILE_COLUMNS]
+    return conform(df).select(*checked)
 
 
 def build_profiles(samples: DataFrame, exp_id: Column, job_id: Column,
@@ -74,8 +66,9 @@ def build_profiles(samples: DataFrame, exp_id: Column, job_id: Column,
     """Summarise samples ``(metric, labels, ts, value)`` per (experiment, job).
 
     scaleOut = number of label sets (pods) seen for the job, workload = total
-    throughput (integer), isBckPres / perBckPres = any / share of back-pressure
-    samples above ``backpressure_above``.
+    throughput (whole), isBckPres / perBckPres = any / share of back-pressure
+    samples above ``backpressure_above``.  What has no sample is null; infinite
+    samples make infinite means.
     """
     r = dict(DEFAULT_ROLES)
     r.update(roles or {})
@@ -83,23 +76,21 @@ def build_profiles(samples: DataFrame, exp_id: Column, job_id: Column,
     def of(role: str) -> Column:
         return F.when(F.col("metric") == r[role], F.col("value"))
 
-    def exact_avg(role: str) -> Column:
-        # decimal mean (of the values' decimal forms): the six-decimal rounding of a
-        # mean must not depend on the order a float sum happened to run in
-        return F.avg(of(role).cast(EXACT)).cast("double")
+    def mean(role: str) -> Column:
+        return F.avg(of(role))
 
     bp = of("backpressure")
     g = samples.groupBy(exp_id.alias("expId"), job_id.alias("jobId")).agg(
         F.count_distinct(F.col("labels")["pod"]).alias("scaleOut"),
-        F.floor(F.round(F.coalesce(F.sum(of("throughput")), F.lit(0.0)), 6)).alias("workload"),
-        exact_avg("latency").alias("avgLat"),
-        exact_avg("throughput").alias("avgThr"),
+        F.floor(F.round(F.sum(of("throughput")), 6)).alias("workload"),
+        mean("latency").alias("avgLat"),
+        mean("throughput").alias("avgThr"),
         F.max(F.when(bp > backpressure_above, 1).otherwise(0)).alias("isBckPres"),
         F.try_divide(F.count(F.when(bp > backpressure_above, 1)), F.count(bp)).alias("perBckPres"),
-        exact_avg("consumer_lag").alias("avgConsLag"),
-        exact_avg("checkpoint_duration").alias("avgChkDur"),
-        exact_avg("cpu").alias("cpuAvg"),
-        exact_avg("memory").alias("memAvg"),
+        mean("consumer_lag").alias("avgConsLag"),
+        mean("checkpoint_duration").alias("avgChkDur"),
+        mean("cpu").alias("cpuAvg"),
+        mean("memory").alias("memAvg"),
         F.sum(of("cpu")).alias("cpuTotal"),
         F.sum(of("memory")).alias("memTotal"),
         F.min("ts").alias("startTs"),
@@ -126,58 +117,46 @@ def profiles_select(table: DataFrame, exp_ids) -> DataFrame:
     return sel.select(*PROFILE_COLUMNS).orderBy(F.col("scaleOut").asc(), F.col("workload").asc())
 
 
-def profiles_without(table: DataFrame, exp_ids, job_id: str | None = None) -> DataFrame:
-    """Delete by expId, or by (expId, jobId); ids may be a DataFrame of expIds, or of
-    ``(expId, jobId)`` pairs when ``job_id`` is ``'*'``."""
-    if job_id == "*" and isinstance(exp_ids, DataFrame):
-        pairs = exp_ids.select(F.col("expId").cast("int"), "jobId").distinct()
-        return table.join(pairs, on=["expId", "jobId"], how="left_anti")
-    ids = _ids(exp_ids)
-    if isinstance(ids, DataFrame):
-        if job_id is not None:
-            ids = ids.withColumn("jobId", F.lit(job_id))
-            return table.join(ids, on=["expId", "jobId"], how="left_anti")
-        return table.join(ids, on="expId", how="left_anti")
-    gone = F.col("expId").isin(ids)
-    if job_id is not None:
-        gone = gone & (F.col("jobId") == job_id)
-    return table.where(~gone)
-
-
-def profiles_append(table: DataFrame | None, rows: DataFrame) -> DataFrame:
-    new = conform(rows)
-    return new if table is None else table.select(*PROFILE_COLUMNS).unionByName(new)
-
-
-class ProfileStore:
-    """Copy-on-write profile table below ``root`` (defaults to the shared scratch folder)."""
+class ProfileTable:
+    """The profile table in folder ``root``; opening it again finds the rows."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root or scratch_dir(spark, "profiles")
-        self.version = 0
-        self.path: str | None = None
+        self.root = root.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *parts: path("/".join([self.root, *parts]))
+        self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def create(self, exp_id: int | None = None) -> ProfileTable:
+        """Make the folder if there is none; with ``exp_id``, remove that experiment's rows."""
+        self._fs.mkdirs(self._path())
+        if exp_id is not None:
+            self._fs.delete(self._path(f"expId={int(exp_id)}"), True)
+        return self
 
     def read(self) -> DataFrame:
-        if self.path is None:
+        if not self._fs.exists(self._path()):
             return self.spark.createDataFrame([], PROFILE_SCHEMA)
-        return self.spark.read.schema(PROFILE_SCHEMA).parquet(self.path).select(*PROFILE_COLUMNS)
-
-    def commit(self, df: DataFrame) -> DataFrame:
-        self.version += 1
-        path = f"{self.root.rstrip('/')}/v{self.version:06d}"
-        # rows sorted by expId inside each file: row groups carry narrow expId ranges,
-        # so expId filters skip by parquet statistics (no folder per experiment)
-        (conform(df).sortWithinPartitions("expId", "jobId")
-            .write.mode("errorifexists").parquet(path))
-        self.path = path
-        return self.read()
-
-    def append(self, rows: DataFrame) -> DataFrame:
-        return self.commit(profiles_append(self.read() if self.path else None, rows))
-
-    def delete(self, exp_ids, job_id: str | None = None) -> DataFrame:
-        return self.commit(profiles_without(self.read(), exp_ids, job_id))
+        return self.spark.read.schema(PROFILE_SCHEMA).parquet(self.root).select(*PROFILE_COLUMNS)
+
+    def insert(self, rows: DataFrame) -> None:
+        complete(rows).repartition("expId").write.mode("append").partitionBy("expId").parquet(self.root)
+
+    def delete(self, exp_ids) -> None:
+        """Drop whole experiments (one folder each); ids may be a DataFrame, whose distinct ids are listed."""
+        ids = _ids(exp_ids)
+        for e in [r["expId"] for r in ids.collect()] if isinstance(ids, DataFrame) else ids:
+            self._fs.delete(self._path(f"expId={e}"), True)
+
+    def delete_jobs(self, pairs: DataFrame) -> None:
+        """Drop the rows of each ``(expId, jobId)`` of ``pairs``: the experiments that keep others are rewritten."""
+        gone = pairs.select(F.col("expId").cast("int").alias("expId"), "jobId").distinct()
+        touched = self.read().join(gone.select("expId").distinct(), "expId", "left_semi")
+        left = touched.join(gone, ["expId", "jobId"], "left_anti").select(*PROFILE_COLUMNS)
+        empty = touched.select("expId").distinct().join(left.select("expId").distinct(), "expId", "left_anti")
+        drop = [r["expId"] for r in empty.collect()]
+        left.repartition("expId").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("expId").parquet(self.root)
+        self.delete(drop)
 
     def select(self, exp_ids) -> DataFrame:
         return profiles_select(self.read(), exp_ids)

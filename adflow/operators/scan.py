@@ -35,19 +35,23 @@ def running_max_before(df: DataFrame, by: Sequence[str], order: str, value: str,
 
 
 def row_rank(df: DataFrame, by: Sequence[str], order: str, block: int,
-             descending: bool = False, out: str = "rank") -> DataFrame:
+             descending: bool = False, out: str = "rank", top: int | None = None) -> DataFrame:
     """0-based position of each row within its ``by`` group ordered by ``order``.
 
     ``order`` values are assumed unique within a group (timestamps of a series,
-    offsets of a partition).
+    offsets of a partition).  With ``top``, a group whose largest ``order`` is
+    another one is an error.
     """
     by = list(by)
     staged = df.withColumn("__blk", _block(order, block))
-    counts = staged.groupBy(*by, "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    counts = staged.groupBy(*by, "__blk").agg(F.count(F.lit(1)).alias("__n"), F.max(order).alias("__hi"))
     blk_order = F.col("__blk").desc() if descending else F.col("__blk").asc()
     wb = Window.partitionBy(*by).orderBy(blk_order).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*by, "__blk",
-                           F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__before"))
+    ahead = F.coalesce(F.sum("__n").over(wb), F.lit(0))
+    if top is not None:   # checked on the block table, where the rows meet it anyway
+        ahead = F.when(F.max("__hi").over(Window.partitionBy(*by)) == F.lit(top), ahead).otherwise(
+            F.raise_error(F.lit(f"the series has no point at {top}")).cast("long"))
+    before = counts.select(*by, "__blk", ahead.alias("__before"))
     row_order = F.col(order).desc() if descending else F.col(order).asc()
     wi = Window.partitionBy(*by, "__blk").orderBy(row_order)
     inside = staged.withColumn("__rn", F.row_number().over(wi))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adflow.operators.scan import row_rank
@@ -33,7 +33,7 @@ def step_of(start: Column, end: Column) -> Column:
     return (F.when((ds == 10) & (de == 10), F.lit(1).cast("long"))
             .when((ds == 13) & (de == 13), F.lit(1000).cast("long"))
             .otherwise(F.raise_error(F.format_string(
-                "Invalid timestamp format: %s : %s", start.cast("string"), end.cast("string")))
+                "bounds %s and %s are neither both 10 nor both 13 digits wide", start.cast("string"), end.cast("string")))
                 .cast("long")))
 
 
@@ -43,7 +43,7 @@ def python_step(start: int, end: int) -> int:
         return 1
     if ds == 13 and de == 13:
         return 1000
-    raise ValueError(f"Invalid timestamp format: {start} ({ds}) : {end} ({de})")
+    raise ValueError(f"bounds {start} and {end} are neither both 10 nor both 13 digits wide")
 
 
 def grid(spark: SparkSession, start: int, end: int) -> DataFrame:
@@ -54,14 +54,17 @@ def grid(spark: SparkSession, start: int, end: int) -> DataFrame:
 
 def grid_from_bounds(bounds: DataFrame, by: Sequence[str] = (), start: str = "start",
                      end: str = "end", chunk: int = GRID_CHUNK,
-                     step: int | None = None) -> DataFrame:
-    """Grid points of every row of ``bounds`` -> ``(*by, ts)``.
+                     step: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Grid points of every row of ``bounds`` -> ``(*by, *carry, ts)``.
 
     Points are produced in chunks of ``chunk``: one explode over chunk numbers,
-    one over the points of a chunk, so no row holds more than ``chunk`` values.
-    ``step`` overrides the timestamp-width rule (e.g. 1 for plain indexes).
+    which are then dealt out over all partitions, and one over the points of a
+    chunk.  So no row holds more than ``chunk`` values, and one long series is
+    made by many tasks.  ``step`` overrides the timestamp-width rule (e.g. 1 for
+    plain indexes); ``carry`` names columns of ``bounds`` that the points keep.
     """
-    by = list(by)
+    by = [*by, *carry]
+    n = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     step_col = (F.lit(step).cast("long") if step is not None
                 else step_of(F.col("__gs"), F.col("__ge")))
     b = bounds.select(*by, F.col(start).alias("__gs"), F.col(end).alias("__ge")).withColumn(
@@ -69,7 +72,7 @@ def grid_from_bounds(bounds: DataFrame, by: Sequence[str] = (), start: str = "st
     span = F.lit(chunk) * F.col("__gstep")
     chunks = b.select(*by, "__gs", "__ge", "__gstep", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("__ge") - F.col("__gs")) / span).cast("long")))
-        .alias("__gc"))
+        .alias("__gc")).repartition(n, *by, "__gc")
     lo = F.col("__gs") + F.col("__gc") * span
     hi = F.least(F.col("__ge"), lo + span - F.col("__gstep"))
     return chunks.select(*by, F.explode(F.sequence(lo, hi, F.col("__gstep"))).alias("ts"))
@@ -80,17 +83,20 @@ def bounds_of(df: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
 
 
 def densify(df: DataFrame, by: Sequence[str] = ("series_id",),
-            bounds: DataFrame | None = None) -> DataFrame:
+            bounds: DataFrame | None = None, keep_bounds: bool = False) -> DataFrame:
     """Lay each series on its grid (its own first..last, or the given ``bounds``).
 
-    Observations off the grid vanish; grid points without one are null.
+    Observations off the grid vanish; grid points without one are null.  With
+    ``keep_bounds`` each point keeps ``start`` and ``end`` of its grid (see :func:`resample`).
     """
     by = list(by)
     if bounds is None:
         bounds = bounds_of(df, by)
-    g = grid_from_bounds(bounds, by)
+    kept = ["start", "end"] if keep_bounds else []
+    g = grid_from_bounds(bounds.withColumns({f"__{c}": F.col(c) for c in kept}), by, carry=[f"__{c}" for c in kept])
     vals = df.select(*by, "ts", "value")
-    return g.join(vals, on=[*by, "ts"], how="left").select(*by, "ts", "value")
+    return g.join(vals, on=[*by, "ts"], how="left").select(
+        *by, "ts", "value", *[F.col(f"__{c}").alias(c) for c in kept])
 
 
 def _global_bounds(df: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def merge(*series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     if len(series) == 1:
         long_df = series[0]
-        check = F.count_distinct("series_id")
+        check = F.min("series_id") != F.max("series_id")
     else:
         long_df = series[0].select(*by, "ts", "value")
         for s in series[1:]:
@@ -119,19 +125,23 @@ def merge(*series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     else:
         bounds = long_df.groupBy(*by).agg(
             F.min("ts").alias("start"),
-            F.when(check >= 2, F.max("ts")).otherwise(F.raise_error(
+            F.when(check, F.max("ts")).otherwise(F.raise_error(
                 F.lit("merge needs at least two series")).cast("long")).alias("end"))
     return densify(summed, by, bounds)
 
 
 def merge_aligned(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Merge two series that share first ts, last ts and size; raises otherwise."""
-    sa = a.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
-    sb = b.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
-    if tuple(sa) != tuple(sb):
-        raise ValueError(f"Unable to merge time series: {tuple(sa)} vs {tuple(sb)}")
-    u = a.select("ts", "value").unionByName(b.select("ts", "value"))
-    return u.groupBy("ts").agg(F.sum("value").alias("value"))
+    """Merge two series that share first ts, last ts and size; the query fails otherwise.
+
+    One tagged union feeds the sums and the check, which is a scalar subquery of the same plan.
+    """
+    u = a.select("ts", "value", F.lit(0).alias("__side")).unionByName(b.select("ts", "value", F.lit(1).alias("__side")))
+    of = lambda agg, side: agg(F.when(F.col("__side") == side, F.col("ts")))
+    shape = lambda side: F.struct(of(F.min, side), of(F.max, side), of(F.count, side))
+    same = u.agg(F.when(shape(0).eqNullSafe(shape(1)), F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("series of different shape: "), shape(0).cast("string"), F.lit(" and "), shape(1).cast("string")))
+        .cast("boolean")).alias("same")).scalar()
+    return u.groupBy("ts").agg(F.sum("value").alias("value")).where(same)
 
 
 def _masked(value: str = "value") -> Column:
@@ -173,7 +183,7 @@ def _anchor_table(df: DataFrame, by: list[str], anchor: int | None) -> DataFrame
         found = F.max(F.when(F.col("ts") == F.lit(anchor), F.lit(1)))
         a = df.groupBy(*by).agg(
             F.when(found.isNotNull(), F.lit(anchor).cast("long")).otherwise(F.raise_error(
-                F.lit(f"resample anchor {anchor} not in series")).cast("long")).alias("__anchor"),
+                F.lit(f"the series has no point at {anchor}")).cast("long")).alias("__anchor"),
             F.min("ts").alias("__first"))
     return a
 
@@ -182,12 +192,18 @@ def resample(df: DataFrame, rate: int, anchor: int | None = None, limit: int | N
              by: Sequence[str] = ("series_id",)) -> DataFrame:
     """Keep every ``rate``-th grid point walking back from ``anchor`` (default: the
     last point), at most ``limit`` points; ``df`` must be on its grid (see
-    :func:`densify`).  Pure arithmetic on the grid position: no sort."""
+    :func:`densify`).  Pure arithmetic on the grid position: no sort, and no join
+    when the points carry ``start`` and ``end`` (``densify(keep_bounds=True)``)."""
     if rate <= 0:
         raise ValueError("rate must be positive")
     by = list(by)
-    a = _anchor_table(df, by, anchor)
-    j = df.join(a, on=by, how="inner")
+    if {"start", "end"} <= set(df.columns):
+        anchored = F.col("end") if anchor is None else F.when(
+            F.lit(anchor).between(F.col("start"), F.col("end")), F.lit(anchor).cast("long")).otherwise(
+            F.raise_error(F.lit(f"the series has no point at {anchor}")).cast("long"))
+        j = df.withColumn("__anchor", anchored).withColumn("__first", F.col("start"))
+    else:
+        j = df.join(_anchor_table(df, by, anchor), on=by, how="inner")
     step = step_of(F.col("__first"), F.col("__anchor"))
     pos = ((F.col("__anchor") - F.col("ts")) / step).cast("long")
     keep = (F.col("ts") <= F.col("__anchor")) & (F.pmod(pos, F.lit(rate)) == 0)
@@ -203,9 +219,8 @@ def resample_irregular(df: DataFrame, rate: int, anchor: int | None = None,
     if rate <= 0:
         raise ValueError("rate must be positive")
     by = list(by)
-    a = _anchor_table(df, by, anchor)
-    upto = df.join(a, on=by, how="inner").where(F.col("ts") <= F.col("__anchor"))
-    ranked = row_rank(upto, by, "ts", block, descending=True, out="__pos")
+    upto = df if anchor is None else df.where(F.col("ts") <= F.lit(anchor))
+    ranked = row_rank(upto, by, "ts", block, descending=True, out="__pos", top=anchor)
     keep = F.pmod(F.col("__pos"), F.lit(rate)) == 0
     if limit is not None:
         keep = keep & (F.floor(F.col("__pos") / F.lit(rate)) < F.lit(limit))
@@ -221,7 +236,7 @@ def lookup(df: DataFrame, keys: DataFrame, by: Sequence[str] = (),
     value = F.col("value")
     if missing == "raise":
         value = F.when(F.col("__hit").isNull(), F.raise_error(F.format_string(
-            "Unknown observation timestamp: %s", F.col("ts").cast("string")))
+            "no point at %s", F.col("ts").cast("string")))
             .cast("double")).otherwise(value)
     return j.select(*by, "ts", value.alias("value"))
 
@@ -234,39 +249,53 @@ def upsert(df: DataFrame, updates: DataFrame, by: Sequence[str] = ()) -> DataFra
     upd = updates.select(*by, "ts", F.col("value").alias("__new"), F.lit(True).alias("__upd"))
     j = base.join(upd, on=[*by, "ts"], how="full_outer")
     value = (F.when(F.col("__in_base").isNull(), F.raise_error(F.format_string(
-        "Unknown observation timestamp: %s", F.col("ts").cast("string"))).cast("double"))
+        "no point at %s", F.col("ts").cast("string"))).cast("double"))
         .when(F.col("__upd").isNotNull(), F.col("__new"))
         .otherwise(F.col("__old")))
     return j.select(*by, "ts", value.alias("value"))
 
 
 def _chunked(df: DataFrame, by: list[str], chunk_span: int) -> DataFrame:
+    """One row per ``chunk_span`` of time (in the unit of ``ts``) that holds points: its number within
+    the series, its start, its points in order, and the number of points of the whole series."""
     start = (F.floor(F.col("ts") / F.lit(chunk_span)) * F.lit(chunk_span)).cast("long")
-    return df.groupBy(*by, start.alias("chunk_start")).agg(
+    chunks = df.groupBy(*by, start.alias("chunk_start")).agg(
         F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("__obs"))
+    series = Window.partitionBy(*by)   # over chunks, not points
+    return chunks.select(
+        *by, (F.row_number().over(series.orderBy("chunk_start")) - 1).cast("long").alias("chunk"), "chunk_start", "__obs",
+        F.sum(F.size("__obs")).over(series).cast("long").alias("series_count"))
 
 
-def values(df: DataFrame, by: Sequence[str] = ("series_id",), chunk_span: int = 86_400) -> DataFrame:
-    """Values in time order as ``double`` arrays, one array per ``chunk_span`` of time
-    (so no row holds a whole unbounded series).  A null value is an error."""
+def values(df: DataFrame, chunk_span: int, by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Values in time order as ``double`` arrays: ``(*by, chunk, chunk_start, series_count, values)``.
+
+    ``chunk_span`` bounds a row to that much time; one span over the whole
+    series gives one array.  A null value is an error.
+    """
     by = list(by)
     c = _chunked(df, by, chunk_span)
     vals = F.transform("__obs", lambda o: F.when(o["value"].isNull(), F.raise_error(
         F.lit("null value in series")).cast("double")).otherwise(o["value"]))
-    return c.select(*by, "chunk_start", vals.alias("values"))
+    return c.select(*by, "chunk", "chunk_start", "series_count", vals.alias("values"))
 
 
-def to_json_text(df: DataFrame, by: Sequence[str] = ("series_id",),
-                 chunk_span: int = 86_400) -> DataFrame:
-    """``{"observations":[{"timestamp":t,"value":v}, ...],"count":n}`` per chunk of time."""
+def to_json_text(df: DataFrame, chunk_span: int, by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """The parts of ``{"observations":[{"timestamp":t,"value":v}, ...],"count":n}``.
+
+    Rows are ``(*by, chunk, chunk_start, series_count, json)``; the texts of a
+    series in the order of ``chunk`` make its one document (the first part opens
+    it, the last one closes it), so ``count`` is that of the whole series.
+    """
     by = list(by)
     c = _chunked(df, by, chunk_span)
     obs = F.transform("__obs", lambda o: F.format_string(
         '{"timestamp":%s,"value":%s}', o["ts"].cast("string"),
         F.coalesce(o["value"].cast("string"), F.lit("null"))))
-    text = F.concat(F.lit('{"observations":['), F.array_join(obs, ", "),
-                    F.lit('],"count":'), F.size("__obs").cast("string"), F.lit("}"))
-    return c.select(*by, "chunk_start", text.alias("json"))
+    last = F.col("chunk") == F.max("chunk").over(Window.partitionBy(*by))
+    text = F.concat(F.when(F.col("chunk") == 0, F.lit('{"observations":[')).otherwise(F.lit(", ")), F.array_join(obs, ", "),
+                    F.when(last, F.concat(F.lit('],"count":'), F.col("series_count").cast("string"), F.lit("}"))).otherwise(F.lit("")))
+    return c.select(*by, "chunk", "chunk_start", "series_count", text.alias("json"))
 
 
 def sorted_series(df: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered time-series queries over the test tables, each with its DuckDB oracle.
 
 Series fixture: one series per event type, ``ts`` = 1704067200 + event_id
-(seconds), value null on every 11th event (see adflow.sources.testdata).
+(seconds), see adflow.sources.testdata.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from adflow.operators import series as S
 from adflow.plans.registry import query, sql_round
 from adflow.session import scratch_dir
 from adflow.sources import testdata as td
-from adflow.sources.series_csv import (read_series_csv, read_series_csv_rows,
-                                       write_series_csv)
+from adflow.sources.series_csv import (read_rate_curve, read_series_csv, read_series_csv_rows,
+                                       write_rate_curve, write_series_csv)
 
 RATE, LIMIT = 3, 1000
 CHUNK_S = 1000  # seconds of series per values / JSON chunk
 
 SER = ("(SELECT event_type AS series_id, 1704067200 + event_id AS ts, "
-       "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events)")
+       "value FROM events)")
 GRID_SQL = f"""
 WITH s AS {SER}, b AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY 1),
 g AS (SELECT series_id, unnest(range(lo, hi + 1)) AS ts FROM b)
@@ -48,18 +48,34 @@ def q_grid(spark, sf):
     return S.densify(series(spark, sf))
 
 
-@query("series_from_csv", _merge_sql("series_id = 'view'"))
+@query("series_from_csv", GRID_SQL)
 def q_from_csv(spark, sf):
+    """Two appends: each series is read over all of its files, the later one last."""
     path = scratch_dir(spark, "series-csv")
-    write_series_csv(one(spark, sf, "view"), path)
-    return read_series_csv(spark, path)
+    rows = series(spark, sf)
+    mid = rows.agg(F.floor((F.min("ts") + F.max("ts")) / 2)).scalar()
+    write_series_csv(rows.where(F.col("ts") < mid), path, by=["series_id"])
+    write_series_csv(rows.where(F.col("ts") >= mid), path, by=["series_id"])
+    return read_series_csv(spark, path, by=["series_id"])
 
 
-@query("series_csv_roundtrip", f"SELECT ts, value FROM {SER} s WHERE series_id = 'click'")
+@query("series_csv_roundtrip", f"SELECT series_id, ts, value FROM {SER} s")
 def q_csv_roundtrip(spark, sf):
     path = scratch_dir(spark, "series-csv")
-    write_series_csv(one(spark, sf, "click"), path)
-    return read_series_csv_rows(spark, path)
+    write_series_csv(series(spark, sf), path, by=["series_id"])
+    return read_series_csv_rows(spark, path, by=["series_id"])
+
+
+@query("rate_curve_csv", """
+SELECT row_number() OVER (ORDER BY ts) - 1 AS i, ts, n AS value FROM (
+  SELECT epoch_ms(date_trunc('hour', ts)) AS ts, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1) h""")
+def q_rate_curve(spark, sf):
+    """The events per hour, written as a rate curve and read back in file order."""
+    hour = F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    curve = td.table(spark, sf, "events").groupBy(hour.alias("ts")).agg(F.count(F.lit(1)).cast("int").alias("value"))
+    path = scratch_dir(spark, "rate-curve")
+    write_rate_curve(curve.withColumn("i", F.col("ts")), path)
+    return read_rate_curve(spark, path)
 
 
 @query("series_merge", _merge_sql("series_id IN ('view', 'click')"))
@@ -84,7 +100,7 @@ WITH g AS ({GRID_SQL}), a AS (SELECT series_id, max(ts) AS anc FROM g GROUP BY 1
 SELECT g.series_id, g.ts, g.value FROM g JOIN a ON g.series_id = a.series_id
 WHERE (anc - ts) % {RATE} = 0 AND (anc - ts) // {RATE} < {LIMIT}""")
 def q_resample(spark, sf):
-    return S.resample(S.densify(series(spark, sf)), RATE, limit=LIMIT)
+    return S.resample(S.densify(series(spark, sf), keep_bounds=True), RATE, limit=LIMIT)
 
 
 @query("series_resample_irregular", f"""
@@ -125,23 +141,29 @@ def q_upsert(spark, sf):
     return S.upsert(base, updates)
 
 
-@query("series_values", f"""
-SELECT series_id, (ts // {CHUNK_S}) * {CHUNK_S} AS chunk_start,
-       string_agg(CAST(value AS VARCHAR), ',' ORDER BY ts) AS values_text
-FROM {SER} s WHERE value IS NOT NULL GROUP BY 1, 2""")
+_CHUNKS = f"""
+WITH c AS (SELECT series_id, (ts // {CHUNK_S}) * {CHUNK_S} AS chunk_start, list({{'ts': ts, 'value': value}} ORDER BY ts) AS obs
+           FROM {SER} s GROUP BY 1, 2),
+n AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY chunk_start) - 1 AS chunk, chunk_start, obs,
+             CAST(sum(len(obs)) OVER (PARTITION BY series_id) AS BIGINT) AS series_count,
+             max(chunk_start) OVER (PARTITION BY series_id) = chunk_start AS last FROM c)"""
+
+
+@query("series_values", f"""{_CHUNKS}
+SELECT series_id, chunk, chunk_start, series_count,
+       array_to_string(list_transform(obs, lambda o: CAST(o.value AS VARCHAR)), ',') AS values_text FROM n""")
 def q_values(spark, sf):
-    s = series(spark, sf).where(F.col("value").isNotNull())
-    v = S.values(s, chunk_span=CHUNK_S)
-    return v.select("series_id", "chunk_start", F.array_join(
+    v = S.values(series(spark, sf), chunk_span=CHUNK_S)
+    return v.select("series_id", "chunk", "chunk_start", "series_count", F.array_join(
         F.transform("values", lambda x: x.cast("string")), ",").alias("values_text"))
 
 
-@query("series_to_json", f"""
-SELECT series_id, (ts // {CHUNK_S}) * {CHUNK_S} AS chunk_start,
-       '{{"observations":[' || string_agg('{{"timestamp":' || CAST(ts AS VARCHAR) || ',"value":'
-       || coalesce(CAST(value AS VARCHAR), 'null') || '}}', ', ' ORDER BY ts)
-       || '],"count":' || CAST(count(*) AS VARCHAR) || '}}' AS json
-FROM {SER} s GROUP BY 1, 2""")
+@query("series_to_json", f"""{_CHUNKS}
+SELECT series_id, chunk, chunk_start, series_count,
+       CASE WHEN chunk = 0 THEN '{{"observations":[' ELSE ', ' END
+       || array_to_string(list_transform(obs, lambda o: '{{"timestamp":' || CAST(o.ts AS VARCHAR) || ',"value":'
+                                         || coalesce(CAST(o.value AS VARCHAR), 'null') || '}}'), ', ')
+       || CASE WHEN last THEN '],"count":' || CAST(series_count AS VARCHAR) || '}}' ELSE '' END AS json FROM n""")
 def q_to_json(spark, sf):
     return S.to_json_text(series(spark, sf), chunk_span=CHUNK_S)
 

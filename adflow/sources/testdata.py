@@ -99,3 +99,17 @@ def samples(spark: SparkSession, sf_dir: str, bucket: int = 1) -> DataFrame:
         ts.cast("long").alias("ts"),
         "value",
     )
+
+
+def matrix_docs(samples: DataFrame, span: int = 11_000) -> DataFrame:
+    """Samples as range-query documents: one per (metric, label set, ``span`` seconds), numbered in
+    ``doc`` by span and label set; null values are written ``NaN``."""
+    span_start = (F.floor(F.col("ts") / F.lit(span)) * F.lit(span)).cast("long")
+    labels = F.map_concat(F.create_map(F.lit("__name__"), F.col("metric")), F.col("labels"))
+    val = F.coalesce(F.col("value").cast("string"), F.lit("NaN"))
+    docs = samples.groupBy("metric", "labels", span_start.alias("span")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("ts"), val.alias("v")))).alias("obs"))
+    values = F.transform("obs", lambda o: F.array(o["ts"].cast("string"), o["v"]))
+    doc = F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.array(
+        F.struct(labels.alias("metric"), values.alias("values"))).alias("result")).alias("data"))
+    return docs.select("span", "metric", "labels", F.to_json(doc).alias("json"))

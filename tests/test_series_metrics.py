@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from adflow.operators import metrics as M
 from adflow.operators import series as S
-from adflow.operators.profiles import ProfileStore, profiles_select
+from adflow.operators.profiles import PROFILE_COLUMNS, ProfileTable, build_profiles
+from adflow.sources import testdata as td
 from adflow.sources.series_csv import (read_rate_curve, read_series_csv, read_series_csv_rows,
                                        write_rate_curve, write_series_csv)
 from tests.conftest import T0
@@ -57,6 +58,19 @@ def test_series_csv_roundtrip(spark, tmp_dir):
     assert sorted(pts(back)) == sorted(pts(s) * 2)
 
 
+def test_series_csv_appends_are_read_in_order(spark, tmp_dir):
+    """The last append wins, and the grid runs to its last line, whatever the files are called."""
+    for n in range(5):
+        rows = [(n, 10.0 * n), (n + 1, 10.0 * n + 1)]
+        write_series_csv(ser(spark, rows).select("ts", "value"), f"{tmp_dir}/s")
+    assert pts(read_series_csv(spark, f"{tmp_dir}/s")) == [(0, 0.0), (1, 10.0), (2, 20.0), (3, 30.0), (4, 40.0), (5, 41.0)]
+    two = ser(spark, [(0, 1.0), (2, 3.0)], "a").unionByName(ser(spark, [(5, 7.0)], "b"))
+    write_series_csv(two, f"{tmp_dir}/many", by=["series_id"])
+    write_series_csv(ser(spark, [(1, 2.0), (3, 4.0)], "a"), f"{tmp_dir}/many", by=["series_id"])
+    got = sorted((r.series_id, r.ts - T0, r.value) for r in read_series_csv(spark, f"{tmp_dir}/many", by=["series_id"]).collect())
+    assert got == [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, 4.0), ("b", 5, 7.0)]
+
+
 def test_rate_curve_file_order(spark, tmp_dir):
     curve = spark.createDataFrame([(i, 100 + i, v) for i, v in enumerate([2, 0, 5])], "i long, ts long, value int")
     write_rate_curve(curve, f"{tmp_dir}/curve")
@@ -83,8 +97,8 @@ def test_merge_aligned(spark):
     a = ser(spark, [(0, 1.0), (1, None), (2, 3.0)]).select("ts", "value")
     b = ser(spark, [(0, None), (1, None), (2, 4.0)]).select("ts", "value")
     assert pts(S.merge_aligned(a, b)) == [(0, 1.0), (1, None), (2, 7.0)]
-    with pytest.raises(ValueError):
-        S.merge_aligned(a, ser(spark, [(0, 1.0), (2, 2.0)]).select("ts", "value"))
+    with pytest.raises(Exception, match="different shape"):
+        S.merge_aligned(a, ser(spark, [(0, 1.0), (2, 2.0)]).select("ts", "value")).collect()
 
 
 def test_resample(spark):
@@ -93,8 +107,21 @@ def test_resample(spark):
     assert [t for t, _ in pts(S.resample_irregular(s, 3, anchor=T0 + 9, limit=2, block=4))] == [6, 9]
     # rate 1, no limit: everything up to the anchor
     assert [t for t, _ in pts(S.resample(s, 1, anchor=T0 + 4))] == [0, 1, 2, 3, 4]
-    with pytest.raises(Exception):
-        S.resample(s, 3, anchor=T0 + 42).collect()
+    for kept in (s, S.densify(s, keep_bounds=True)):
+        with pytest.raises(Exception, match="no point"):
+            S.resample(kept, 3, anchor=T0 + 42).collect()
+    with pytest.raises(Exception, match="no point"):
+        S.resample_irregular(s, 3, anchor=T0 + 42, block=4).collect()
+    carried = S.resample(S.densify(s, keep_bounds=True), 3, limit=2)
+    assert [t for t, _ in pts(carried)] == [6, 9]
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1   # the grid's own join only
+
+
+def test_one_long_series_is_made_by_many_tasks(spark):
+    b = spark.createDataFrame([(T0, T0 + 2_000_000)], "start long, end long")
+    sizes = [r["count"] for r in S.grid_from_bounds(b).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000_001 and len(sizes) > 1
 
 
 def test_stats(spark):
@@ -125,11 +152,14 @@ def test_first_last_lookup_upsert(spark):
 
 def test_values_and_json(spark):
     s = ser(spark, [(0, 1.0), (1, 2.0)])
-    v = S.values(s, chunk_span=10**10).first()["values"]
+    v = S.values(s, 10**10).first()["values"]
     assert v == [1.0, 2.0]
     with pytest.raises(Exception):
-        S.values(ser(spark, [(0, None)]), chunk_span=10**10).collect()
-    j = S.to_json_text(ser(spark, [(0, 1.0), (1, None)]), chunk_span=10**10).first().json
+        S.values(ser(spark, [(0, None)]), 10**10).collect()
+    for span in (10**10, 1):   # one chunk, and a chunk a point: the same text
+        parts = S.to_json_text(ser(spark, [(0, 1.0), (1, None)]), span).orderBy("chunk").collect()
+        assert {p.series_count for p in parts} == {2}
+    j = "".join(p.json for p in parts)
     assert j == '{"observations":[{"timestamp":%d,"value":1.0}, {"timestamp":%d,"value":null}],"count":2}' % (T0, T0 + 1)
 
 
@@ -148,19 +178,79 @@ def test_matrix_forms(spark):
     all_rows = M.explode_matrix(docs).collect()
     assert len(all_rows) == 3 and sorted([r.value for r in all_rows], key=str) == sorted([1.5, None, 2.0], key=str)
     assert len(M.explode_matrix(docs, first_only=True).collect()) == 2
-    failed = spark.createDataFrame([('{"status":"error"}',)], "json string")
+    failed = spark.createDataFrame([('{"status":"error"}',), ("garbage",), (None,)], "json string")
     assert M.explode_matrix(failed).count() == 0
+    assert M.failed_documents(docs.unionByName(failed)).count() == 3
     by = M.series_by_label(M.explode_matrix(docs), "pod")
     assert by.count() == 4  # two pods on a 2-point grid
 
 
 def test_matrix_roundtrip(spark):
     s = samples(spark, [("m", "p1", 0, 1.0), ("m", "p1", 1, None), ("m", "p2", 0, 3.0)])
-    back = M.explode_matrix(M.to_matrix_docs(s))
+    back = M.explode_matrix(td.matrix_docs(s))
     assert sorted((r.labels["pod"], r.ts - T0, r.value) for r in back.collect()) == \
         sorted([("p1", 0, 1.0), ("p1", 1, None), ("p2", 0, 3.0)], key=str)
 
 
+def test_series_that_share_a_label_value_share_a_point(spark):
+    """Two label sets with one pod: one row a second, the later series' value; documents are read in their order."""
+    doc = ('{"status":"success","data":{"resultType":"matrix","result":['
+           '{"metric":{"__name__":"m","pod":"p","job":"%s"},"values":[[%d,"%d"],[%d,"%d"]]}]}}')
+    docs = spark.createDataFrame([(2, doc % ("a", T0, 1, T0 + 1, 2)), (1, doc % ("b", T0, 5, T0 + 2, 6))], "n long, json string")
+    rows = M.explode_matrix(docs, order="n")
+    by = {(r.pod, r.ts - T0): r.value for r in M.series_by_label(rows, "pod").collect()}
+    assert by == {("p", 0): 1.0, ("p", 1): 2.0, ("p", 2): 6.0}
+    assert M.series_by_label(rows.drop("at"), "pod").where(F.col("ts") == T0).first().value == 5.0
+    with pytest.raises(Exception, match="metric not found"):
+        M.series_by_label(rows, "host").collect()
+
+
+def test_first_series(spark):
+    s = lab(spark, [("m", {"pod": "b"}, 0, 1.0), ("m", {"pod": "a"}, 1, 2.0), ("m", {"pod": "b"}, 11, 3.0), ("m", {"pod": "c"}, 12, 4.0)])
+    assert dict(pts(M.first_series(s, span=10))) == {**{t: None for t in range(13)}, 1: 2.0, 11: 3.0}
+
+
+def lab(spark, rows):
+    return spark.createDataFrame([(m, l, T0 + t, v) for m, l, t, v in rows],
+                                 "metric string, labels map<string,string>, ts long, value double")
+
+
+def test_trailing_max_is_per_series(spark):
+    """Two jobs on one pod are two series: their maxima add up."""
+    s = lab(spark, [("r", {"pod": "p", "job": "a"}, 0, 1.0), ("r", {"job": "b", "pod": "p"}, 0, 5.0)])
+    assert pts(M.trailing_max_sum(s, "r")) == [(0, 6.0)]
+
+
+def test_delay_of_one_metric_under_two_label_values(spark):
+    op = lambda n: {"operator_name": n}
+    s = lab(spark, [("mark", op("src"), 0, 5_000_000.0), ("mark", op("snk"), 0, 2_000_000.0), ("w", {}, 0, 2.0),
+                    ("mark", op("src"), 1, 2_000_000.0), ("mark", op("snk"), 1, 1_000_000.0), ("w", {}, 1, 2.0)])
+    out = dict(pts(M.progress_delay(s, M.selects("mark", op("src")), M.selects("mark", op("snk")), "w")))
+    assert out == {0: None, 1: 500.0}
+    use = lab(spark, [("u", op("x"), 0, 6.0), ("u", op("y"), 0, 100.0), ("p", op("x"), 0, 2.0), ("c", {}, 0, 4.0), ("w", {}, 0, 2.0)])
+    assert pts(M.state_usage(use, M.selects("u", op("x")), M.selects("p", op("x")), "c", "w")) == [(0, 1.0)]
+
+
+def test_export_is_per_job(spark, tmp_dir):
+    rows = [("cpu", {"job": j, "pod": p}, t, 1.0 + (j == "b")) for j in "ab" for p in "pq" for t in range(0, 4, 3 if j == "a" else 1)]
+    rows += [("rst", {"job": "a", "pod": "p"}, 0, 3.0), ("rst", {"job": "a", "pod": "q"}, 1, 4.0)]
+    none = F.lit(False)
+    terms = {"cpu": "cpu", "memory": none, "workers": none, "restarts": "rst", "source": none, "sink": none, "usage": none, "pinned": none, "capacity": none}
+    out = M.export_series(lab(spark, rows), "job", terms, f"{tmp_dir}/partials")
+    M.export_metrics(out, f"{tmp_dir}/out")
+    back = {(r.job_id, r.name, r.ts - T0): r.value for r in M.read_exported(spark, f"{tmp_dir}/out").collect()}
+    assert len(back) == 2 * 6 * 4
+    assert [back["a", "cpuLoad", t] for t in range(4)] == [2.0, None, None, 2.0]
+    assert [back["b", "cpuLoad", t] for t in range(4)] == [4.0] * 4
+    assert [back["a", "numRestarts", t] for t in range(4)] == [3.0, 7.0, 7.0, 7.0]
+    assert [back["b", "numRestarts", t] for t in range(4)] == [None] * 4
+
+
+def test_uptime_of_a_series_that_ends_early(spark):
+    df = spark.createDataFrame([("j", T0, 7000.0), ("k", T0 + 5, 9000.0)], "job string, ts long, value double")
+    assert {r.job: r.uptime_s for r in M.uptime_seconds(df, by=["job"]).collect()} == {"j": 0, "k": 9}
+
+
 def test_uptime(spark):
     df = spark.createDataFrame([("j", T0, 1000.0), ("j", T0 + 1, 12500.0), ("k", T0, 5.0), ("k", T0 + 1, None)],
                                "job string, ts long, value double")
@@ -202,14 +292,42 @@ def test_filters_and_usage(spark):
     assert sorted(r.pod for r in M.series_keys(s, "pod").collect()) == ["other", "pod-0", "pod-1"]
 
 
-def test_profile_store(spark):
-    rows = spark.createDataFrame(
-        [(1, 2, "a", 10, 1.23456789), (1, 1, "b", 5, 2.0), (2, 1, "c", 1, 3.0)],
-        "expId int, scaleOut int, jobId string, workload int, avgLat double")
-    store = ProfileStore(spark)
-    t = store.append(rows)
-    assert t.count() == 3 and t.where("jobId = 'a'").first().avgLat == 1.234568
-    sel = [r.jobId for r in profiles_select(t, [1]).collect()]
-    assert sel == ["b", "a"]
-    assert store.delete(1, "a").count() == 2
-    assert [r.jobId for r in store.delete([1]).collect()] == ["c"]
+def profile(exp, job, **more):
+    return {c: 0 if c in ("expId", "scaleOut", "workload", "isBckPres", "startTs", "stopTs") else 0.0 for c in PROFILE_COLUMNS} | {
+        "expId": exp, "jobId": job, **more}
+
+
+def profiles(spark, *rows):
+    from adflow.operators.profiles import PROFILE_SCHEMA
+    return spark.createDataFrame([tuple(r[c] for c in PROFILE_COLUMNS) for r in rows], PROFILE_SCHEMA)
+
+
+def test_profile_table_is_found_again(spark, tmp_dir):
+    root = f"{tmp_dir}/profiles"
+    assert ProfileTable(spark, root).read().count() == 0
+    first = profiles(spark, profile(1, "a", scaleOut=2, workload=10, avgLat=1.23456789), profile(1, "b", scaleOut=1, workload=5), profile(2, "c"))
+    ProfileTable(spark, root).create().insert(first)
+    ProfileTable(spark, root).insert(profiles(spark, profile(3, "d", workload=3_000_000_000, cpuTotal=float("inf"))))
+    table = ProfileTable(spark, root)
+    assert sorted(r.jobId for r in table.read().collect()) == ["a", "b", "c", "d"]
+    assert [r.jobId for r in table.select([1]).collect()] == ["b", "a"]
+    assert table.read().where("jobId = 'a'").first().avgLat == 1.23456789
+    big = table.read().where("jobId = 'd'").first()
+    assert big.workload == 3_000_000_000 and math.isinf(big.cpuTotal)
+    table.delete_jobs(spark.createDataFrame([(1, "a"), (2, "c"), (9, "z")], "expId int, jobId string"))
+    assert sorted(r.jobId for r in ProfileTable(spark, root).read().collect()) == ["b", "d"]
+    table.delete([1])
+    assert [r.jobId for r in table.read().collect()] == ["d"]
+    assert ProfileTable(spark, root).create(exp_id=3).read().count() == 0
+
+
+def test_profile_needs_every_column(spark, tmp_dir):
+    row = profiles(spark, profile(1, "a")).withColumn("avgLat", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="needs avgLat"):
+        ProfileTable(spark, f"{tmp_dir}/p").insert(row)
+
+
+def test_profile_build_keeps_infinity_and_leaves_nulls(spark):
+    s = samples(spark, [("cpu", "p", 0, 2.0), ("cpu", "p", 1, float("inf")), ("throughput", "p", 0, 3e9), ("throughput", "q", 0, 1e27)])
+    r = build_profiles(s, F.lit(1), F.lit("j")).first()
+    assert math.isinf(r.cpuAvg) and math.isinf(r.cpuTotal) and r.avgLat is None and r.scaleOut == 2 and r.avgThr > 4e26
