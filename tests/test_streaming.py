@@ -173,11 +173,63 @@ def test_store_stream_latest(spark, replay, tmp_path):
                                  PipelineConfig()).select("ad_id", "ts", "event_time"),
                          camps, "tumbling", DAY)
     path = str(tmp_path / "store")
-    q = store_stream(counts, path, str(tmp_path / "ck"))
+    q = store_stream(counts, path, str(tmp_path / "ck"), compact_every=2)
     q.awaitTermination(300)
     assert q.exception() is None
+    shots = sorted(f for f in os.listdir(f"{path}/snapshot") if f.startswith("upto="))
+    assert shots and shots[-1] == "upto=4"
+    plan = read_latest(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "batch_id" in plan
     got = read_latest(spark, path).where(F.col("window_end") < FLUSH_MS[0])
     want = count_views(batch_ev.where("et = 'view'").withColumn("event_time", F.timestamp_millis("ts")),
                        camps, "tumbling", DAY)
     cols = ["campaign_id", "count", "window_end"]
     assert rows(got, cols) == rows(want, cols)
+
+
+def test_job_from_its_nine_arguments(spark, replay, tmp_path):
+    """The program's path: arguments -> replayed files -> exactly-once batches, over a restart."""
+    from adflow.sources.campaigns import save_campaigns
+    from adflow.streaming.job import launch
+    batch_ev, _, camps = replay
+    camps_dir, wire_dir, out, ck = (str(tmp_path / n) for n in ("camps", "wire", "out", "ck"))
+    save_campaigns(camps, camps_dir)
+    enc = encode(batch_ev).unionByName(spark.createDataFrame(
+        [("flush", '{"ts":"%d","id":"flush","et":"view"}' % m, m) for m in FLUSH_MS], "key string, value string, t long")
+        .select("key", "value", F.timestamp_millis("t").alias("timestamp")))
+    args = ["job", "host:1", "in", "out", "1000", "tumbling", str(DAY), "true", "true"]
+
+    def run():
+        q = launch(spark, args, camps_dir, ck, source_files=wire_dir, sink="batches", sink_path=out,
+                   source_options={"maxFilesPerTrigger": "1"}, trigger={"availableNow": True})
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    for part in (enc.where("timestamp < '2024-01-15'"), enc.where("timestamp >= '2024-01-15' AND timestamp < '2030-06-01'"),
+                 enc.where("timestamp >= '2030-06-01'")):
+        part.select("key", "value", "timestamp").coalesce(1).write.mode("append").parquet(wire_dir)
+        run()
+    got = sorted(r.value for r in spark.read.text(out).collect() if "window: 1893" not in r.value)
+    want = sorted(r.value for r in job_messages(PipelineConfig.from_args(args), encode(batch_ev), camps).collect())
+    assert got == want and want
+
+
+def test_campaigns_are_checked_where_they_are_loaded(spark, tmp_path):
+    from adflow.sources.campaigns import load_campaigns
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("a", "c1"), ("a", "c2")], "ad_id string, campaign_id string").write.parquet(path)
+    with pytest.raises(ValueError, match="not unique"):
+        load_campaigns(spark, path)
+
+
+def test_malformed_record_stops_the_stream(spark, tmp_path):
+    wire = str(tmp_path / "wire")
+    spark.createDataFrame([("k", '{"ts":"1","id":"a","et":"click"}', 0), ("k", '{"ts":"oops","id":"a","et":"view"}', 1)], "key string, value string, t long") \
+        .select("key", "value", F.timestamp_seconds("t").alias("timestamp")).coalesce(1).write.parquet(wire)
+    camps = spark.createDataFrame([("a", "c")], "ad_id string, campaign_id string")
+    for n, (join, aggregate) in enumerate([(False, True), (True, False), (True, True)]):
+        stream = spark.readStream.schema("key string, value string, timestamp timestamp").parquet(wire)
+        q = start(PipelineConfig(apply_join=join, apply_aggregate=aggregate), stream, camps, str(tmp_path / f"ck{n}"), sink="text",
+                  path=str(tmp_path / f"out{n}"), trigger={"availableNow": True})
+        with pytest.raises(Exception, match="malformed"):
+            q.awaitTermination(120)
