@@ -11,8 +11,9 @@ widened until ``TARGET`` of those neighbours lie in visited leaves.
 Queries meet the rows of a leaf in blocks: at most ``BLOCK`` rows against
 ``BLOCK`` queries in one group, so a leaf that holds a third of all rows, or
 takes a third of all queries, is many groups.  Each group returns the best few
-of each query; distances are computed on the original vectors in double
-precision.
+of each query; the first leaves bound how far the others still look, so what
+all groups return stays small.  Distances are computed on the original vectors
+in double precision.
 
 Defined results: vectors that are null, all zero, or hold a null or a number
 that is not finite take no part, nor do rows without an id, nor vectors of
@@ -128,15 +129,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             .select(F.col(id_col).cast("long").alias("id"), v.alias("vec")))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray,
-         k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's ``k`` nearest rows of another id: query number, id, distance."""
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int,
+         bound: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` nearest rows of another id, none beyond its ``bound``: query number, id, distance."""
     rough = squared(queries, rows)
     rough[query_ids[:, None] == ids[None]] = np.inf
     slack = 1e-9 * (1 + (queries * queries).sum(1) + (rows * rows).sum(1).max(initial=0))
-    limit = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] + slack
+    limit = np.minimum(np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1], np.square(bound)) + slack
     q, r = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
     score = np.sqrt(((queries[q] - rows[r]) ** 2).sum(axis=1))
+    within = score <= np.broadcast_to(bound, len(queries))[q]
+    q, r, score = q[within], r[within], score[within]
     order = np.lexsort((ids[r], score, q))
     q, r, score = q[order], r[order], score[order]
     nth = np.arange(len(q)) - np.searchsorted(q, q)
@@ -200,28 +203,38 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
 
     queries = rows.where(is_query)
     reached = arrow_map(queries, reach, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, leaves array<int>")
-    probes = scratch.write(reached.select("id", "vec", F.explode("leaves").alias("leaf")), "probes")
+    probes = scratch.write(reached.select("id", "vec", F.posexplode("leaves").alias("nth", "leaf")), "probes")
     asked = {r["leaf"]: r["n"] for r in probes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     cut = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-asked.get(leaf, 1) // BLOCK)) for leaf, n in counts.items()],
                                 "leaf int, blocks int, chunks int")
     some = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["leaf", "block", "chunk"]
     blocks = index.join(cut, "leaf").select("leaf", some("blocks", 1).alias("block"), each("chunks").alias("chunk"), "id", "vec")
-    chunks = probes.join(cut, "leaf").select("leaf", some("chunks", 2).alias("chunk"), each("blocks").alias("block"), "id", "vec")
 
     def meet(of_rows: pa.Table, of_queries: pa.Table) -> pa.Table:
         q, rid, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if of_rows.num_rows and of_queries.num_rows:
             asked_ids = of_queries.column("id").to_numpy()
             q, rid, score = best(matrix(of_queries.column("vec")), asked_ids, matrix(of_rows.column("vec")),
-                                 of_rows.column("id").to_numpy(), k)
+                                 of_rows.column("id").to_numpy(), k, of_queries.column("bound").to_numpy())
             q = asked_ids[q]
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(rid, pa.int64()), "score": pa.array(score)})
 
-    keys = ["leaf", "block", "chunk"]
-    found = blocks.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def visit(asking: DataFrame) -> DataFrame:
+        chunks = asking.join(cut, "leaf").select("leaf", some("chunks", 2).alias("chunk"), each("blocks").alias("block"), "id", "vec", "bound")
+        found = blocks.groupBy(*keys).cogroup(chunks.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    # what the first leaves give bounds what the others may add
+    ahead = int(np.ceil(np.sqrt(visits)))
+    first = visit(probes.where(F.col("nth") < ahead).withColumn("bound", F.lit(float("inf"))))
+    first = scratch.write(first.withColumn("rank", rank).where(F.col("rank") <= k), "first")
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    rest = probes.where(F.col("nth") >= ahead).join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    found = first.select("query_id", "vec_id", "score").unionByName(visit(rest))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
