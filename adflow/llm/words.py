@@ -7,6 +7,8 @@ between words, so memory follows the batch and not the longest text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +41,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def byte_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def stretches(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``most`` bytes together (a longer row stands alone)."""
+    total = np.concatenate([[0], np.cumsum(sizes + 8)])
+    start = 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty) and the ends of each."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
