@@ -37,8 +37,8 @@ class PipelineConfig:
     def from_args(cls, args: list[str]) -> "PipelineConfig":
         if len(args) != 9:
             raise ValueError(
-                "Required arguments: jobName brokerList consumerTopic producerTopic "
-                "checkpointInterval windowType windowSize applyJoin applyAggregate"
+                f"the job takes nine arguments, not {len(args)}: name, brokers, source topic, sink topic, "
+                "checkpoint interval (ms), window kind, window size (ms), join, aggregate"
             )
         return cls(
             job_name=args[0],
@@ -58,7 +58,7 @@ class PipelineConfig:
 
 def validate_window(kind: str, size_ms: int) -> None:
     if kind not in WINDOW_KINDS:
-        raise ValueError(f"Unknown window type: {kind}")
+        raise ValueError(f"{kind!r} is none of the window kinds {', '.join(WINDOW_KINDS)}")
     if size_ms <= 0:
         raise ValueError("window size must be positive")
     if kind == "sliding" and size_ms // 5 <= 0:

@@ -149,7 +149,7 @@ def series_by_label(df: DataFrame, label: str, metric: str | None = None,
     that label is an error.
     """
     raw = F.col("labels")[label]
-    key = F.when(F.coalesce(raw, F.lit("")) == "", F.raise_error(F.lit(f"metric not found: {label}")).cast("string")).otherwise(raw)
+    key = F.when(F.coalesce(raw, F.lit("")) == "", F.raise_error(F.lit(f"a selected sample has no label {label}")).cast("string")).otherwise(raw)
     order = F.col("at") if "at" in df.columns else label_text()
     picked = where_labels(df, metric).select(key.alias("__s"), "ts", "value", order.alias("__at"))
     points = picked.groupBy("__s", "ts").agg(F.max_by("value", "__at").alias("value"))

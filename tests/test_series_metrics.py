@@ -201,7 +201,7 @@ def test_series_that_share_a_label_value_share_a_point(spark):
     by = {(r.pod, r.ts - T0): r.value for r in M.series_by_label(rows, "pod").collect()}
     assert by == {("p", 0): 1.0, ("p", 1): 2.0, ("p", 2): 6.0}
     assert M.series_by_label(rows.drop("at"), "pod").where(F.col("ts") == T0).first().value == 5.0
-    with pytest.raises(Exception, match="metric not found"):
+    with pytest.raises(Exception, match="has no label host"):
         M.series_by_label(rows, "host").collect()
 
 
