@@ -66,6 +66,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def early(order: Column, share: Column | float) -> Column:
+    """Whether a 64-bit hash is among the lowest ``share`` of all: a first sieve before the lowest few are sorted out."""
+    return order.cast("double") / F.lit(2.0 ** 64) + 0.5 <= share
+
+
 def crc32_fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(folds)

@@ -4,9 +4,9 @@ Each language has a suffix automaton of a sample of its labelled text.  A text
 is parsed greedily into the longest phrases that occur in that sample; the
 language that needs the fewest phrases, normalised to bits per byte by the size
 of the sample, wins.  The sample is bounded and documented (``PER_LANGUAGE``
-excerpts of ``PER_TEXT`` characters, cut to ``SAMPLE`` bytes); it is drawn by
-hash, each scan task keeping its own first ones only, and travels with the
-tasks, which build the automata once per worker.
+excerpts of ``PER_TEXT`` characters, cut to ``SAMPLE`` bytes): the rows of least
+hash in each language, of which only a few times as many are ever shuffled.  It
+travels with the tasks, which build the automata once per worker.
 
 Texts are read whole, in lanes of ``LANE`` bytes; a phrase ends at the end of a
 lane.  All lanes and languages of a batch take a step at a time: the automaton
@@ -35,13 +35,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adflow.llm.base import arrow_map, crc32_fold
+from adflow.llm.base import arrow_map, crc32_fold, early
+from adflow.llm.words import byte_sizes, stretches
 
 PER_LANGUAGE = 96    # excerpts to learn a language from
 PER_TEXT = 600       # characters of each
 SAMPLE = 24_000      # bytes of a language that are learned
 LANE = 1024          # bytes that are parsed in one go
 LANES = 16_384       # lanes that a task parses at a time
+HELD = 1 << 23       # bytes of text that a task holds as numbers at a time
 SHARPNESS = 4.0      # score = softmax of minus so many times the bits per byte
 BLANK = 32
 UNDETERMINED = "und"
@@ -74,6 +76,11 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     rows = (docs.where(may_learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
             .select(F.col(lang_col).alias("lang"), order.alias("order"),
                     F.col(text_col).substr(start.cast("int"), F.lit(PER_TEXT)).alias("text")))
+    found = rows.groupBy("lang").count().collect()   # a row a language
+    if not found:
+        return ()
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, 4.0 * PER_LANGUAGE / r["count"]))])
+    rows = rows.where(early(F.col("order"), share[F.col("lang")]))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE)
     texts: dict[str, list[str]] = {}
@@ -197,9 +204,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = predict(batch.column(text_col), model)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lang, pa.array(score)],
-                                             [*names, lang_col, score_col])
+            for start, stop in stretches(byte_sizes(batch.column(text_col)), HELD):
+                part = batch.slice(start, stop - start)
+                lang, score = predict(part.column(text_col), model)
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lang, pa.array(score)],
+                                                 [*names, lang_col, score_col])
 
     return arrow_map(docs, run, schema)
 

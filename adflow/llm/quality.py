@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adflow.llm.base import arrow_map, crc32_fold
-from adflow.llm.words import KINDS, mix, word_hashes
+from adflow.llm.base import arrow_map, crc32_fold, early
+from adflow.llm.words import KINDS, byte_sizes, mix, stretches, word_hashes
 
 WORDS = 1 << 14     # rows that words are hashed into
 DIMS = 32           # of a vector
@@ -75,7 +75,9 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(WORDS * DIMS)
         for batch in batches:
-            add_contexts(table, *rows_of(batch.column(0)))
+            texts = batch.column(0)
+            for start, stop in stretches(byte_sizes(texts)):
+                add_contexts(table, *rows_of(texts.slice(start, stop - start)))
         blocks = table.reshape(-1, BLOCK * DIMS)
         used = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(
@@ -101,6 +103,9 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pool(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """The vector of each document."""
+    parts = list(stretches(byte_sizes(texts)))
+    if len(parts) > 1:
+        return np.concatenate([pool(texts.slice(start, stop - start), table) for start, stop in parts])
     rows, ends = rows_of(texts)
     counts = np.diff(ends)
     out = np.zeros((len(counts), 2 * DIMS + 1))
@@ -190,8 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, table: np.ndarr
           id_col: str = "doc_id", text_col: str = "text") -> Network:
     """The network of at most ``SAMPLE`` rows of ``labels`` where ``may_learn`` (of the id) holds."""
     wide = docs.sparkSession.sparkContext.broadcast(table)
-    named = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn)
-             .groupBy(id_col).agg(F.avg(label_col).alias("__label"))
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & may_learn)
+    share = min(1.0, 1.2 * SAMPLE / max(usable.agg(F.approx_count_distinct(id_col)).first()[0], 1))
+    named = (usable.where(early(F.xxhash64(id_col), share)).groupBy(id_col).agg(F.avg(label_col).alias("__label"))
              .orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE))
     rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(named), id_col).dropDuplicates([id_col])
 
