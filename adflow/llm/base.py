@@ -50,10 +50,20 @@ def ship_code(spark: SparkSession) -> None:
     sc._adflow_shipped = True
 
 
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")   # setting, Spark's default, ours
+
+
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever the driver found it."""
+    """``mapInArrow`` whose workers can import this package wherever the driver found it.
+
+    Texts travel in batches of 8 MB, unless the session asks for another size: a
+    task holds a batch on both sides of the pipe, and long texts make large ones.
+    """
     ship_code(df.sparkSession)
+    key, default, ours = ARROW_BATCH
+    if df.sparkSession.conf.get(key, default) == default:
+        df.sparkSession.conf.set(key, ours)
     return df.mapInArrow(run, schema)
 
 

@@ -161,6 +161,11 @@ class Vocabulary:
 
     # -- trie ----------------------------------------------------------------------------------
 
+    def forget(self) -> None:
+        """Give back what only the texts of one task need: the worker process outlives it."""
+        for cache in (self.first, self.after, self.before, self.seams):
+            cache.clear()
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct words, as int32."""
         if not self.step:
@@ -342,9 +347,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in _some_rows(batches):
-            ids = own.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
-            yield _replaced(batch, keep, ids_col, _lists(ids))
+        try:
+            for batch in _some_rows(batches):
+                ids = own.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
+                yield _replaced(batch, keep, ids_col, _lists(ids))
+        finally:
+            own.forget()
 
     return arrow_map(df, run, schema)
 
