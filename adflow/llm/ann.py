@@ -4,9 +4,11 @@ The tree is fitted on a bounded sample (``FIT`` vectors): every node splits its
 share by k-means until a leaf stands for about ``LEAF`` rows of the table.  All
 rows are put into leaves.  A search keeps a priority queue of nodes by distance
 of their centre; it opens the nearest one, and each leaf it reaches is visited
-whole.  How many leaves are visited is calibrated: for ``CALIBRATION`` rows the
-true neighbours are found by brute force over the whole table, and visits are
-widened until ``TARGET`` of those neighbours lie in visited leaves.
+whole.  How many leaves are visited is calibrated: for ``CALIBRATION`` rows, the
+ones of least hash of the whole table, the true neighbours are found by brute
+force over the whole table, and visits are widened until ``TARGET`` of those
+neighbours lie in visited leaves.  A query whose leaves hold too few other items
+goes on until they hold ``k``.
 
 Queries meet the rows of a leaf in blocks: at most ``BLOCK`` rows against
 ``BLOCK`` queries in one group, so a leaf that holds a third of all rows, or
@@ -103,11 +105,11 @@ class Tree:
             todo.extend((child, some[near == c]) for c, child in enumerate(node.children) if (near == c).any())
         return out
 
-    def nearest_leaves(self, point: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves that best-bin-first reaches."""
+    def nearest_leaves(self, point: np.ndarray, most: int, items: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves that best-bin-first reaches, and further ones until they hold ``least`` of ``items``."""
         queue: list[tuple[float, int, Node]] = [(0.0, 0, self.root)]
-        found, pushed = [], 0
-        while queue and len(found) < most:
+        found, pushed, held = [], 0, 0
+        while queue and (len(found) < most or held < least):
             _, _, node = heapq.heappop(queue)
             while node.centres is not None:   # down to the nearest leaf; the siblings wait in the queue
                 far = squared(point[None], node.centres)[0]
@@ -118,6 +120,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[c]), pushed, child))
                 node = node.children[best]
             found.append(node.leaf)
+            held += (items or {}).get(node.leaf, 0)
         return found
 
 
@@ -193,12 +196,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
 
     index = scratch.write(arrow_map(rows, place, f"id long, vec {rows.schema['vec'].dataType.simpleString()}, leaf int"), "index")
     counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a leaf
-    ids = np.array(sample.column("id").to_pylist()[:CALIBRATION], dtype=np.int64)
-    visits = _calibrate(index, tree, ids, points[:CALIBRATION], k, target) if len(ids) else 1
+    # an id counts in one of its leaves only, so leaves together hold at least as many items as their sum
+    items = {r["leaf"]: r["n"] for r in index.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(CALIBRATION).toArrow()
+    ids = np.array(drawn.column("id").to_pylist(), dtype=np.int64)
+    visits = _calibrate(index, tree, ids, matrix(drawn.column("vec")), k, target) if len(ids) else 1
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [tree.nearest_leaves(p, visits) for p in matrix(batch.column(1))]
+            leaves = [tree.nearest_leaves(p, visits, items, k + 1) for p in matrix(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["id", "vec", "leaves"])
 
     queries = rows.where(is_query)

@@ -73,3 +73,26 @@ def test_few_and_no_candidates(spark):
     assert [tuple(r) for r in ann.ann_report(two).collect()] == [(100, 1, 1, 2.0)]
     assert ann.ann_report(spark.createDataFrame([(100, [1.0])], schema)).count() == 0
     assert ann.ann_report(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_recall_of_a_table_that_starts_with_copies(spark):
+    """What stands first must not decide how many leaves all queries visit; no query may come back short."""
+    rng = np.random.default_rng(31)
+    rows = [(i + 1, [9.0] * 8) for i in range(150) if (i + 1) % 100] + [(200 + i, rng.normal(size=8).tolist()) for i in range(3000)]
+    rows += [(100 * (100 + n), [50.0 * (n + 1) * (j == n) for j in range(8)]) for n in range(8)]   # far from all others
+    got = {}
+    for r in ann.ann_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows, 10)
+    assert set(got) == set(want) and all(len(near) == 10 for near in got.values())
+    hits = sum(len(got[q] & {i for _, i in near}) for q, near in want.items())
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_a_leaf_of_one_id_is_one_item():
+    tree = ann.Tree(np.array([[0.0], [0.1], [10.0], [10.1], [20.0], [20.1]]), 2)
+    at = tree.place(np.array([[0.0], [10.0], [20.0]])).tolist()
+    assert len(set(at)) == 3
+    items = {at[0]: 1, at[1]: 4, at[2]: 20}
+    assert tree.nearest_leaves(np.array([0.0]), 1) == [at[0]]
+    assert set(tree.nearest_leaves(np.array([0.0]), 1, items, 6)) >= set(at)
