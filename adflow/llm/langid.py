@@ -2,8 +2,8 @@
 
 Each language has a suffix automaton of a sample of its labelled text.  A text
 is parsed greedily into the longest phrases that occur in that sample; the
-language that needs the fewest phrases, normalised to bits per byte by the size
-of the sample, wins.  The sample is bounded and documented (``PER_LANGUAGE``
+language that needs the fewest phrases wins; a phrase costs the bits of a place
+in the largest sample, whatever the language, so a small sample is not cheap.  The sample is bounded and documented (``PER_LANGUAGE``
 excerpts of ``PER_TEXT`` characters, cut to ``SAMPLE`` bytes): the rows of least
 hash in each language, of which only a few times as many are ever shuffled.  It
 travels with the tasks, which build the automata once per worker.
@@ -17,7 +17,8 @@ Texts are lower-cased, and what is not a letter becomes one blank per run, for
 learning and for prediction alike.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-so is every text if no row can be learned from.  Rows with a null language are
+so is every text if no row can be learned from.  Excerpts without a letter are
+not learned, nor is a language that has no others.  Rows with a null language are
 predicted but not learned from; ties go to the language that sorts first; all
 input columns are kept, but ones named as an output are replaced; repeated rows
 each get their row; an empty table gives an empty table.
@@ -75,7 +76,8 @@ def learn(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col:
     start = 1 + F.pmod(order, F.greatest(F.length(text_col) - PER_TEXT, F.lit(1)))
     rows = (docs.where(may_learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
             .select(F.col(lang_col).alias("lang"), order.alias("order"),
-                    F.col(text_col).substr(start.cast("int"), F.lit(PER_TEXT)).alias("text")))
+                    F.col(text_col).substr(start.cast("int"), F.lit(PER_TEXT)).alias("text"))
+            .where(F.col("text").rlike(r"\p{L}")))
     found = rows.groupBy("lang").count().collect()   # a row a language
     if not found:
         return ()
@@ -124,7 +126,7 @@ class Parser:
 
     def __init__(self, model: Model):
         self.languages = [lang for lang, _ in model]
-        self.bits = np.log2([max(2, len(text)) for _, text in model])
+        self.bits = np.log2(max(2, *[len(text) for _, text in model]))   # of a phrase, in any language
         used = sorted({b for _, text in model for b in text})
         self.symbol = np.full(256, len(used), dtype=np.uint8 if len(used) < 255 else np.uint16)
         self.symbol[used] = np.arange(len(used))
@@ -186,7 +188,7 @@ def predict(texts: pa.Array, model: Model) -> tuple[pa.Array, np.ndarray]:
         return pa.array([UNDETERMINED] * len(texts), pa.string()), none
     own = parser(model)
     data, ends = normalise(texts)
-    bits = own.phrases(data, ends) * own.bits[:, None] / np.maximum(np.diff(ends), 1)
+    bits = own.phrases(data, ends) * own.bits / np.maximum(np.diff(ends), 1)
     best = bits.argmin(axis=0)
     odds = np.exp(-SHARPNESS * (bits - bits.min(axis=0)))
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)

@@ -69,3 +69,18 @@ def test_nothing_to_learn_from(spark):
     docs = documents(spark, [(1, "some text", None, "s"), (2, None, "aa", "s")])
     assert {(r["lang_pred"], r["score"]) for r in langid.language_report(docs).collect()} == {("und", 0.0)}
     assert langid.language_report(documents(spark, [])).count() == 0
+
+
+def test_tiny_samples_are_not_cheap(spark):
+    """One rare label on numbers, or on a single word, must not take the texts of other languages."""
+    rng = random.Random(6)
+    words = {"aa": [f"{a}{b}" for a in "bcdf" for b in ("an", "en", "ol")], "bb": [f"{a}{b}" for a in "klmn" for b in ("ik", "ut", "ar")]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(10 * n + k, text(lang, 60), lang, "s") for n in range(40) for k, lang in enumerate(words)]
+    rows += [(9001, "12 34 56", "zxx", "s"), (9002, "ok", "xx", "s")]
+    docs = documents(spark, rows)
+    model = langid.learn(docs, F.lit(True))
+    assert [lang for lang, _ in model] == ["aa", "bb", "xx"]
+    for own in (model, (*model, ("zxx", b" "))):
+        got = langid.identify(documents(spark, [(n, text(lang, 60), lang, "s") for n, lang in enumerate(["aa", "bb"] * 10)]), own).collect()
+        assert all(r["lang_pred"] == r["lang"] for r in got)
