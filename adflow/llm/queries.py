@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import ann, bpe, chat, exact_dedup, langid, mixing, near_dedup, passages, quality, url_filter
+from adflow.llm import ann, bpe, chat, decontaminate, exact_dedup, langid, mixing, near_dedup, passages, quality, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -57,6 +57,10 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark, sf_dir):
+    return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
@@ -68,6 +72,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE: dict[str, str] = {
@@ -75,4 +80,5 @@ ORACLE: dict[str, str] = {
     "op6_url_filter": url_filter.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op13_decontamination": decontaminate.ORACLE,
 }
