@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from adflow.llm import ann, bpe, chat, decontaminate, exact_dedup, langid, mixing, near_dedup, passages, quality, url_filter
+from adflow.llm import ann, bpe, chat, chat_repair, decontaminate, exact_dedup, langid, mixing, near_dedup, passages, quality, token_align, url_filter
 from adflow.plans.registry import QueryFn
 
 
@@ -13,8 +13,9 @@ def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tokenizer files lie at the same place on every machine; set ADFLOW_BPE_FILE for another one.
+#: Tokenizer files lie at the same place on every machine; set ADFLOW_BPE_FILE, ADFLOW_PIECE_FILE for others.
 BPE_FILE = os.environ.get("ADFLOW_BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = os.environ.get("ADFLOW_PIECE_FILE") or public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bpe(spark, sf_dir):
@@ -57,6 +58,14 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_repair(spark, sf_dir):
+    return chat_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_align(spark, sf_dir):
+    return token_align.alignment_report(_table(spark, sf_dir, "documents"), BPE_FILE, PIECE_FILE)
+
+
 def op13_decontamination(spark, sf_dir):
     return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +81,8 @@ QUERIES: dict[str, QueryFn] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_chat_repair": op11_chat_repair,
+    "op12_token_align": op12_token_align,
     "op13_decontamination": op13_decontamination,
 }
 
