@@ -86,6 +86,23 @@ def _count_tagged(u: DataFrame, campaigns: DataFrame, kind: str, size_ms: int, u
     return count_by_campaign(enrich(weighted, campaigns, unknown), kind, size_ms, weight="__w")
 
 
+def count_joined_enriched(events: DataFrame, kind: str, size_ms: int, view: str = "view", click: str = "click") -> DataFrame:
+    """:func:`count_joined_events` from events that carry a campaign of their own ``(ad_id, campaign_id, et,
+    event_time)``: a pair has its view's, and an ad may have had more than one (tumbling and sliding windows)."""
+    if kind == "session":
+        raise ValueError("sessions of enriched events are joined, not counted")
+    tagged = events.where(F.col("et").isin(view, click)).select(
+        "ad_id", "event_time", F.when(F.col("et") == view, F.col("campaign_id")).alias("__of"))
+    per_ad = tagged.groupBy("ad_id", window_column(kind, size_ms).alias("window"), "__of").agg(F.count(F.lit(1)).alias("__n"))
+    seen = F.col("__of").isNotNull()   # an ad has a few campaigns at most: those it had while the window was open
+    both = per_ad.groupBy("ad_id", "window").agg(
+        F.sum(F.when(~seen, F.col("__n"))).alias("__clicks"),
+        F.collect_list(F.when(seen, F.struct(F.col("__of").alias("campaign_id"), F.col("__n").alias("views")))).alias("__views"))
+    weighted = both.where("__clicks > 0").select(F.window_time("window").alias("event_time"), "__clicks", F.explode("__views").alias("v"))
+    return count_by_campaign(weighted.select("event_time", "v.campaign_id", (F.col("v.views") * F.col("__clicks")).alias("__w")),
+                             kind, size_ms, weight="__w")
+
+
 def count_joined_pairs(views: DataFrame, clicks: DataFrame, campaigns: DataFrame,
                        kind: str, size_ms: int, unknown: str = UNKNOWN) -> DataFrame:
     """The literal plan: enrich views, build every pair, count pairs (for checks)."""

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from adflow.functions.counting import counted
 from adflow.operators.series import densify, grid_from_bounds, step_of
 
 MATRIX_SCHEMA = (
@@ -29,11 +30,22 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def label_text(labels: Column | str = "labels") -> Column:
-    """The label set as one text, ``k=v`` in order of the names: what tells series apart."""
+def series_key(labels: Column | str = "labels") -> Column:
+    """The label set as its entries in order of the names: what tells series apart, whatever the values hold."""
     labels = F.col(labels) if isinstance(labels, str) else labels
-    return F.array_join(F.transform(F.array_sort(F.map_entries(labels)),
-                                    lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ",")
+    return F.array_sort(F.transform(F.map_entries(labels), lambda e: F.struct(
+        e["key"].alias("name"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+
+
+def label_text(labels: Column | str = "labels") -> Column:
+    """The label set as a JSON object, names in order."""
+    return F.to_json(F.map_from_entries(series_key(labels)))
+
+
+def seconds_up(ms: Column | str) -> Column:
+    """Epoch milliseconds -> whole seconds, rounded up (the bounds of a job in its time series)."""
+    ms = F.col(ms) if isinstance(ms, str) else ms
+    return F.ceil(ms / F.lit(1000.0)).cast("long")
 
 
 # --- matrix documents ---------------------------------------------------------------
@@ -45,8 +57,9 @@ def _matrix(docs: DataFrame, col: str) -> DataFrame:
 
 
 def explode_matrix(docs: DataFrame, col: str = "json", first_only: bool = False,
-                   order: str | None = None) -> DataFrame:
-    """Documents -> ``(metric, labels, ts, value, at)``; see :func:`failed_documents` for the others.
+                   order: str | None = None, skipped: str | Observation | None = None) -> DataFrame:
+    """Documents -> ``(metric, labels, ts, value, at)``; see :func:`failed_documents` for the others, which
+    ``skipped`` counts (``rows``: documents, ``failed``: those that give nothing).
 
     ``at`` is the place of the point's series: the document's ``order`` (a long
     column, 0 without one) and the number of the series in it.  ``first_only``
@@ -54,7 +67,8 @@ def explode_matrix(docs: DataFrame, col: str = "json", first_only: bool = False,
     of the range query).
     """
     place = F.col(order).cast("long") if order else F.lit(0).cast("long")
-    r = _matrix(docs, col).where("__ok").select(place.alias("__doc"), F.posexplode("__m.data.result").alias("__pos", "r"))
+    read = counted(_matrix(docs, col), skipped, failed=~F.col("__ok"))
+    r = read.where("__ok").select(place.alias("__doc"), F.posexplode("__m.data.result").alias("__pos", "r"))
     if first_only:
         r = r.where(F.col("__pos") == 0)
     pts = r.select("__doc", "__pos", F.col("r.metric").alias("__labels"), F.explode("r.values").alias("v"))
@@ -150,7 +164,7 @@ def series_by_label(df: DataFrame, label: str, metric: str | None = None,
     """
     raw = F.col("labels")[label]
     key = F.when(F.coalesce(raw, F.lit("")) == "", F.raise_error(F.lit(f"a selected sample has no label {label}")).cast("string")).otherwise(raw)
-    order = F.col("at") if "at" in df.columns else label_text()
+    order = F.col("at") if "at" in df.columns else series_key()
     picked = where_labels(df, metric).select(key.alias("__s"), "ts", "value", order.alias("__at"))
     points = picked.groupBy("__s", "ts").agg(F.max_by("value", "__at").alias("value"))
     kb = _on_job_grid(picked.select("__s").distinct(), job_bounds(df) if bounds is None else bounds)
@@ -159,15 +173,21 @@ def series_by_label(df: DataFrame, label: str, metric: str | None = None,
 
 
 def first_series(df: DataFrame, bounds: DataFrame | None = None, span: int = SPAN_POINTS) -> DataFrame:
-    """The single-series range query on the job grid: of each span of ``span`` seconds from the
-    start, the points of the first series that has any there (in the order of the label sets)."""
+    """The single-series range query on the job grid, asked for in spans of ``span`` seconds from the start.
+
+    Two spans in a row share the second at their edge.  Each span gives the
+    points of its first series (in the order of the label sets); where two spans
+    give a second, the later one stands, with a null as well.
+    """
     bounds = job_bounds(df) if bounds is None else bounds
-    part = F.floor((F.col("ts") - F.col("__start")) / F.lit(span))
-    placed = (df.withColumn("__start", bounds.select("start").scalar()).withColumn("__part", part)
-              .withColumn("__key", F.concat(F.col("metric"), F.lit(","), label_text())))
-    # one row per (part, second): the point of the part's first series, if it has one there
-    first = placed.groupBy("__part").agg(F.min("__key").alias("__key"))
-    return on_grid(placed.join(first, ["__part", "__key"]).groupBy("ts").agg(F.max_by("value", "ts").alias("value")), bounds)
+    off = F.col("ts") - F.col("__start")
+    part = F.floor(off / F.lit(span)).cast("long")
+    parts = F.when((off > 0) & (off % span == 0), F.array(part - 1, part)).otherwise(F.array(part))
+    placed = (df.withColumn("__start", bounds.select("start").scalar())
+              .select("ts", "value", F.struct(F.col("metric"), series_key()).alias("__key"), F.explode(parts).alias("__part")))
+    first = placed.groupBy("__part").agg(F.min("__key").alias("__key"))   # a row per span
+    points = placed.join(first, ["__part", "__key"]).groupBy("ts").agg(F.max_by("value", "__part").alias("value"))
+    return on_grid(points, bounds)
 
 
 def total_by_ts(df: DataFrame, metric: str, bounds: DataFrame | None = None) -> DataFrame:
@@ -175,44 +195,77 @@ def total_by_ts(df: DataFrame, metric: str, bounds: DataFrame | None = None) ->
     return metric_sum(df, metric, bounds=bounds)
 
 
-def trailing_max(df: DataFrame, by: Sequence[str], bounds: DataFrame, seconds: int = 3600, left_open: bool = True) -> DataFrame:
-    """``(*by, ts, value)``: per series, the max over the samples in ``(ts - seconds, ts]`` at each second
-    of its grid; ``df`` is ``(*by, ts, value)`` and ``bounds`` ``(*by, start, end)``.
-
-    A sliding max over a long frame costs O(rows x frame) in a window function.
-    Here the grid is cut into blocks as long as the frame ``L``: the frame of
-    ``ts`` is the tail of the previous block (a suffix max) plus the head of its
-    own block (a prefix max).  Both are running maxima per ``(series, block)``
-    (O(rows), split by block), and the suffix max is fetched by an equi-join on
-    the timestamp shifted by ``L - 1``.
+def trailing_max_steps(df: DataFrame, by: Sequence[str], seconds: int = 3600, left_open: bool = True) -> DataFrame:
+    """``(*by, first, last, value)``: the seconds ``first`` to ``last`` over which the max of the samples of
+    ``df(*by, ts, value)`` in ``(ts - seconds, ts]`` is ``value``; seconds without a sample in reach are in none.
+
+    Time is cut into blocks as long as the frame, so the frame of a second is the
+    head of its own block (a running max forwards) and the tail of the block
+    before (a running max backwards).  Both change at samples only: every sample
+    marks where its head begins in its block and its tail in the next one, and
+    the marks of a block, in order, make its steps.  All windows are over the
+    samples of one (series, block), so a row's work does not depend on the grid
+    and a long series is many groups.
     """
     by = list(by)
     frame = seconds if left_open else seconds + 1
-    # second-resolution grid (checked), padded by one frame before the start so the
-    # shifted suffix lookup always finds its row; the padding is dropped at the end
-    seconds_only = F.when(step_of(F.col("start"), F.col("end")) == 1, F.col("end")).otherwise(
+    block = F.floor(F.col("ts") / F.lit(frame)).cast("long")
+    rows = df.where("value IS NOT NULL").select(*by, "ts", F.col("value").cast("double").alias("value"), block.alias("__blk"))
+    forth = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").asc())
+    back = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").desc())
+    so_far = (Window.unboundedPreceding, 0)
+    runs = rows.select(*by, "ts", "__blk", F.max("value").over(forth.rowsBetween(*so_far)).alias("__head"),
+                       F.max("value").over(back.rowsBetween(*so_far)).alias("__tail"),
+                       F.lag("ts").over(forth).alias("__before"), F.lead("ts").over(forth).isNull().alias("__ends"))
+    ts, then = F.col("ts"), F.col("__blk") + 1
+    tail = "struct<v:double>"   # not null with a null in it: from here on the block before is out of reach
+    mark = lambda blk, at, head, of: F.struct(blk.alias("__blk"), at.alias("first"), head.alias("head"), of.cast(tail).alias("tail"))
+    begins = F.coalesce(F.col("__before") + frame, then * frame)
+    marks = F.array(mark(F.col("__blk"), ts, F.col("__head"), F.lit(None)),
+                    F.when(begins < ts + frame, mark(then, begins, F.lit(None).cast("double"), F.struct(F.col("__tail").alias("v")))),
+                    F.when(F.col("__ends"), mark(then, ts + frame, F.lit(None).cast("double"), F.struct(F.lit(None).cast("double").alias("v")))))
+    marked = runs.select(*by, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select(*by, "m.*")
+    order = Window.partitionBy(*by, "__blk").orderBy("first")
+    end = F.coalesce(F.lead("first").over(order), (F.col("__blk") + 1) * frame) - 1
+    # peers of one second see each other's head and tail; all but the last of them get an empty step
+    steps = marked.select(*by, "first", end.alias("last"), F.greatest(
+        F.last("head", ignorenulls=True).over(order), F.last("tail", ignorenulls=True).over(order)["v"]).alias("value"))
+    return steps.where("first <= last AND value IS NOT NULL")
+
+
+def _each_second(steps: DataFrame, *keys: str) -> DataFrame:
+    """``steps`` with ``start`` and ``end`` of their grid -> ``(*keys, ts, value)`` within it."""
+    inside = steps.select(*keys, F.greatest("first", "start").alias("first"), F.least("last", "end").alias("last"), "value")
+    return inside.where("first <= last").select(*keys, F.explode(F.sequence("first", "last")).alias("ts"), "value")
+
+
+def _seconds_only(bounds: DataFrame) -> DataFrame:
+    """``bounds``, which fail the query if they are not in 10-digit seconds."""
+    end = F.when(step_of(F.col("start"), F.col("end")) == 1, F.col("end")).otherwise(
         F.raise_error(F.lit("metric grid needs 10-digit seconds")).cast("long"))
-    padded = bounds.select(*by, F.col("start").alias("__first"), (F.col("start") - F.lit(frame - 1)).alias("__ps"), seconds_only.alias("__pe"))
-    dense = grid_from_bounds(padded, by=by, start="__ps", end="__pe", step=1, carry=["__first"]).join(
-        df.select(*by, "ts", "value"), on=[*by, "ts"], how="left")
-    staged = dense.withColumn("__blk", F.floor(F.col("ts") / F.lit(frame)).cast("long"))
-    head = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(*by, "__blk").orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    runs = staged.select(*by, "ts", "__first", F.max("value").over(head).alias("__pre"), F.max("value").over(tail).alias("__suf"))
-    shifted = runs.select(*by, (F.col("ts") + F.lit(frame - 1)).alias("ts"), F.col("__suf").alias("__prev_suf"))
-    joined = runs.where(F.col("ts") >= F.col("__first")).select(*by, "ts", "__pre").join(shifted, on=[*by, "ts"], how="left")
-    last_of_block = F.pmod(F.col("ts"), F.lit(frame)) == F.lit(frame - 1)
-    return joined.select(*by, "ts", F.greatest(F.col("__pre"), F.when(~last_of_block, F.col("__prev_suf"))).alias("value"))
+    return bounds.withColumn("end", end)
+
+
+def trailing_max(df: DataFrame, by: Sequence[str], bounds: DataFrame, seconds: int = 3600, left_open: bool = True) -> DataFrame:
+    """``(*by, ts, value)``: per series, the max over the samples in ``(ts - seconds, ts]`` at each second
+    of its grid; ``df`` is ``(*by, ts, value)`` and ``bounds`` ``(*by, start, end)``."""
+    by = list(by)
+    bounds = _seconds_only(bounds)
+    dense = _each_second(trailing_max_steps(df, by, seconds, left_open).join(bounds, by), *by)
+    return grid_from_bounds(bounds, by=by).join(dense, [*by, "ts"], "left").select(*by, "ts", "value")
 
 
 def trailing_max_sum(df: DataFrame, metric: str, seconds: int = 3600, left_open: bool = True,
                      bounds: DataFrame | None = None) -> DataFrame:
     """``sum(max_over_time(metric[seconds]))`` on the job grid (1-second steps): the trailing max of every
     series -- every label set -- and their sum per second."""
-    key = label_text().alias("__s")
-    per_ts = where_labels(df, metric).select(key, "ts", nan_to_null("value").alias("value")).groupBy("__s", "ts").agg(F.max("value").alias("value"))
-    kb = _on_job_grid(per_ts.select("__s").distinct(), job_bounds(df) if bounds is None else bounds)
-    return trailing_max(per_ts, ["__s"], kb, seconds, left_open).groupBy("ts").agg(F.sum("value").alias("value"))
+    picked = where_labels(df, metric)
+    per_ts = picked.select(series_key().alias("__s"), "ts", nan_to_null("value").alias("value")).groupBy("__s", "ts").agg(F.max("value").alias("value"))
+    bounds = _seconds_only(job_bounds(df) if bounds is None else bounds)
+    steps = _on_job_grid(trailing_max_steps(per_ts, ["__s"], seconds, left_open), bounds)
+    sums = _each_second(steps).groupBy("ts").agg(F.sum("value").alias("value"))
+    any_series = _on_job_grid(picked.select("metric").limit(1), bounds)   # without a series there is no grid
+    return grid_from_bounds(any_series).join(sums, "ts", "left").select("ts", "value")
 
 
 def _delay(source: Column, sink: Column, workers: Column, limit: float) -> Column:
@@ -259,7 +312,7 @@ def uptime_seconds(df: DataFrame, by: Sequence[str] = (), bounds: DataFrame | No
     """
     by = list(by)
     end = (job_bounds(df) if bounds is None else bounds).select("end").scalar()
-    order = label_text() if "labels" in df.columns else F.lit(0)
+    order = series_key() if "labels" in df.columns else F.lit(0)
     at_end = F.when(F.col("ts") == F.col("__end"), F.col("value"))
     own = df.withColumn("__end", end).groupBy(*by).agg(F.min_by(at_end, F.struct(order, -F.col("ts"))).alias("__v"))
     secs = F.coalesce(F.expr("CAST(__v AS BIGINT) div 1000"), F.lit(0).cast("long"))
@@ -285,7 +338,7 @@ def export_series(samples: DataFrame, job: str, terms: Mapping[str, Term], scrat
     part |= {f"s_{n}": F.sum(F.when(F.col("value") > 0, _picked(terms[n]))) for n in ("source", "sink")}
     part |= {"n_workers": F.count(_picked(terms["workers"])), "m_capacity": F.max(_picked(terms["capacity"])),
              "m_restarts": F.max(nan_to_null(_picked(terms["restarts"])))}
-    table = samples.groupBy(F.col("labels")[job].alias("job_id"), label_text().alias("series"), "ts").agg(
+    table = samples.groupBy(F.col("labels")[job].alias("job_id"), series_key().alias("series"), "ts").agg(
         *[c.alias(n) for n, c in part.items()])
     table.write.parquet(scratch)
     table = samples.sparkSession.read.schema(table.schema).parquet(scratch)
@@ -297,8 +350,8 @@ def export_series(samples: DataFrame, job: str, terms: Mapping[str, Term], scrat
               "delay": _delay(F.col("s_source"), F.col("s_sink"), workers, limit),
               "stateUsage": F.try_divide(F.col("s_usage") + F.col("s_pinned"), F.col("m_capacity") * workers)}
     restarts = table.select("job_id", "series", "ts", F.col("m_restarts").alias("value")).where("value IS NOT NULL")
-    kb = restarts.select("job_id", "series").distinct().join(bounds, "job_id")
-    tops = trailing_max(restarts, ["job_id", "series"], kb, restarts_seconds).groupBy("job_id", "ts").agg(F.sum("value").alias("numRestarts"))
+    steps = trailing_max_steps(restarts, ["job_id", "series"], restarts_seconds).join(_seconds_only(bounds), "job_id")
+    tops = _each_second(steps, "job_id").groupBy("job_id", "ts").agg(F.sum("value").alias("numRestarts"))
     grid = grid_from_bounds(bounds, by=["job_id"])
     wide = (grid.join(whole.select("job_id", "ts", *[c.alias(n) for n, c in values.items()]), ["job_id", "ts"], "left")
             .join(tops, ["job_id", "ts"], "left"))

@@ -1,13 +1,16 @@
 """Experiment profiles: one summary row per (experiment, job), and the profile table.
 
-The table has 16 NOT NULL columns and lies in one folder, partitioned by
-``expId``: an insert appends files, reading an experiment reads its folder only,
-and a delete drops folders, or rewrites those of the experiments that lose some
-of their jobs.  Any process that knows the folder can open it.
+The table has 16 NOT NULL columns and lies in one folder of plain Parquet.  An
+insert is a folder of its own, named by its run: the same run again replaces it.
+A delete is an anti-join written as the table's next version, which counts once
+it is complete; ids stay on the executors, and a call is one step.  Any process
+that knows the folder can open it; one process writes at a time.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,36 +130,56 @@ class ProfileTable:
         self._path = lambda *parts: path("/".join([self.root, *parts]))
         self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _version(self) -> int:
+        """The number of the newest complete version; version 0 is made of inserts alone."""
+        if not self._fs.exists(self._path()):
+            return 0
+        names = [str(s.getPath().getName()) for s in self._fs.listStatus(self._path())]
+        numbers = sorted((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), reverse=True)
+        return next((n for n in numbers if n and self._fs.exists(self._path(f"version={n}", "_SUCCESS"))), 0)
+
+    def _rows(self) -> DataFrame:
+        """The rows with their ``run``."""
+        schema = T.StructType([*PROFILE_SCHEMA.fields, T.StructField("run", T.StringType())])
+        where = f"version={self._version()}"
+        if not self._fs.exists(self._path(where)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{where}")
+
     def create(self, exp_id: int | None = None) -> ProfileTable:
         """Make the folder if there is none; with ``exp_id``, remove that experiment's rows."""
         self._fs.mkdirs(self._path())
         if exp_id is not None:
-            self._fs.delete(self._path(f"expId={int(exp_id)}"), True)
+            self.delete([exp_id])
         return self
 
     def read(self) -> DataFrame:
-        if not self._fs.exists(self._path()):
-            return self.spark.createDataFrame([], PROFILE_SCHEMA)
-        return self.spark.read.schema(PROFILE_SCHEMA).parquet(self.root).select(*PROFILE_COLUMNS)
+        return self._rows().select(*PROFILE_COLUMNS)
+
+    def insert(self, rows: DataFrame, run: str | None = None) -> None:
+        """Add ``rows`` as ``run`` (a name of its own, unless given), in place of what that run has added before."""
+        run = uuid.uuid4().hex if run is None else run
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", run):
+            raise ValueError(f"a run's name must do for a folder: {run!r}")
+        complete(rows).write.mode("overwrite").parquet(f"{self.root}/version={self._version()}/run={run}")
 
-    def insert(self, rows: DataFrame) -> None:
-        complete(rows).repartition("expId").write.mode("append").partitionBy("expId").parquet(self.root)
+    def _rewrite(self, left: DataFrame) -> None:
+        old = self._version()
+        left.repartitionByRange("run", "expId").write.mode("overwrite").partitionBy("run").parquet(f"{self.root}/version={old + 1}")
+        self._fs.delete(self._path(f"version={old}"), True)
 
     def delete(self, exp_ids) -> None:
-        """Drop whole experiments (one folder each); ids may be a DataFrame, whose distinct ids are listed."""
-        ids = _ids(exp_ids)
-        for e in [r["expId"] for r in ids.collect()] if isinstance(ids, DataFrame) else ids:
-            self._fs.delete(self._path(f"expId={e}"), True)
+        """Drop whole experiments; ids may be a DataFrame."""
+        ids, rows = _ids(exp_ids), self._rows()
+        if isinstance(ids, DataFrame):
+            self._rewrite(rows.join(ids, "expId", "left_anti"))
+        else:
+            self._rewrite(rows.where(~F.col("expId").isin(ids)))
 
     def delete_jobs(self, pairs: DataFrame) -> None:
-        """Drop the rows of each ``(expId, jobId)`` of ``pairs``: the experiments that keep others are rewritten."""
+        """Drop the rows of each ``(expId, jobId)`` of ``pairs``."""
         gone = pairs.select(F.col("expId").cast("int").alias("expId"), "jobId").distinct()
-        touched = self.read().join(gone.select("expId").distinct(), "expId", "left_semi")
-        left = touched.join(gone, ["expId", "jobId"], "left_anti").select(*PROFILE_COLUMNS)
-        empty = touched.select("expId").distinct().join(left.select("expId").distinct(), "expId", "left_anti")
-        drop = [r["expId"] for r in empty.collect()]
-        left.repartition("expId").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("expId").parquet(self.root)
-        self.delete(drop)
+        self._rewrite(self._rows().join(gone, ["expId", "jobId"], "left_anti"))
 
     def select(self, exp_ids) -> DataFrame:
         return profiles_select(self.read(), exp_ids)

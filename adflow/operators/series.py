@@ -298,5 +298,28 @@ def to_json_text(df: DataFrame, chunk_span: int, by: Sequence[str] = ("series_id
     return c.select(*by, "chunk", "chunk_start", "series_count", text.alias("json"))
 
 
+def write_series_json(df: DataFrame, path: str, chunk_span: int, by: Sequence[str] = ("series_id",)) -> None:
+    """One JSON document per series, as text files in a folder of its own (``<by>=<value>/``).
+
+    The files of a folder, in order of their names, are the document, one chunk a
+    line: rows are range-partitioned by series and chunk, so a long series is
+    written by many tasks and no row is longer than a chunk.
+    """
+    by = list(by)
+    parts = to_json_text(df, chunk_span, by)
+    parts.orderBy(*by, "chunk").select(*by, F.col("json").alias("value")).write.mode("errorifexists").partitionBy(*by).text(path)
+
+
+def read_series_json(spark: SparkSession, path: str, by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """The points ``(*by, ts, value)`` of :func:`write_series_json`, line by line, with the document's ``count`` where it is told."""
+    by = list(by)
+    lines = spark.read.schema("value string" + "".join(f", {c} string" for c in by)).text(path)
+    inner = F.regexp_replace(F.regexp_replace("value", r'^(\{"observations":\[|, )', ""), r'\],"count":[0-9]+\}$', "")
+    points = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<struct<timestamp:bigint,value:double>>")
+    count = F.regexp_extract("value", r'\],"count":([0-9]+)\}$', 1).try_cast("bigint")
+    return (lines.select(*by, F.explode_outer(points).alias("o"), count.alias("count"))
+            .select(*by, F.col("o.timestamp").alias("ts"), F.col("o.value").alias("value"), "count"))
+
+
 def sorted_series(df: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
     return df.orderBy(*by, "ts")

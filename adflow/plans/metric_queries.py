@@ -33,12 +33,15 @@ BACKPRESSURE_ABOVE = 100.0
 EXP_SECONDS = 20  # bucketed seconds per experiment (= 1000 events)
 SINGLE_SPAN = 40  # seconds of a range query's part in the single-series form
 
-_LABELS = ("'pod-' || CAST(user_id % 4 AS VARCHAR) AS pod, 'default' AS namespace, "
+_LABELS = ("CASE WHEN user_id % 4 = 3 AND event_id % 2 <> 0 THEN 'pod-3,zone=z' ELSE 'pod-' || CAST(user_id % 4 AS VARCHAR) END AS pod, "
+           "CASE WHEN user_id % 4 = 3 AND event_id % 2 = 0 THEN 'z' END AS zone, 'default' AS namespace, "
            "'job-' || CAST(user_id % 3 AS VARCHAR) AS job, 'op-' || CAST(event_id % 3 AS VARCHAR) AS operator_name")
-_TEXT = "'job=' || job || ',namespace=' || namespace || ',operator_name=' || operator_name || ',pod=' || pod AS lt"
+_ENTRIES = [(n, f"{{'name': '{n}', 'value': {n}}}") for n in ("job", "namespace", "operator_name", "pod")]
+#: a label set: its entries in order of the names
+_TEXT = ("list_filter([" + ", ".join(e for _, e in _ENTRIES) + ", {'name': 'zone', 'value': zone}], lambda x: x.value IS NOT NULL) AS lt")
 PS = f"(SELECT *, {_TEXT} FROM (SELECT event_type AS metric, {_LABELS}, {BASE} + event_id AS ts, value FROM events) p0)"
 BS = f"(SELECT *, {_TEXT} FROM (SELECT event_type AS metric, {_LABELS}, {BASE} + event_id // {BUCKET} AS ts, value FROM events) b0)"
-US = f"(SELECT metric, pod, namespace, job, operator_name, lt, ts, max(value) AS value FROM {BS} u0 GROUP BY ALL)"
+US = f"(SELECT metric, pod, zone, namespace, job, operator_name, lt, ts, max(value) AS value FROM {BS} u0 GROUP BY ALL)"
 
 
 def _on_grid_sql(src: str, per_ts_sql: str, digits: int = 6) -> str:
@@ -68,7 +71,9 @@ def _r(df, digits=6):
 
 # --- matrix documents ---------------------------------------------------------------
 
-@query("matrix_explode", f"SELECT metric, lt AS labels, ts, value FROM {US} s")
+@query("matrix_explode", f"""
+SELECT metric, '{{"job":"' || job || '","namespace":"' || namespace || '","operator_name":"' || operator_name || '","pod":"' || pod
+       || CASE WHEN zone IS NULL THEN '' ELSE '","zone":"' || zone END || '"}}' AS labels, ts, value FROM {US} s""")
 def q_matrix_explode(spark, sf):
     return M.explode_matrix(td.matrix_docs(us(spark, sf))).select("metric", M.label_text().alias("labels"), "ts", "value")
 
@@ -87,9 +92,11 @@ def q_metric_by_label(spark, sf):
 
 @query("metric_single_series", f"""
 WITH s AS {US}, r AS (SELECT min(ts) AS lo, max(ts) AS hi FROM s),
-p AS (SELECT lt, ts, value, (ts - lo) // {SINGLE_SPAN} AS part FROM s, r WHERE metric = 'view'),
+q AS (SELECT lt, ts, value, (ts - lo) // {SINGLE_SPAN} AS part, ts - lo AS off FROM s, r WHERE metric = 'view'),
+p AS (SELECT lt, ts, value, part FROM q UNION ALL SELECT lt, ts, value, part - 1 FROM q WHERE off > 0 AND off % {SINGLE_SPAN} = 0),
 f AS (SELECT part, min(lt) AS lt FROM p GROUP BY part),
-v AS (SELECT p.ts, p.value FROM p JOIN f ON p.part = f.part AND p.lt = f.lt),
+v AS (SELECT ts, value FROM (SELECT p.ts, p.value, row_number() OVER (PARTITION BY p.ts ORDER BY p.part DESC) AS rn
+      FROM p JOIN f ON p.part = f.part AND p.lt = f.lt) x WHERE rn = 1),
 g AS (SELECT unnest(range(lo, hi + 1)) AS ts FROM r)
 SELECT g.ts, v.value FROM g LEFT JOIN v ON g.ts = v.ts""")
 def q_single_series(spark, sf):
@@ -97,6 +104,17 @@ def q_single_series(spark, sf):
     return M.first_series(M.where_labels(df, "view"), bounds=M.job_bounds(df), span=SINGLE_SPAN)
 
 
+@query("metric_job_bounds", """
+SELECT 'job-' || CAST(user_id % 3 AS VARCHAR) AS job_id, CAST(ceil(min(epoch_ms(ts)) / 1000.0) AS BIGINT) AS "start",
+       CAST(ceil(max(epoch_ms(ts)) / 1000.0) AS BIGINT) AS "end" FROM events GROUP BY 1""")
+def q_job_bounds(spark, sf):
+    """The first and last event of a job, in milliseconds, as bounds in seconds."""
+    ev = td.table(spark, sf, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    job = F.concat(F.lit("job-"), F.pmod(F.col("user_id"), F.lit(3)).cast("string"))
+    return ev.groupBy(job.alias("job_id")).agg(M.seconds_up(F.min(ms)).alias("start"), M.seconds_up(F.max(ms)).alias("end"))
+
+
 @query("metric_series_keys", f"SELECT DISTINCT pod FROM {PS} s")
 def q_series_keys(spark, sf):
     return M.series_keys(ps(spark, sf), "pod")

@@ -168,6 +168,18 @@ def q_to_json(spark, sf):
     return S.to_json_text(series(spark, sf), chunk_span=CHUNK_S)
 
 
+@query("series_json_documents", f"""
+WITH s AS {SER}, n AS (SELECT series_id, count(*) AS "count" FROM s GROUP BY 1)
+SELECT s.series_id, s.ts, s.value, n."count" FROM s JOIN n ON s.series_id = n.series_id""")
+def q_json_documents(spark, sf):
+    """One document per series, written and read again."""
+    path = scratch_dir(spark, "series-json")
+    S.write_series_json(series(spark, sf), path, chunk_span=CHUNK_S)
+    back = S.read_series_json(spark, path)
+    told = back.groupBy("series_id").agg(F.max("count").alias("count"))
+    return back.drop("count").join(told, "series_id")
+
+
 def _stats_sql(strict: bool) -> str:
     mn = "min(value)" if strict else "least(0.0, coalesce(min(value), 0.0))"
     mx = "max(value)" if strict else "greatest(0.0, coalesce(max(value), 0.0))"

@@ -54,3 +54,17 @@ def load_campaigns(spark: SparkSession, path: str) -> DataFrame:
 def save_campaigns(dim: DataFrame, path: str) -> None:
     """Replace the stored table (the store is emptied first, as in the reference)."""
     dim.select("ad_id", "campaign_id").write.mode("overwrite").parquet(path)
+
+
+def add_campaigns(dim: DataFrame, path: str, version: int) -> None:
+    """Add ads (or new campaigns of known ads) as ``version``; a version is written once."""
+    assert_unique(dim)
+    dim.select("ad_id", "campaign_id").write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={int(version)}")
+
+
+def current_campaigns(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The table as it is now (or was at version ``upto``): of an ad in several versions, the latest counts."""
+    rows = spark.read.schema("ad_id string, campaign_id string, version long").parquet(path)
+    if upto is not None:
+        rows = rows.where(F.col("version") <= upto)
+    return rows.groupBy("ad_id").agg(F.max_by("campaign_id", "version").alias("campaign_id"))

@@ -8,9 +8,11 @@ The record timestamp is the event time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from adflow.functions.counting import counted
+
 WIRE_COLUMNS = ("key", "value", "timestamp", "partition", "offset")
 
 
@@ -47,34 +49,38 @@ def read_events(
 
 def _string_field(name: str) -> Column:
     """The JSON string at ``name`` of the variant ``__doc``; null when it is missing or of another kind."""
-    path = f"$.{name}"
-    kind = F.schema_of_variant(F.try_variant_get("__doc", path, "variant"))
-    return F.when(kind == "STRING", F.try_variant_get("__doc", path, "string"))
+    field = F.try_variant_get("__doc", f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get("__doc", f"$.{name}", "string"))
+
+
+def _once(df: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
+    """``keep`` and ``value`` as column ``name``, worked out once a row: a generator is not merged into what reads it."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
 def _parsed(df: DataFrame) -> DataFrame:
     """``df`` plus ``__event`` ``(ts, id, et)``, null when the record is malformed.
 
     All three fields must be JSON strings and ``ts`` a whole number in decimal
-    digits (an optional sign, no blanks) that fits a long.
+    digits (an optional sign, no blanks) that fits a long.  Each record is parsed
+    once and each field read once.
     """
-    doc = df.withColumn("__doc", F.try_parse_json(F.col("value").cast("string")))
-    text = doc.select("*", _string_field("ts").alias("__ts"), _string_field("id").alias("__id"),
-                      _string_field("et").alias("__et"))
-    ts = F.when(F.col("__ts").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(__ts AS BIGINT)"))
-    event = F.struct(ts.alias("ts"), F.col("__id").alias("id"), F.col("__et").alias("et"))
-    whole = ts.isNotNull() & F.col("__id").isNotNull() & F.col("__et").isNotNull()
-    return text.select(*df.columns, F.when(whole, event).alias("__event"))
+    doc = _once(df, df.columns, "__doc", F.try_parse_json(F.col("value").cast("string")))
+    text = _once(doc, df.columns, "__text", F.struct(*[_string_field(n).alias(n) for n in ("ts", "id", "et")]))
+    ts = F.when(F.col("__text.ts").rlike("^[+-]?[0-9]+$"), F.expr("try_cast(__text.ts AS BIGINT)"))
+    event = F.struct(ts.alias("ts"), F.col("__text.id").alias("id"), F.col("__text.et").alias("et"))
+    whole = ts.isNotNull() & F.col("__text.id").isNotNull() & F.col("__text.et").isNotNull()
+    return _once(text, df.columns, "__event", F.when(whole, event))
 
 
-def decode(df: DataFrame, mode: str = "failfast") -> DataFrame:
+def decode(df: DataFrame, mode: str = "failfast", skipped: str | Observation | None = None) -> DataFrame:
     """JSON value -> ``(ad_id, ts, et, event_time)``.
 
     ``failfast``: any malformed record fails the job, whichever columns are read
     later.  The check is a row predicate and also stands before every output
     column, so neither column pruning nor the order of filters can skip it.
     ``permissive``: malformed records are dropped here and returned by
-    :func:`quarantined`.
+    :func:`quarantined`; ``skipped`` counts them (``rows``: records, ``malformed``).
     Event time is the record ``timestamp`` when present, else ``ts``.
     """
     if mode not in ("failfast", "permissive"):
@@ -86,13 +92,22 @@ def decode(df: DataFrame, mode: str = "failfast") -> DataFrame:
         staged = staged.where(F.when(event.isNull(), stop.cast("boolean")).otherwise(F.lit(True)))
         event = F.when(event.isNull(), stop.cast("struct<ts:bigint,id:string,et:string>")).otherwise(event)
     else:
-        staged = staged.where(event.isNotNull())
+        staged = counted(staged, skipped, malformed=event.isNull()).where(event.isNotNull())
     has_record_time = "timestamp" in df.columns
     event_time = F.col("timestamp").cast("timestamp") if has_record_time else F.timestamp_millis(event["ts"])
     return staged.select(event["id"].alias("ad_id"), event["ts"].alias("ts"), event["et"].alias("et"),
                          event_time.alias("event_time"))
 
 
+def decode_all(df: DataFrame) -> DataFrame:
+    """Every record as ``wire`` (its columns) and ``event`` ``(ad_id, ts, et, event_time)``, null when malformed."""
+    staged = _parsed(df)
+    e = F.col("__event")
+    time = F.col("timestamp").cast("timestamp") if "timestamp" in df.columns else F.timestamp_millis(e["ts"])
+    event = F.struct(e["id"].alias("ad_id"), e["ts"].alias("ts"), e["et"].alias("et"), time.alias("event_time"))
+    return staged.select(F.struct(*df.columns).alias("wire"), F.when(e.isNotNull(), event).alias("event"))
+
+
 def quarantined(df: DataFrame) -> DataFrame:
     """The records :func:`decode` cannot turn into an ad event (wire columns kept)."""
     keep = [c for c in WIRE_COLUMNS if c in df.columns]

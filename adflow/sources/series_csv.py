@@ -15,9 +15,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from adflow.functions.counting import counted
 from adflow.operators.series import grid_from_bounds
 from adflow.sources.lines import (drop_first_line_per_file, line_numbers, order_key,
                                   with_line_order)
@@ -45,8 +46,9 @@ def _lines(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "false").text(path)
 
 
-def read_series_csv(spark: SparkSession, path: str, sep: str = "|",
-                    header: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def read_series_csv(spark: SparkSession, path: str, sep: str = "|", header: bool = True,
+                    by: Sequence[str] = (), skipped: Observation | None = None) -> DataFrame:
+    """The series of the files below ``path``; ``skipped`` counts ``rows`` (lines) and those that are ``unparsed``."""
     by = list(by)
     lines = with_line_order(_lines(spark, path, by))
     if header:
@@ -66,7 +68,8 @@ def read_series_csv(spark: SparkSession, path: str, sep: str = "|",
         F.when(F.col("__last").isNull(), F.raise_error(F.lit("bad last line")).cast("long"))
         .otherwise(F.col("__last")).alias("end"),
     )
-    good = parsed.where(F.col("ts").isNotNull() & F.col("value").isNotNull() & F.col("__has_value"))
+    parses = F.col("ts").isNotNull() & F.col("value").isNotNull() & F.col("__has_value")
+    good = counted(parsed, skipped, unparsed=~parses).where(parses)
     last_wins = good.groupBy(*by, "ts").agg(F.max_by("value", "__k").alias("value"))
     g = grid_from_bounds(bounds, by)
     return g.join(last_wins, on=[*by, "ts"], how="left").select(*by, "ts", "value")

@@ -13,7 +13,9 @@ These map the generic tables onto the data model of the operators:
   event_id (10-digit seconds).
 * samples      <- the same rows as metric samples with the labels ``pod``
   (``pod-`` || user_id % 4), ``job`` (``job-`` || user_id % 3) and ``operator_name``
-  (``op-`` || event_id % 3); ``bucket`` > 1 groups events into shared seconds.
+  (``op-`` || event_id % 3); ``bucket`` > 1 groups events into shared seconds.  Of
+  ``pod-3``, events of even id carry a label ``zone`` = ``z`` and the others have the
+  pod ``pod-3,zone=z`` instead: two label sets that a plain text would make one.
 """
 
 from __future__ import annotations
@@ -87,15 +89,18 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, bucket: int = 1) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    pod = F.concat(F.lit("pod-"), F.pmod(F.col("user_id"), F.lit(4)).cast("string"))
+    number = F.pmod(F.col("user_id"), F.lit(4))
+    zoned = (number == 3) & (F.pmod(F.col("event_id"), F.lit(2)) == 0)
+    pod = F.concat(F.lit("pod-"), number.cast("string"), F.when((number == 3) & ~zoned, F.lit(",zone=z")).otherwise(F.lit("")))
     job = F.concat(F.lit("job-"), F.pmod(F.col("user_id"), F.lit(3)).cast("string"))
     operator = F.concat(F.lit("op-"), F.pmod(F.col("event_id"), F.lit(3)).cast("string"))
     ts = F.lit(SERIES_BASE_S) + (F.col("event_id") if bucket == 1
                                  else F.floor(F.col("event_id") / bucket).cast("long"))
     return ev.select(
         F.col("event_type").alias("metric"),
-        F.create_map(F.lit("pod"), pod, F.lit("namespace"), F.lit("default"),
-                     F.lit("job"), job, F.lit("operator_name"), operator).alias("labels"),
+        F.map_filter(F.create_map(F.lit("pod"), pod, F.lit("namespace"), F.lit("default"), F.lit("job"), job,
+                                  F.lit("operator_name"), operator, F.lit("zone"), F.when(zoned, F.lit("z"))),
+                     lambda k, v: v.isNotNull()).alias("labels"),
         ts.cast("long").alias("ts"),
         "value",
     )

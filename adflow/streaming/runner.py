@@ -47,9 +47,13 @@ def start(config: PipelineConfig, wire: DataFrame, campaigns: DataFrame, checkpo
     """Start the job; ``wire`` is a streaming DataFrame of Kafka-shaped rows."""
     if not has_sink(config):
         raise ValueError("neither join nor aggregate is applied: nothing to write")
-    spark = wire.sparkSession
-    use_rocksdb(spark)
-    out = job_messages(config, wire, campaigns)
+    return start_messages(config, job_messages(config, wire, campaigns), checkpoint, sink, path, options, trigger, query_name)
+
+
+def start_messages(config: PipelineConfig, out: DataFrame, checkpoint: str, sink: str = "text", path: str | None = None,
+                   options: dict | None = None, trigger: dict | None = None, query_name: str | None = None) -> StreamingQuery:
+    """Write the stream ``out`` of message ``value`` rows to the job's sink."""
+    use_rocksdb(out.sparkSession)
     w = (out.writeStream.outputMode("append")
          .option("checkpointLocation", checkpoint)
          .queryName(query_name or config.job_name))

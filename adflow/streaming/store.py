@@ -1,77 +1,38 @@
-"""Latest count per (campaign, window) with an update time -- a keyed result table.
+"""Latest count per (campaign, window): plain Parquet, partitioned by window and micro-batch.
 
-Every micro-batch (or batch call) writes its updated rows to
-``<path>/log/batch_id=<n>``, replacing that folder if the batch is retried, so a
-re-run batch cannot double anything.  The current table is the row of the
-highest batch per key.  Every ``COMPACT_EVERY`` batches the table as of a batch
-is written to ``<path>/snapshot/upto=<n>``; a reader takes the newest complete
-snapshot and the batches after it, so it never scans more than that many.
+Every micro-batch (or batch call) writes its updated rows in place of what an
+earlier attempt of it left, so a batch that is run again doubles nothing.  The
+count of a key is the one of its highest batch.  A window's folder holds a row
+per update of that window, and a query for some windows reads their folders only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 KEY = ("campaign_id", "window_end")
-ROW = "campaign_id string, window_end long, count long, updated_at timestamp, batch_id long"
-COMPACT_EVERY = 50
+ROW = "campaign_id string, count long, updated_at timestamp, window_end long, batch_id long"
 
 
 def upsert_counts(updates: DataFrame, path: str, batch_id: int) -> None:
     """Store the rows of one batch (``campaign_id, count, window_end``)."""
-    out = updates.select(*KEY, "count", F.current_timestamp().alias("updated_at"))
-    out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/log/batch_id={int(batch_id)}")
+    out = updates.select("campaign_id", "count", F.current_timestamp().alias("updated_at"), "window_end",
+                         F.lit(int(batch_id)).cast("long").alias("batch_id"))
+    (out.repartition("window_end").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("window_end", "batch_id").parquet(path))
 
 
-def _numbers(spark: SparkSession, path: str, name: str, complete: bool = False) -> list[int]:
-    """The numbers of the folders ``<name>=<n>`` below ``path`` (with their success mark, if ``complete``)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop(path)):
-        return []
-    found = [str(s.getPath().getName()) for s in fs.listStatus(hadoop(path))]
-    return sorted(int(f.partition("=")[2]) for f in found if f.startswith(f"{name}=")
-                  and (not complete or fs.exists(hadoop(f"{path}/{f}/_SUCCESS"))))
-
-
-def _rows(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """What the table is made of: the newest snapshot (not beyond ``upto``) and the batches after it."""
-    path = path.rstrip("/")
-    shots = [n for n in _numbers(spark, f"{path}/snapshot", "upto", complete=True) if upto is None or n <= upto]
-    after = F.col("batch_id") > (shots[-1] if shots else -1)
-    if upto is not None:
-        after = after & (F.col("batch_id") <= upto)
-    log = spark.read.schema(ROW).parquet(f"{path}/log").where(after)
-    if not shots:
-        return log
-    shot = spark.read.schema(ROW).parquet(f"{path}/snapshot/upto={shots[-1]}").withColumn("batch_id", F.lit(-1).cast("long"))
-    return log.unionByName(shot)
-
-
-def read_latest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    latest = _rows(spark, path, upto).groupBy(*KEY).agg(
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """``campaign_id, window_end, count, updated_at``, one row per key."""
+    latest = spark.read.schema(ROW).parquet(path).groupBy(*KEY).agg(
         F.max_by(F.struct("count", "updated_at"), "batch_id").alias("__r"))
-    return latest.select(*KEY, F.col("__r.count").alias("count"),
-                         F.col("__r.updated_at").alias("updated_at"))
-
-
-def compact(spark: SparkSession, path: str, upto: int) -> None:
-    """Write the table as of batch ``upto`` as a snapshot."""
-    cur = read_latest(spark, path, upto).select(*KEY, "count", "updated_at")
-    cur.write.mode("overwrite").parquet(f"{path.rstrip('/')}/snapshot/upto={int(upto)}")
-
+    return latest.select(*KEY, "__r.count", "__r.updated_at")
 
-def store_stream(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-                 compact_every: int = COMPACT_EVERY):
-    """Run a streaming count into the store (``update`` output mode)."""
-    def put(df: DataFrame, batch_id: int) -> None:
-        upsert_counts(df, path, batch_id)
-        if batch_id and batch_id % compact_every == 0:
-            compact(df.sparkSession, path, batch_id)
 
-    w = (counts.writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint)
-         .foreachBatch(put))
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+def store_stream(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Run a streaming count into the table (``update`` output mode)."""
+    w = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda rows, batch: upsert_counts(rows, path, batch)))
+    return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -221,6 +221,71 @@ def test_trailing_max_is_per_series(spark):
     assert pts(M.trailing_max_sum(s, "r")) == [(0, 6.0)]
 
 
+def test_label_values_with_separators_are_other_series(spark):
+    s = lab(spark, [("r", {"a": "1,b=2"}, 0, 1.0), ("r", {"a": "1", "b": "2"}, 0, 5.0), ("r", {"a": '1","b":"2'}, 0, 10.0)])
+    assert pts(M.trailing_max_sum(s, "r")) == [(0, 16.0)]
+    assert s.select(M.series_key()).distinct().count() == s.select(M.label_text()).distinct().count() == 3
+    none = F.lit(False)
+    named = s.withColumn("labels", F.map_concat("labels", F.create_map(F.lit("job"), F.lit("j"))))
+    terms = dict.fromkeys(("cpu", "memory", "workers", "source", "sink", "usage", "pinned", "capacity"), none) | {"restarts": "r"}
+    import tempfile
+    out = M.export_series(named, "job", terms, tempfile.mkdtemp() + "/partials").where("name = 'numRestarts'").collect()
+    assert [r.value for r in out] == [16.0]
+
+
+def test_spans_share_their_edge(spark):
+    """A series that begins on a span's last second is that span's first series, if it is first in order."""
+    rows = [("m", {"a": "1"}, 10, 100.0)] + [("m", {"a": "2"}, t, float(t)) for t in range(21)]
+    got = dict(pts(M.first_series(lab(spark, rows), span=10)))
+    assert got == {**dict.fromkeys(range(21)), 10: 100.0, 20: 20.0}
+    rows = [("m", {"a": "1"}, 3, 7.0), ("m", {"a": "1"}, 10, None)] + [("m", {"a": "2"}, t, float(t)) for t in range(11, 16)]
+    got = dict(pts(M.first_series(lab(spark, [*rows, ("m", {"a": "0"}, 0, 1.0)]), span=10)))
+    assert got == {**dict.fromkeys(range(16)), 0: 1.0}   # the second span's first series has a null at 10 and no more
+    later = [("m", {"a": "2"}, 0, 1.0), ("m", {"a": "2"}, 10, 2.0), ("m", {"a": "1"}, 10, 3.0), ("m", {"a": "1"}, 12, 4.0)]
+    assert dict(pts(M.first_series(lab(spark, later), span=10)))[10] == 3.0
+
+
+def test_milliseconds_round_up(spark):
+    df = spark.createDataFrame([(0,), (1,), (999,), (1000,), (1001,), (None,)], "ms long")
+    assert [r[0] for r in df.select(M.seconds_up("ms")).collect()] == [0, 1, 1, 1, 2, None]
+
+
+def test_json_documents_parse(spark, tmp_path):
+    """One document per series: its lines in order parse as one JSON text whose count is right; no line is above a chunk."""
+    import glob
+    import json
+    rows = [("x", T0 + i, None if i % 7 == 0 else i / 3) for i in range(500)] + [("y z/é", T0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts long, value double")
+    out = str(tmp_path / "docs")
+    S.write_series_json(df.repartition(5), out, chunk_span=20)
+    docs = {}
+    for folder in glob.glob(f"{out}/series_id=*"):
+        lines = "".join(open(f).read() for f in sorted(glob.glob(f"{folder}/part-*"))).splitlines()
+        assert all(line.count("timestamp") <= 20 for line in lines)
+        docs[folder.rsplit("=")[-1]] = json.loads("".join(lines))
+    assert sorted(d["count"] for d in docs.values()) == [1, 500]
+    assert [(o["timestamp"], o["value"]) for o in docs["x"]["observations"]] == [r[1:] for r in rows[:500]]
+    back = S.read_series_json(spark, out)
+    assert sorted([(r.series_id, r.ts, r.value) for r in back.collect()], key=str) == sorted(rows, key=str)
+    assert {r.series_id: r.n for r in back.groupBy("series_id").agg(F.max("count").alias("n")).collect()} == {"x": 500, "y z/é": 1}
+
+
+def test_a_repeated_insert_doubles_nothing(spark, tmp_dir):
+    table = ProfileTable(spark, f"{tmp_dir}/p")
+    rows = profiles(spark, profile(1, "a"), profile(2, "b"))
+    table.insert(rows, run="r1")
+    table.insert(rows, run="r1")
+    table.insert(profiles(spark, profile(3, "c")), run="r2")
+    assert sorted(r.jobId for r in table.read().collect()) == ["a", "b", "c"]
+    table.delete(spark.createDataFrame([(1,), (3,)], "e int"))
+    table.insert(rows, run="r1")
+    assert sorted(r.jobId for r in table.read().collect()) == ["a", "b"]
+    table.delete([1, 2])
+    assert table.read().count() == 0
+    with pytest.raises(ValueError, match="folder"):
+        table.insert(rows, run="../x")
+
+
 def test_delay_of_one_metric_under_two_label_values(spark):
     op = lambda n: {"operator_name": n}
     s = lab(spark, [("mark", op("src"), 0, 5_000_000.0), ("mark", op("snk"), 0, 2_000_000.0), ("w", {}, 0, 2.0),
@@ -265,6 +330,26 @@ def test_delay(spark):
     assert out == {1: 500.0} or out == {0: None, 1: 500.0}
 
 
+@pytest.mark.parametrize("left_open", [True, False])
+@pytest.mark.parametrize("seconds", [1, 7, 50])
+def test_trailing_max_steps_brute_force(spark, left_open, seconds):
+    """Dense and sparse stretches, nulls, ties, samples on block edges, before and after the grid."""
+    import random
+    rng = random.Random(seconds)
+    at = sorted(rng.sample(range(400), 60) + list(range(100, 130)) + list(range(0, 400, seconds * 4)))
+    vals = {(k, t): rng.choice([None, 0.0, 1.0, 2.0, rng.random() * 3, -1.5]) for k in "ab" for t in set(at) if rng.random() < 0.8}
+    df = spark.createDataFrame([(k, T0 + t, v) for (k, t), v in vals.items()], "k string, ts long, value double")
+    bounds = spark.createDataFrame([("a", T0 + 20, T0 + 380), ("b", T0, T0 + 450)], "k string, start long, end long")
+    got = {(r.k, r.ts - T0): r.value for r in M.trailing_max(df, ["k"], bounds, seconds, left_open).collect()}
+    reach = seconds - 1 if left_open else seconds
+    want = {(k, t): max([v for (o, u), v in vals.items() if o == k and t - reach <= u <= t and v is not None], default=None)
+            for k, lo, hi in (("a", 20, 380), ("b", 0, 450)) for t in range(lo, hi + 1)}
+    assert got == want
+    steps = M.trailing_max_steps(df, ["k"], seconds, left_open).collect()
+    covered = [(s.k, t) for s in steps for t in range(s["first"], s["last"] + 1)]
+    assert len(covered) == len(set(covered))
+
+
 @pytest.mark.parametrize("left_open", [True, False])
 def test_trailing_max_brute_force(spark, left_open):
     rows = [("r", "p%d" % (i % 2), i * 37 % 900, float((i * 7) % 11)) for i in range(200)]
