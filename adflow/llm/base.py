@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,16 +20,39 @@ from adflow.session import scratch_dir
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_to_remove: list[list[str]] = []
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables of operators that are called inside, at the end.
+
+    What they return must be written (or collected) inside.  Outside of such a
+    block the tables stay until whoever owns the shared folder clears it, as
+    results are lazy and read them.
+    """
+    _to_remove.append([])
+    try:
+        yield
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for base in _to_remove.pop():
+            path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(base), True)
+
+
 class Scratch:
     """Tables of one operator run, written below the shared folder of the session.
 
     A written table cuts lineage: a lost executor costs its running tasks only,
-    and ids drawn while writing (``monotonically_increasing_id``) are fixed.
+    and ids drawn while writing (``monotonically_increasing_id``) are fixed.  See
+    :func:`scratch_removed` for when they go.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = scratch_dir(spark, name)
+        if _to_remove:
+            _to_remove[-1].append(self.base)
 
     def write(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         path = f"{self.base}/{name}"

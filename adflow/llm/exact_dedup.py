@@ -14,12 +14,15 @@ written table: what is decided stays there, what is open is the next input.
 
 Defined results: null text counts as the empty text; equality is after
 lower-casing A-Z only; of equal texts the row with the largest id stays (a null
-id is smaller than any; among repeated rows of one id, exactly one stays); an
+id is smaller than any; among repeated rows of one id, exactly one stays: where
+whole rows are asked for, the one whose text and then columns sort last); an
 empty table gives an empty table; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("rid"), sha.alias("rsha"))
     kept = rows.join(classes, F.col("rid").eqNullSafe(F.col("id"))
                      & (F.col("rsha") == F.col("text_sha256")), "left_semi")
-    one = Window.partitionBy("rid", "rsha").orderBy(F.lit(1))  # repeated rows of one id
+    ordered = [text_col, *[f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]]
+    one = Window.partitionBy("rid", "rsha").orderBy(*[F.col("row").getField(c).desc() for c in ordered])  # repeated rows of one id
     return kept.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
 
 

@@ -3,15 +3,15 @@
 Each language has a suffix automaton of a sample of its labelled text.  A text
 is parsed greedily into the longest phrases that occur in that sample; the
 language that needs the fewest phrases wins; a phrase costs the bits of a place
-in the largest sample, whatever the language, so a small sample is not cheap.  The sample is bounded and documented (``PER_LANGUAGE``
-excerpts of ``PER_TEXT`` characters, cut to ``SAMPLE`` bytes): the rows of least
-hash in each language, of which only a few times as many are ever shuffled.  It
-travels with the tasks, which build the automata once per worker.
+in the largest sample, whatever the language, so a small sample is not cheap.
+The sample is bounded and documented (``PER_LANGUAGE`` excerpts of ``PER_TEXT``
+characters, cut to ``SAMPLE`` bytes): the rows of least hash in each language, of
+which only a few times as many are ever shuffled.  It travels with the tasks,
+which build the automata once per worker.
 
 Texts are read whole, in lanes of ``LANE`` bytes; a phrase ends at the end of a
-lane.  All lanes and languages of a batch take a step at a time: the automaton
-is a dense table whose missing steps lead to where the next phrase starts and
-count it, so a step is one lookup.  Nothing is shuffled but the sample.
+lane.  All lanes of a batch take a step at a time, in all languages.  Nothing is
+shuffled but the sample.
 
 Texts are lower-cased, and what is not a letter becomes one blank per run, for
 learning and for prediction alike.
@@ -122,7 +122,13 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The automata of all languages as one table: entry = 2 * row of the next state + 1 if a phrase starts."""
+    """The automata of all languages: entry = 2 * next state + 1 if a phrase starts.
+
+    Most states have one step, along the sample: such a state keeps its symbol and
+    entry, and only the others a row of the table.  States are numbered with the
+    rows first; a state's missing steps are those of its language's first row,
+    which lead to where the next phrase starts and count it.
+    """
 
     def __init__(self, model: Model):
         self.languages = [lang for lang, _ in model]
@@ -130,22 +136,41 @@ class Parser:
         used = sorted({b for _, text in model for b in text})
         self.symbol = np.full(256, len(used), dtype=np.uint8 if len(used) < 255 else np.uint16)
         self.symbol[used] = np.arange(len(used))
-        width = len(used) + 1
-        tables, self.start, at = [], [], 0
-        for _, text in model:
-            steps = suffix_automaton(text)
-            void = at                               # after a byte that the sample lacks, and at the start
-            first = np.full(width, 2 * void * width + 1, dtype=np.int64)
+        self.width = width = len(used) + 1
+        automata = [suffix_automaton(text) for _, text in model]
+        many = [[n for n, s in enumerate(steps) if len(s) != 1] for steps in automata]
+        rows = sum(1 + len(m) for m in many)       # a language's first row is that of no match
+        self.table = np.empty((rows, width), dtype=np.int32)
+        lone_symbol, lone_entry, self.start, row, lone = [], [], [], 0, rows
+        for steps, own in zip(automata, many, strict=True):
+            number = np.full(len(steps), -1, dtype=np.int64)
+            number[own] = row + 1 + np.arange(len(own))
+            single = number < 0
+            number[single] = lone + np.arange(int(single.sum()))
+            first = np.full(width, 2 * row + 1, dtype=np.int32)
             for byte, to in steps[0].items():
-                first[self.symbol[byte]] = 2 * (at + 1 + to) * width + 1
-            table = np.tile(first, (len(steps) + 1, 1))
-            rows = np.repeat(np.arange(1, len(steps) + 1), [len(s) for s in steps])
-            table[rows, self.symbol[[b for s in steps for b in s]]] = [2 * (at + 1 + t) * width for s in steps for t in s.values()]
-            tables.append(table)
-            self.start.append(void * width)
-            at += len(steps) + 1
-        table = np.concatenate(tables).ravel()
-        self.table = table.astype(np.int32) if table.max() < 1 << 31 else table
+                first[self.symbol[byte]] = 2 * number[to] + 1
+            self.table[row:row + 1 + len(own)] = first
+            for n in own:
+                for byte, to in steps[n].items():
+                    self.table[number[n], self.symbol[byte]] = 2 * number[to]
+            step = [next(iter(steps[n].items())) for n in np.flatnonzero(single)]
+            lone_symbol.append(self.symbol[[b for b, _ in step]] if step else np.zeros(0, self.symbol.dtype))
+            lone_entry.append((2 * number[[t for _, t in step]]).astype(np.int32))
+            self.start.append(row)
+            row, lone = row + 1 + len(own), lone + len(step)
+        self.rows, self.table = rows, self.table.ravel()
+        self.lone_symbol = np.concatenate([*lone_symbol, np.zeros(1, self.symbol.dtype)])
+        self.lone_entry = np.concatenate([*lone_entry, np.zeros(1, np.int32)])
+
+    def steps(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The entries that ``symbols`` lead to from ``state`` (languages x lanes)."""
+        lone = state - np.int32(self.rows)
+        single = lone >= 0
+        first = np.array(self.start, np.int32)[:, None]
+        to = self.table[np.where(single, first, state) * self.width + symbols]
+        np.maximum(lone, 0, out=lone)
+        return np.where(single & (self.lone_symbol[lone] == symbols), self.lone_entry[lone], to)
 
     def phrases(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases per language and text."""
@@ -165,10 +190,10 @@ class Parser:
             for lane, (b, k) in enumerate(zip(begin[part], n, strict=True)):
                 at[:k, lane] = symbols[b:b + k]
             running = len(part) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")
-            state = np.repeat(np.array(self.start, dtype=self.table.dtype)[:, None], len(part), axis=1)
+            state = np.repeat(np.array(self.start, dtype=np.int32)[:, None], len(part), axis=1)
             found = np.zeros(state.shape, dtype=np.int32)
             for step, active in enumerate(running):
-                to = self.table[state[:, :active] + at[step, :active]]
+                to = self.steps(state[:, :active], at[step, :active])
                 found[:, :active] += to & 1
                 state[:, :active] = to >> 1
             for k in range(len(self.languages)):

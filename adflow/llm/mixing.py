@@ -6,7 +6,8 @@ rate is what the source's target share of the output needs:
 the inverse of the Poisson distribution at a uniform number hashed from the
 seed and the document, so a rerun (or a lost task) draws the same copies.  A
 rate above ``PART`` is split into equal parts with a draw each; sums of Poisson
-draws are Poisson, and no table of the distribution grows long.
+draws are Poisson, and no table of the distribution grows long.  A row's work is
+one digest a part, and one row a copy; arrays hold ``RUN`` of either.
 
 One aggregation gives the sources' sizes; one equi-join brings each row its
 source's distribution (a hot source is a skewed probe side, which adaptive
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from adflow.llm.base import Scratch, with_outputs
 
 PART = 16.0   # largest mean of one draw
+RUN = 4096    # parts, and copies, that one array holds
 SEED = 20240601
 
 
@@ -71,17 +73,25 @@ def mix_sources(docs: DataFrame, shares: dict[str, float] | None = None, epochs:
                 id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` plus ``copy`` (from 1) and ``shuffle_key``, in the order of the key per partition."""
     rates = source_rates(docs, source_col, text_col, shares, epochs)
-    rates = (rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
+    rates = (rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("long"))
              .withColumn("cdf", poisson_table(F.col("rate") / F.col("parts")))
              .select(F.col("source").alias("of"), "parts", "cdf"))
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.col(text_col)), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("src"), name.alias("name"))
     rows = rows.join(rates, F.col("src").eqNullSafe(F.col("of")))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.col("us")[j - 1]))
-    us = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(seed), j, F.col("name")))
-    rows = rows.withColumn("us", us).withColumn(
-        "n", F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + draw(j)))
-    rows = rows.where("n > 0").select("row", "name", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
+    zero = F.lit(0).cast("long")
+    # one digest a part: it is the element that the sum goes over, so no reader of it repeats it
+    among = lambda first, last: F.aggregate(
+        F.transform(F.sequence(first, last), lambda j: uniform(F.lit(seed), j, F.col("name"))), zero,
+        lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    drawn = F.aggregate(F.sequence(zero, F.expr(f"(parts - 1) div {RUN}")), zero,
+                        lambda n, k: n + among(k * RUN + 1, F.least((k + 1) * RUN, F.col("parts"))))
+    # a generator keeps the count out of filters and join conditions
+    rows = rows.select("row", "name", F.explode(F.array(drawn)).alias("n"))
+    rows = rows.select("row", "name", "n", F.explode(F.sequence(zero, F.expr(f"(n - 1) div {RUN}"))).alias("run"))
+    copies = F.array_repeat(F.lit(True), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN).cast("int"))
+    rows = rows.select("row", "name", "run", F.posexplode(copies).alias("at", "one"))
+    rows = rows.select("row", "name", (F.col("run") * RUN + F.col("at") + 1).cast("int").alias("nth"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.lit("order"), F.col("nth").cast("string"),
                             F.col("name")).cast("binary"))
     rows = rows.select("row", "nth", key.alias("key")).repartition("key").sortWithinPartitions("key")

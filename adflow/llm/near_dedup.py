@@ -14,10 +14,11 @@ holds several components, texts of different ones could be linked other than
 through the hub.  These texts get ``FINE`` registers more; registers (a byte
 each) are compared inside the tasks, in blocks of ``BLOCK`` texts, and only
 pairs whose registers allow the similarity (within ``SIGMAS`` standard
-deviations) are emitted, in the first bucket that they share, and verified.  A
-bucket above ``BLOCK`` texts is first split by every second bucket that its
-texts share.  At similarity 0.8 two texts miss one another with probability
-about 1e-4 (below 1e-3 if all that they share are such large buckets).
+deviations) are emitted, in the first bucket that they share, and verified.  The
+texts of mixed buckets above ``BLOCK`` texts are dealt anew, by ``SPLIT`` bands of
+their finer registers; what is still large is compared block by block all the
+same.  At similarity 0.8 two texts miss one another with probability about 1e-4,
+of which the second deal makes less than 1e-5, whatever the sizes of the buckets.
 
 Copies of a text are one node (by a 128-bit hash of the text), so they are
 collapsed before any shuffle of pairs; verification reads the whole texts.
@@ -47,6 +48,7 @@ RUNS = 1 << 19    # arrivals drawn at a time
 FINE = 768        # registers of the texts that are compared without a hub
 SIGMAS = 4.0      # by which the registers may fall short of the similarity
 BLOCK = 2048      # texts of a bucket whose registers are compared at a time
+SPLIT = 64, 8     # bands and rows, out of the finer registers, for the texts of larger buckets
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -189,6 +191,21 @@ def finer_marks(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select("node", "text"), run, "node long, fine binary")
 
 
+def split_keys(texts: DataFrame) -> DataFrame:
+    """``node, keys``: bucket keys from bands of the finer registers of ``texts(node, text)``."""
+    bands, rows = SPLIT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in stretches(byte_sizes(batch.column(1))):
+                part = batch.slice(start, stop - start)
+                first = prob_minhash(*weighted_runs(part.column(1)), stop - start, FINE)
+                keys = band_keys(first[:, :bands * rows], bands, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "keys"])
+
+    return arrow_map(texts.select("node", "text"), run, "node long, keys array<long>")
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of ``placed(key, band, node, label)`` whose bucket holds several labels, with its size ``n``."""
     mixed = (placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -223,11 +240,10 @@ def _possible(open_: DataFrame, marks: DataFrame, similarity: float) -> DataFram
     """``u, v`` (u < v): texts of different labels in a bucket of ``open_`` whose registers allow the similarity.
 
     A bucket of n texts is cut into blocks; every two blocks meet in one group of at most two blocks of rows.
-    ``marks`` holds the keys of each text, too: a pair is emitted in the first band whose bucket it shares
-    here (``band`` below 0: in every bucket).
+    ``marks`` holds the keys of each text (of at most 64 bands), too: a pair is emitted in the first band
+    whose bucket it shares here.
     """
-    bit = F.when(F.col("band") >= 0, F.expr("shiftleft(1L, band)")).otherwise(F.lit(0).cast("long"))
-    marks = open_.groupBy("node").agg(F.bit_or(bit).alias("bands")).join(marks.hint("merge"), "node")
+    marks = open_.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands")).join(marks.hint("merge"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
@@ -262,7 +278,7 @@ def _possible(open_: DataFrame, marks: DataFrame, similarity: float) -> DataFram
                 one, two = (at, at) if i[start] == j[start] else (at[own[at] == i[start]], at[own[at] == j[start]])
                 if len(one) and len(two):
                     a, b = _alike(byte, fine, label, one, two, similarity)
-                    if band[start] >= 0 and len(a):
+                    if len(a):
                         shared = keys[a] == keys[b]   # a bucket that both share is here for both or for none
                         shared &= ((bands[a] & bands[b])[:, None] >> np.arange(shared.shape[1]) & 1).astype(bool)
                         first = shared.argmax(axis=1) == band[start]
@@ -312,11 +328,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = _possible(open_.where(F.col("n") <= BLOCK), marks, similarity)
     large = open_.where(F.col("n") > BLOCK)
     if not large.isEmpty():
-        keys = large.groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))   # at most a key a band
-        finer = (keys.select("node", "label", "keys", F.posexplode("keys").alias("i", "x"))
-                 .select("node", "label", "x", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("y"))
-                 .select(F.xxhash64("x", "y").alias("key"), F.lit(-1).alias("band"), "node", "label"))
-        rest = rest.unionByName(_possible(scratch.write(_mixed(finer), "finer"), marks, similarity))
+        whole = large.select("node", "label").distinct()
+        split = split_keys(texts.join(whole.select("node").hint("merge"), "node", "left_semi"))
+        split = scratch.write(split, "split")
+        finer = (split.join(whole.hint("merge"), "node").select("node", "label", F.posexplode("keys").alias("band", "key")))
+        rest = rest.unionByName(_possible(scratch.write(_mixed(finer), "finer"),
+                                          marks.drop("keys").join(split.hint("merge"), "node"), similarity))
     rest = scratch.write(rest.distinct().join(verified.select("u", "v"), ["u", "v"], "left_anti"), "possible")
     more = scratch.write(verify(rest, texts), "rest").where(F.col("similarity") >= similarity).select("u", "v")
     if not more.isEmpty():

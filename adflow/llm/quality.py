@@ -199,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, table: np.ndarr
     share = min(1.0, 1.2 * SAMPLE / max(usable.agg(F.approx_count_distinct(id_col)).first()[0], 1))
     named = (usable.where(early(F.xxhash64(id_col), share)).groupBy(id_col).agg(F.avg(label_col).alias("__label"))
              .orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE))
-    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(named), id_col).dropDuplicates([id_col])
+    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(named), id_col)
+    rows = rows.groupBy(id_col, "__label").agg(F.max("__text").alias("__text"))   # of an id's texts, the one that sorts last
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,6 +36,23 @@ def test_phrases_equal_a_brute_force_parse(monkeypatch):
             assert found[k, t] == sum(brute_phrases(text[at:at + 64], own) for at in range(0, len(text), 64))
 
 
+def test_many_languages_are_small():
+    """100 samples of full size: a few MB a language, and all of them parsed at once."""
+    rng = random.Random(14)
+    model = []
+    for k in range(100):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzàâçèéêëîïôùûüÿæœßäöåøñ", 30)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+        text = " ".join(words[min(int(rng.expovariate(0.02)), 399)] for _ in range(6000))
+        model.append((f"l{k:03d}", text.encode()[:langid.SAMPLE]))
+    own = langid.Parser(tuple(model))
+    assert own.table.dtype == own.lone_entry.dtype == "int32"
+    assert own.table.nbytes + own.lone_entry.nbytes + own.lone_symbol.nbytes < 100 * 5_000_000
+    text = pa.array([model[37][1][5000:9000].decode("utf-8", "ignore")])
+    found = own.phrases(*langid.normalise(text))
+    assert int(found[:, 0].argmin()) == 37 and found[37, 0] <= 6
+
+
 def test_normalise_keeps_letters_and_single_blanks():
     data, ends = langid.normalise(pa.array(["Ab1,, C", None, "..É"]))
     assert [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] == [b"ab c", b"", " é".encode()]

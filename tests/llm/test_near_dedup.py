@@ -77,7 +77,7 @@ def test_one_run_fills_all_registers():
 
 @pytest.mark.parametrize("block", [2048, 5])
 def test_classes_equal_brute_force(spark, monkeypatch, block):
-    """With blocks of five texts, buckets are split by a second bucket and compared block by block."""
+    """With blocks of five texts, most buckets are dealt anew by finer registers and compared block by block."""
     monkeypatch.setattr(near, "BLOCK", block)
     rng = random.Random(9)
     rows = awkward(rng)
@@ -102,6 +102,28 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert hashes
 
 
+def test_pairs_that_share_one_large_bucket_only(spark):
+    """The texts of one large bucket, dealt anew, meet as they do in the whole bucket."""
+    rng = random.Random(19)
+    rows, base = [], prose(rng, 300).split()
+    for i in range(60):   # a cloud: all in one bucket, most of them not alike, and twins of 0.9 among them
+        other = prose(rng, 300).split()
+        text = base[:200] + other[:40 + i]
+        rows += [(2 * i, " ".join(text), "aa", "s"), (2 * i + 1, " ".join([*text[:-2], "zz"]), "aa", "s")]
+    open_ = spark.createDataFrame([(7, 0, n, n, len(rows)) for n in range(len(rows))], "key long, band int, node long, label long, n long")
+    texts = spark.createDataFrame([(n, r[1]) for n, r in enumerate(rows)], "node long, text string")
+    fine = near.finer_marks(texts)
+    first = near.prob_minhash(*near.weighted_runs(pa.array([r[1] for r in rows])), len(rows), 192) >> np.uint64(56)
+    marks = spark.createDataFrame([(n, bytearray(m.astype(np.uint8).tobytes()), [7]) for n, m in enumerate(first)],
+                                  "node long, marks binary, keys array<long>").join(fine, "node")
+    whole = {tuple(r) for r in near._possible(open_, marks, 0.8).collect()}
+    split = near.split_keys(texts)
+    finer = split.select("node", F.col("node").alias("label"), F.posexplode("keys").alias("band", "key"))
+    met = {tuple(r) for r in near._possible(near._mixed(finer), marks.drop("keys").join(split, "node"), 0.8).collect()}
+    alike = {(u, v) for u, v in whole if exact(runs(rows[u][1]), runs(rows[v][1])) >= 0.8}
+    assert len(alike) >= 60 and alike <= met
+
+
 def test_dedup_keeps_one_row_of_each_class(spark):
     rng = random.Random(10)
     base = prose(rng, 80)
