@@ -39,6 +39,17 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in out[4]) == Counter(r["doc_id"] for r in out[3])
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["lang_found", "_lang_found", "lang_score", "_lang_score", "row", "rid", "copy", "shuffle_key", "key", "node"]
+    rng = random.Random(23)
+    docs = documents(spark, [(i, prose(rng, 60), "aa", "s") for i in range(12)], clash=names)
+    scratch = Scratch(spark, "clash")
+    for name, stage in C.STAGES[:4]:
+        docs = scratch.write(stage(spark, docs, ""), name)
+        assert docs.columns[-len(names):] == names
+        assert {r[n] for r in docs.collect() for n in names} <= {"x"} and (docs.count() == 12 or name == "mix_sources")
+
+
 def test_run_and_an_empty_table(spark, tmp_path):
     got = C.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "source", "ids"] and got.count() > 0

@@ -97,6 +97,17 @@ def test_mix_bears_awkward_rows(spark):
     assert mixing.mix_sources(docs, {}).where("n_chars > 0").count() == 0
 
 
+def test_a_source_of_one_character_is_drawn_a_million_times(spark):
+    """Rates far above a part: as many copies as the rate, numbered from 1, of the same documents on a rerun."""
+    rows = [(1, "x", "aa", "tiny")] + [(10 + i, "y" * 100_000, "aa", "big") for i in range(20)]
+    mixed = mixing.mix_sources(documents(spark, rows)).select("doc_id", "copy")
+    tiny = mixed.where("doc_id = 1")
+    n, low, high, distinct = tiny.selectExpr("count(*)", "min(copy)", "max(copy)", "count(DISTINCT copy)").first()
+    assert abs(n - 1_000_000) < 6_000 and (low, high, distinct) == (1, n, n)
+    plan = mixing.mix_sources(documents(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2   # a draw, and the key of a copy
+
+
 # -- chats -------------------------------------------------------------------------------------
 
 def talk(spark, rows):
