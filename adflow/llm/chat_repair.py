@@ -338,3 +338,64 @@ def repair_report(conversations: DataFrame, **how) -> DataFrame:
         *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in longs],
         F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
         F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+#: crc32 by a table made of its polynomial; then the cheapest repair by a recursion over turns and states
+ORACLE = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+              ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+damaged AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(s, ''), lambda ch: ord(ch)::BIGINT),
+                            lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS k FROM keyed, crc),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM damaged WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS seen FROM turns),
+faulty AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS c,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+inserted(q, r, cost, audit, lines) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+         (0, 2, 5, 'I', 'user:'), (1, 2, 5, 'I', 'user:'), (3, 2, 5, 'I', 'user:'), (2, 3, 5, 'I', 'assistant:'),
+         (0, 3, 10, 'II', E'user:\nassistant:'), (1, 3, 10, 'II', E'user:\nassistant:')),
+after(q, c, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves AS (   -- of each turn, from each state: where it leads, what it costs and writes
+  SELECT conv_id, i, q, q AS r, 2 AS cost, 'D' AS audit, '' AS line FROM faulty, (VALUES (0), (1), (2), (3)) s(q)
+  UNION ALL
+  SELECT conv_id, i, q, r, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'K', role || ':' || text
+  FROM faulty JOIN after USING (c) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, q, r, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R', CASE r WHEN 3 THEN 'assistant:' ELSE 'user:' END || text
+  FROM faulty, (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) s(q, r) WHERE fault NOT IN ('blank', 'duplicate')),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, r AS q, {'cost': cost, 'audit': audit, 'lines': lines} AS w FROM counted, inserted WHERE inserted.q = 0
+  UNION ALL
+  SELECT conv_id, i, q, w FROM (
+    SELECT b.conv_id, m.i, x.r AS q,
+           {'cost': b.w.cost + m.cost + x.cost, 'audit': b.w.audit || m.audit || x.audit,
+            'lines': array_to_string(list_filter([b.w.lines, m.line, x.lines], lambda p: p <> ''), E'\n')} AS w
+    FROM best b JOIN moves m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1 AND m.q = b.q JOIN inserted x ON x.q = m.r) z
+  QUALIFY row_number() OVER (PARTITION BY conv_id, i, q ORDER BY w.cost, w.audit) = 1),
+repaired AS (
+  SELECT conv_id, arg_min(w, {'cost': w.cost, 'audit': w.audit}) AS w
+  FROM (SELECT b.* FROM best b JOIN counted n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.n = b.i WHERE q IN (0, 3)) e GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0)::BIGINT AS cost,
+       coalesce(w.audit, '') AS audit, sha256(coalesce(w.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -91,5 +91,6 @@ ORACLE: dict[str, str] = {
     "op6_url_filter": url_filter.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_chat_repair": chat_repair.ORACLE,
     "op13_decontamination": decontaminate.ORACLE,
 }
