@@ -75,7 +75,9 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
-    """The decoded, enriched events as they come."""
+    """The decoded, enriched events as they come; the folder may be empty yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     return _kind(spark, path, "event", EVENT, options, True)
 
 

@@ -1,6 +1,7 @@
 """Session join in bounded state, hot ads dealt out, campaigns read anew, dead letters, traces, supervision."""
 
 import os
+import signal
 import threading
 import time
 
@@ -257,6 +258,48 @@ def test_staged_job_over_restarts(spark, tmp_path, join, aggregate, kind):
         assert any("c3" in v for v in want) and I.malformed(spark, staged).count() == 1
 
 
+@pytest.mark.parametrize("staged", [True, False])
+def test_the_program_until_it_is_told_to_stop(spark, tmp_path, staged):
+    """Both forms of the program from its arguments: it writes its messages, and a signal removes the checkpoints."""
+    from adflow.sources.campaigns import save_campaigns
+    from adflow.streaming import job
+    wire, camps, out, ck = (str(tmp_path / n) for n in ("wire", "camps", "out", "ck"))
+    dim = spark.createDataFrame([("a", "c1")], "ad_id string, campaign_id string")
+    if staged:
+        add_campaigns(dim, camps, 0)
+    else:
+        save_campaigns(dim, camps)
+    wire_file(spark, wire, 0, [("a", 0, "view"), ("a", 1, "view"), ("x", 2, "view")])
+    for n, ms in enumerate(FLUSH):
+        wire_file(spark, wire, 1 + n, [("a", (ms - BASE) // 1000, "view")])
+    argv = ["job", "host:1", "in", "out", "500", "tumbling", "10000", "false", "true", "--campaigns", camps, "--checkpoint", ck,
+            "--source-files", wire, "--sink", "batches", "--sink-path", out, *(["--staged", str(tmp_path / "staged")] if staged else [])]
+
+    def written():
+        try:
+            return sorted(r.value for r in spark.read.text(out).collect() if "window: 189" not in r.value)
+        except Exception:  # noqa: BLE001  nothing there yet
+            return []
+
+    def stop_when_done():
+        until = time.time() + 90
+        while time.time() < until and len(written()) < 2:
+            time.sleep(1)
+        os.kill(os.getpid(), signal.SIGTERM)
+
+    before = {n: signal.getsignal(n) for n in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        signal.signal(signal.SIGTERM, signal.SIG_IGN)
+        threading.Thread(target=stop_when_done).start()
+        job.main(argv)
+    finally:
+        for n, handler in before.items():
+            signal.signal(n, handler)
+    end = BASE - BASE % 10_000 + 10_000
+    assert written() == [f"{{campaign_id: UNKNOWN, count: 1, window: {end}}}", f"{{campaign_id: c1, count: 2, window: {end}}}"]
+    assert not os.path.exists(f"{ck}/ingest" if staged else ck) and not os.path.exists(f"{ck}/windows")
+
+
 def test_joined_counts_of_enriched_events(spark):
     rows = [("a", "c1", "view", 0), ("a", "c2", "view", 1), ("a", "c2", "view", 2), ("a", "c1", "click", 3), ("a", "c2", "click", 4),
             ("b", "c1", "view", 0), ("c", "c1", "click", 0)]
