@@ -43,6 +43,7 @@ from adflow.llm.base import Scratch, arrow_map, partitions
 
 PIECE = 512                # turns solved at a time
 PIECE_CHARS = 1 << 22      # characters of text in a piece; a longer turn is one alone
+ROWS = 256                 # pieces that go out together
 STATES = range(4)          # 0 nothing yet, 1 after s, 2 after u, 3 after a
 AFTER = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
 FINAL = (0, 3)
@@ -144,8 +145,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, most_chars: int) -> It
     faults: list[str] = []
     chars = 0
 
-    def piece(whole: bool) -> pa.RecordBatch:
-        nonlocal seq, turns, faults, chars, opened
+    out: list[dict] = []
+    held = 0                       # characters in ``out``
+
+    def piece(whole: bool) -> None:
+        nonlocal seq, turns, faults, chars, opened, held
         initials = [t["role"][:1] for t in turns]
         items = list(zip(initials, faults, strict=True))
         chart = []
@@ -155,25 +159,31 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, most_chars: int) -> It
         row = {"conv_id": now[0], "part": part, "seq": seq, "whole": whole, "first": initials[0], "last": initials[-1],
                "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:], strict=False)),
                "chart": chart, "turns": turns, **{f: faults.count(f) for f in ("blank", "duplicate", "truncated")}}
+        out.append(row)
+        held += chars
         seq, turns, faults, chars, opened = seq + 1, [], [], 0, True
-        return pa.RecordBatch.from_pylist([row], _PIECES)
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "again", "copies")]
         for conv, role, text, again, copies in zip(*columns, strict=True):
             if now != (conv,):
                 if turns:
-                    yield piece(whole=begun and not opened)
+                    piece(whole=begun and not opened)
                 begun, opened, now = now is not None, False, (conv,)
             fault = _fault(text)
             for copy in range(copies):
                 if turns and (len(turns) >= most or chars + len(text) > most_chars):
-                    yield piece(whole=False)
+                    piece(whole=False)
+                if len(out) >= ROWS or held > most_chars:
+                    yield pa.RecordBatch.from_pylist(out, _PIECES)
+                    out, held = [], 0
                 turns.append({"role": role, "text": text})
                 faults.append("duplicate" if fault != "blank" and (again or copy) else fault)
                 chars += len(text)
     if turns:   # the next task may go on with it
-        yield piece(whole=False)
+        piece(whole=False)
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _PIECES)
 
 
 CHAIN = ("conv_id long, part int, seq long, start int, cost long, audit string, "
