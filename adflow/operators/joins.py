@@ -90,6 +90,25 @@ def _tagged_union(views: DataFrame, clicks: DataFrame) -> DataFrame:
     return v.unionByName(c)
 
 
+def session_join_grouped(views: DataFrame, clicks: DataFrame, gap_ms: int) -> DataFrame:
+    """The literal plan: one row per ad and session with its views and clicks as lists, then two explodes.
+
+    For checks on small input: a row holds a whole session.
+    """
+    sessions = _tagged_union(views, clicks).groupBy(
+        "ad_id", F.session_window("event_time", f"{gap_ms} milliseconds").alias("window")
+    ).agg(
+        F.collect_list(F.when(F.col("is_view"), F.col("campaign_id"))).alias("__v"),
+        F.collect_list(F.when(~F.col("is_view"), F.col("ts"))).alias("__c"),
+    )
+    pairs = (
+        sessions.where((F.size("__v") > 0) & (F.size("__c") > 0))
+        .select("ad_id", "window", F.explode("__v").alias("campaign_id"), "__c")
+        .select("campaign_id", "ad_id", F.explode("__c").alias("ts_clicked"), "window")
+    )
+    return _pair_time(pairs)
+
+
 def session_join_stream(views: DataFrame, clicks: DataFrame, gap_ms: int) -> DataFrame:
     """Stream form: open sessions in map state of bounded rows (:mod:`adflow.streaming.session_pairs`)."""
     from adflow.streaming.session_pairs import session_pairs
