@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -61,16 +60,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver's collector meets them; a driver with little to
-    collect would keep the files of a written table's plan for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship_code(spark: SparkSession) -> None:
     """Let Spark hand this package to the executors, once per application."""
     sc = spark.sparkContext
