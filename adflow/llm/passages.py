@@ -12,8 +12,8 @@ such leader, any other is matched with the leader that agrees best (in ``AGREE``
 words at least) and becomes a leader itself.  So a passage in very many texts
 gives as many matches as places, not their square, and texts put together from
 sentences that occur elsewhere still meet one another: their words beside the
-seed are not those of the other holders.  A seed with very many leaders is first
-split by four words next to it that agree, where it has more than ``DIRECT``.
+seed are not those of the other holders.  The leaders of a seed that has more than
+``DIRECT`` are compared as well, all of them, in squares that are dealt over tasks.
 
 Equal texts stand for one another: a task seeds the first of them only, and
 pairs of texts are brought to the first of their copies before they are aligned;
@@ -61,7 +61,8 @@ NEAR = 4           # words by which an extension may shift
 SIDE = 6           # words on either side of a seed that are compared where equal seeds meet
 AGREE, LIKE = 5, 11  # of these words: as many as a match needs, and as make it as good as any
 ROUNDS = 12        # leaders of a seed that are compared with all seeds of a batch at once
-DIRECT = 2048      # leaders of a seed that are all compared
+DIRECT = 2048      # leaders of a seed that are compared where its places meet; those of more in squares
+SQUARE = 8192      # places and leaders of a square
 DROP = 8           # an extension ends so far below its best score
 
 
@@ -304,24 +305,36 @@ def _agree(sides: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return ((a == sides[other]) & (a != 0)).sum(axis=1)
 
 
-def _all_leaders(node: np.ndarray, sides: np.ndarray, best: np.ndarray, to: np.ndarray, rows: np.ndarray) -> None:
-    """For each of ``rows`` (of one seed, in order): the first row before it that agrees in ``LIKE`` words, or the best one."""
-    for at in range(0, len(rows), 128):
-        some, before = rows[at:at + 128], rows[:at + 128]
-        count = ((sides[some][:, None] == sides[before][None]) & (sides[some][:, None] != 0)).sum(axis=2)
-        count[(np.arange(len(before))[None] >= at + np.arange(len(some))[:, None]) | (node[some][:, None] == node[before][None])] = 0
-        like = count >= LIKE
-        pick = np.where(like.any(axis=1), like.argmax(axis=1), count.argmax(axis=1))
-        found = count[np.arange(len(some)), pick]
-        better = found > best[some]
-        best[some[better]], to[some[better]] = found[better], before[pick[better]]
-
-
-def meet(seed: np.ndarray, node: np.ndarray, sides: np.ndarray, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray]:
-    """Matches (row numbers) of places sorted by seed: at most one a place, with a leader."""
+def _best_leaders(node: np.ndarray, sides: np.ndarray, leader_node: np.ndarray, leader_sides: np.ndarray,
+                  earlier: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the first leader that agrees in ``LIKE`` words, or else the first of those that agree best:
+    the words that agree (``LIKE`` at most) and the leader's number.  ``earlier``: places and leaders are the same
+    rows, and a place meets those before it only."""
+    words, found = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+    columns = np.ascontiguousarray(leader_sides.T)
+    for at in range(0, len(node), 128):
+        some = sides[at:at + 128]
+        upto = min(at + 128, len(leader_node)) if earlier else len(leader_node)
+        count = np.zeros((len(some), upto), np.uint8)
+        for k, column in enumerate(columns):
+            equal = some[:, k, None] == column[None, :upto]
+            equal[some[:, k] == 0] = False
+            count += equal
+        count[node[at:at + 128, None] == leader_node[None, :upto]] = 0
+        if earlier:
+            count[np.arange(upto)[None] >= at + np.arange(len(some))[:, None]] = 0
+        np.minimum(count, LIKE, out=count)
+        pick = count.argmax(axis=1)
+        words[at:at + 128], found[at:at + 128] = count[np.arange(len(some)), pick], pick
+    return words, found
+
+
+def _met(seed: np.ndarray, node: np.ndarray, sides: np.ndarray, direct: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Per place, sorted by seed, the words that agree with its best leader and that leader's row; the places of each
+    seed with more than ``direct`` leaders, which have met ``ROUNDS`` leaders only."""
     n = len(seed)
     best, to = np.zeros(n, np.int64), np.full(n, -1)
-    rows = np.arange(n)
+    rows, large = np.arange(n), []
     for _ in range(ROUNDS):
         if len(rows) < 2:
             break
@@ -338,45 +351,142 @@ def meet(seed: np.ndarray, node: np.ndarray, sides: np.ndarray, direct: int = DI
             rows = rows[~alone]
     if len(rows):
         for some in np.split(rows, np.flatnonzero(np.diff(seed[rows])) + 1):
-            if len(some) <= direct:
-                _all_leaders(node, sides, best, to, some)
+            if len(some) > direct:
+                large.append(some)
                 continue
-            for quarter in np.ascontiguousarray(sides[some]).view(np.uint32).T:
-                order = np.argsort(quarter, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(quarter[order])) + 1):
-                    for at in range(0, len(part), direct):   # each stretch with the first of all as well
-                        _all_leaders(node, sides, best, to, some[np.concatenate([part[:1], part[at:at + direct]]) if at else part[:direct]])
+            words, found = _best_leaders(node[some], sides[some], node[some], sides[some], True)
+            better = words > best[some]
+            best[some[better]], to[some[better]] = words[better], some[found[better]]
+    return best, to, large
+
+
+def meet(seed: np.ndarray, node: np.ndarray, sides: np.ndarray, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray]:
+    """Matches (row numbers) of places sorted by seed: at most one a place, with a leader.
+
+    All leaders of a seed are compared, those of more than ``direct`` square by square.
+    """
+    best, to, large = _met(seed, node, sides, direct)
+    for some in large:
+        for i in range(0, len(some), direct):
+            for j in range(0, i + 1, direct):
+                one, other = some[i:i + direct], some[j:j + direct]
+                words, found = _best_leaders(node[one], sides[one], node[other], sides[other], i == j)
+                better = words > best[one]   # squares come in the leaders' order, so the first of equals stays
+                best[one[better]], to[one[better]] = words[better], other[found[better]]
     hit = np.flatnonzero(best >= AGREE)
     return hit, to[hit]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places sorted by seed -> matches ``u, v, here, there``."""
-    def matches(table: pa.Table) -> pa.RecordBatch:
-        seed, node, near, far = (table.column(c).to_numpy() for c in ("seed", "u", "near", "far"))
-        some = np.zeros(len(seed), bool)
-        some[1:] = seed[1:] == seed[:-1]
-        some[:-1] |= some[1:]
-        seed, node, near, far = seed[some], node[some], near[some], far[some]
-        sides = np.concatenate([far[:, None].view(np.uint8), (near & 0xFFFFFFFF).astype(np.uint32)[:, None].view(np.uint8)], axis=1)
-        a, b = meet(seed, node, sides) if len(seed) else (np.zeros(0, np.int64),) * 2
-        swap = node[a] < node[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        place = (near >> 32).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(place[a]), pa.array(place[b])],
-                                          ["u", "v", "here", "there"])
+def _sides(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    return np.concatenate([far[:, None].view(np.uint8), (near & 0xFFFFFFFF).astype(np.uint32)[:, None].view(np.uint8)], axis=1)
 
+
+def _matches(u: np.ndarray, v: np.ndarray, here: np.ndarray, there: np.ndarray) -> list[pa.Array]:
+    """The columns ``u, v, here, there`` of matches: the later text first."""
+    swap = u < v
+    return [pa.array(c) for c in (np.where(swap, v, u), np.where(swap, u, v), np.where(swap, there, here).astype(np.int32),
+                                  np.where(swap, here, there).astype(np.int32))]
+
+
+def _same_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups by the first ``keys`` columns, by which the rows arrive sorted."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:   # up to the last seed of the batch, which may go on
-        seed = batch.column(0).to_numpy()
-        at = int(np.searchsorted(seed, seed[-1])) if len(seed) else 0
-        if at or (held and len(seed) and held[-1].column(0)[-1].as_py() != seed[0]):
-            yield matches(pa.Table.from_batches([*held, batch.slice(0, at)]))
+    for batch in batches:   # up to the last group of the batch, which may go on
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)], axis=1)
+        other = np.flatnonzero((values != values[-1]).any(axis=1))
+        at = int(other[-1]) + 1 if len(other) else 0
+        if at or (held and any(held[-1].column(c)[-1].as_py() != values[0, c] for c in range(keys))):
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
             held = []
-        if batch.num_rows > at:
-            held.append(batch.slice(at))
+        held.append(batch.slice(at))
     if held:
-        yield matches(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+LEFT = ["seed", "n", "places", "near", "far", "words"]   # of a place that has not met all leaders of its seed
+
+
+def _meet(direct: int):
+    """Places sorted by seed -> matches ``u, v, here, there``; a place of a seed with more than ``direct`` leaders comes
+    with the best it has met so far (``v`` null: nothing) and with the columns ``LEFT``, which are null in matches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _same_key(batches, 1):
+            seed, node, near, far = (table.column(c).to_numpy() for c in ("seed", "u", "near", "far"))
+            some = np.zeros(len(seed), bool)
+            some[1:] = seed[1:] == seed[:-1]
+            some[:-1] |= some[1:]
+            seed, node, near, far = seed[some], node[some], near[some], far[some]
+            if not len(seed):
+                continue
+            best, to, large = _met(seed, node, _sides(near, far), direct)
+            place = near >> 32
+            done = best >= AGREE
+            for rows in large:
+                done[rows] = False
+            a = np.flatnonzero(done)
+            b = to[a]
+            yield pa.RecordBatch.from_arrays([*_matches(node[a], node[b], place[a], place[b]),
+                                              *[pa.nulls(len(a), pa.int64())] * len(LEFT)], ["u", "v", "here", "there", *LEFT])
+            for rows in large:
+                none = to[rows] < 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[rows]), pa.array(node[to[rows]], mask=none), pa.array(place[rows].astype(np.int32)),
+                     pa.array(place[to[rows]].astype(np.int32), mask=none), pa.array(seed[rows]), pa.array(np.arange(len(rows))),
+                     pa.array(np.full(len(rows), len(rows))), pa.array(near[rows]), pa.array(far[rows]), pa.array(best[rows])],
+                    ["u", "v", "here", "there", *LEFT])
+    return run
+
+
+def _square(side: int):
+    """The places of squares ``seed, i, j``, sorted by their number ``n`` in the seed -> per place of block ``i``
+    the best leader of block ``j``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _same_key(batches, 3):
+            columns = [table.column(c).to_numpy() for c in ("seed", "i", "j", "n", "u", "near", "far")]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True):
+                seed, i, j, n, u, near, far = (c[a:b] for c in columns)
+                sides, block = _sides(near, far), n // side
+                one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                if not len(one) or not len(other):
+                    continue
+                words, found = _best_leaders(u[one], sides[one], u[other], sides[other], bool(i[0] == j[0]))
+                hit = words >= AGREE
+                one, other, words = one[hit], other[found[hit]], words[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (seed[one], n[one], u[one], near[one] >> 32, words, -n[other], u[other], near[other] >> 32)],
+                    ["seed", "n", "u", "here", "words", "order", "v", "there"])
+    return run
+
+
+def all_matches(places: DataFrame, scratch: Scratch, direct: int = DIRECT, side: int = SQUARE) -> DataFrame:
+    """``u, v, here, there``: each of ``places(seed, u, near, far)`` with its best leader, of all that its seed has.
+
+    Seeds with more than ``direct`` leaders are dealt over squares of ``side`` places by ``side`` leaders.
+    """
+    col = F.col
+    met = arrow_map(places.repartition("seed").sortWithinPartitions("seed", "u", "near"), _meet(direct),
+                    "u long, v long, here int, there int, " + ", ".join(f"{c} long" for c in LEFT))
+    met = scratch.write(met, "matches")
+    matches, left = met.where("seed IS NULL").select("u", "v", "here", "there"), met.where("seed IS NOT NULL")
+    if left.isEmpty():
+        return matches
+    block = F.floor(col("n") / side)
+    dealt = (left.select("seed", "n", "u", "near", "far", block.alias("block"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((col("places") - 1) / side))).alias("with"))
+             .select("seed", F.greatest("block", "with").alias("i"), F.least("block", "with").alias("j"), "n", "u", "near", "far"))
+    met = arrow_map(dealt.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", "n"), _square(side),
+                    "seed long, n long, u long, here long, words long, order long, v long, there long")
+    # what a place met in the rounds stands before all that are left
+    met = met.unionByName(left.where(col("words") >= AGREE).select("seed", "n", "u", col("here").cast("long").alias("here"), "words",
+                                                                   F.lit(1).cast("long").alias("order"), "v", col("there").cast("long").alias("there")))
+    best = met.groupBy("seed", "n").agg(F.max(F.struct("words", "order", "u", "here", "v", "there")).alias("m")).select("m.*")
+    later = col("u") > col("v")
+    return matches.unionByName(best.select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.when(later, col("here")).otherwise(col("there")).cast("int").alias("here"),
+        F.when(later, col("there")).otherwise(col("here")).cast("int").alias("there")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -465,7 +575,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                            .select("uid", "id", "a", "b", col("first.uid").alias("of"), col("first.id").alias("hub_doc_id")), "copies")
 
     places = seeds(rows.select("uid", "a", "text"), "text", min_words)
-    matches = arrow_map(places.repartition("seed").sortWithinPartitions("seed", "u", "near"), _meet, "u long, v long, here int, there int")
+    matches = all_matches(places, scratch)
     chained = arrow_map(matches.repartition("u").sortWithinPartitions("u", "v", "there", "here"), _chain, CHAINS)
     chained = scratch.write(chained, "chains")
     first = copies.where("uid <> of").select("uid", "of")

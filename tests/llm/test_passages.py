@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from adflow.llm import passages as P
+from adflow.llm.base import Scratch
 from adflow.llm.words import word_hashes
 
 from .tables import awkward, documents, prose
@@ -172,6 +173,46 @@ def test_leaders_of_a_seed(monkeypatch):
         assert len(twins & got) >= (0.97 if direct > 2 * n else 0.9) * len(twins) and len(got - twins) <= 6
 
 
+def crowded(rng, n):
+    """Places of two seeds with ``n`` leaders and as many twins each: a twin agrees in two words of every quarter only."""
+    seed = np.repeat([4, 5, 6], [2 * n, 3, 2 * n])
+    sides = rng.integers(1, 256, (len(seed), 2 * P.SIDE), dtype=np.uint8)
+    twins = set()
+    for base in (0, 2 * n + 3):
+        sides[base + n:base + 2 * n] = sides[base:base + n]
+        for at in range(0, 2 * P.SIDE, 4):
+            sides[base + n:base + 2 * n, at:at + 2] = 0
+        twins |= {(base + n + i, base + i) for i in range(n)}
+    return seed, sides, twins
+
+
+def test_leaders_beyond_the_direct_ones_are_all_compared():
+    seed, sides, twins = crowded(np.random.default_rng(31), 400)
+    node = np.arange(len(seed))
+    whole = [m.tolist() for m in P.meet(seed, node, sides, len(seed))]
+    for direct in (7, 100):
+        a, b = P.meet(seed, node, sides, direct)
+        assert [a.tolist(), b.tolist()] == whole
+        assert twins <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_squares_of_leaders_give_what_one_task_gives(spark):
+    seed, sides, _ = crowded(np.random.default_rng(32), 150)
+    sides[20:30] = sides[19]                 # a family
+    sides[100:110, :6] = sides[99, :6]       # alike on one side only
+    node = np.arange(len(seed)) // 2         # two places a text
+    near = np.arange(len(seed)) << 32 | np.ascontiguousarray(sides[:, 8:]).view(np.uint32)[:, 0].astype(np.int64)
+    far = np.ascontiguousarray(sides[:, :8]).view(np.int64)[:, 0]
+    places = spark.createDataFrame(list(zip(seed.tolist(), node.tolist(), near.tolist(), far.tolist(), strict=True)),
+                                   "seed long, u long, near long, far long")
+    a, b = P.meet(seed, node, sides, len(seed))
+    want = sorted((node[i], node[j], i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert len(want) > 250
+    for direct, side in ((1000, 10), (20, 16), (20, 1000), (50, 150)):
+        got = P.all_matches(places, Scratch(spark, "squares"), direct, side).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
 def test_a_family_is_a_star():
     """Places that agree beside the seed all meet its first one."""
     sides = np.full((50, 2 * P.SIDE), 7, np.uint8)
