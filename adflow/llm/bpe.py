@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,11 @@ UNSURE = regex.compile(r" (?:\s|\Z)")
 SLICE = 1 << 20        # characters of text that are split into words at a time
 CACHED = 200_000       # encoded words that a worker keeps of late, and as many from before
 MEMO = 1_000_000       # seams, and steps of the automaton, that a worker keeps
-BATCH = 1024           # rows that are encoded or decoded at a time
+BATCH = 1024           # rows that are decoded at a time
+LOOKED_UP = 2048       # rows whose equal pieces are looked up once
+GATHERED = 1 << 16     # pieces whose ids are gathered at a time
 LEARNT = 50_000        # new words that are put into one trie
+MARKS = frozenset(punctuation)   # of ASCII
 LATIN = "ɏ"       # beyond, Unicode versions differ and the library's pre-tokeniser splits
 
 
@@ -60,6 +64,14 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def gathered(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the elements of runs ``codes`` (each of ``sizes`` from ``starts`` on) lie, and where each run ends up."""
+    size = sizes[codes]
+    upto = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum(size, out=upto[1:])
+    return np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], size), upto
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file of the ``tokenizers`` library."""
 
@@ -96,6 +108,7 @@ class Vocabulary:
         self.first: dict[str, bytes] = {}   # words at the start of a slice -> ids as int32 bytes
         self.after: dict[str, bytes] = {}   # words after one blank, without it -> the same
         self.before: dict[str, bytes] = {}  # what ``after`` held when it was full
+        self.words: dict[str, bytes] = {}   # words of pieces of several -> the same
         self._library = None
         self.flat: np.ndarray | None = None
 
@@ -163,7 +176,7 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Give back what only the texts of one task need: the worker process outlives it."""
-        for cache in (self.first, self.after, self.before, self.seams):
+        for cache in (self.first, self.after, self.before, self.words, self.seams):
             cache.clear()
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -246,19 +259,45 @@ class Vocabulary:
                 start = cut.start() if cut else -1
 
     def _learn(self, pieces: set[str], cache: dict[str, bytes], blank: str) -> None:
-        whole, split = [], []
+        """Fill ``cache`` with the ids of ``pieces`` behind ``blank``; words that are known from other pieces stay as they are."""
+        whole, marked, split = [], [], []
         for p in pieces:
-            if p.isalpha() and (p.isascii() or max(p) <= LATIN):
-                whole.append(p)
+            if p.isalpha():
+                latin = p.isascii() or max(p) <= LATIN
+                (whole if latin else split).append(p)
+            elif p[-1:] in MARKS and p[:-1].isalpha() and (p.isascii() or max(p) <= LATIN):
+                marked.append(p)      # letters and one mark: two words
             else:
-                split.append((p, self.split_words(blank + p)))
-        words = {w for _, ws in split for w in ws}
-        words.update([blank + p for p in whole])
-        ids = self.encode_words(words)
+                split.append(p)
+        parts = [(p, self.split_words(blank + p)) for p in split]
+        after, before, words = self.after, self.before, self.words
+        known: dict[str, bytes] = {}
+        new: set[str] = set()
+        for w in {w for _, ws in parts for w in ws}.union([blank + p[:-1] for p in marked], [p[-1] for p in marked]):
+            ids = words.get(w)
+            if ids is None and w[0] == " " and w[1:].isalpha():
+                ids = after.get(w[1:]) or before.get(w[1:])
+            if ids is None:
+                new.add(w)
+            else:
+                known[w] = ids
+        fresh = []
         for p in whole:
-            cache[p] = ids[blank + p]
-        for p, ws in split:
-            cache[p] = b"".join([ids[w] for w in ws])
+            w = blank + p
+            ids = known.get(w) or words.get(w)
+            if ids is None:
+                fresh.append((p, w))
+            else:
+                cache[p] = ids
+        learnt = self.encode_words(new.union([w for _, w in fresh]))
+        for p, w in fresh:
+            cache[p] = learnt[w]
+        for w in new:
+            known[w] = words[w] = learnt[w]
+        for p in marked:
+            cache[p] = known[blank + p[:-1]] + known[p[-1]]
+        for p, ws in parts:
+            cache[p] = b"".join([known[w] for w in ws])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32; the new words of many texts share a trie."""
@@ -285,12 +324,53 @@ class Vocabulary:
                                          self.first[words[0]] + b"".join(map(self.after.__getitem__, words[1:]))
                                          for words in slices]))
                 pending, first, after = [], set(), set()
-                if len(self.first) > CACHED:
-                    self.first.clear()
-                if len(self.after) > CACHED:
-                    self.before, self.after = self.after, {}
+                self._drop()
         return out
 
+    def _drop(self) -> None:
+        if len(self.first) > CACHED:
+            self.first.clear()
+        if len(self.words) > CACHED // 2:
+            self.words.clear()
+        if len(self.after) > CACHED:
+            self.before, self.after = self.after, {}
+
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, null as empty.  Equal pieces of a batch are looked up once and their ids gathered;
+        texts with special tokens, blanks in a row or more than a slice go through :meth:`encode_batch`."""
+        texts = pc.fill_null(texts, "")
+        other = np.zeros(len(texts), bool)
+        for token in self.special:
+            other |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        names = texts.to_pylist()
+        other |= np.fromiter((len(t) > SLICE or UNSURE.search(t) is not None for t in names), bool, len(names))
+        odd = np.flatnonzero(other)
+        if len(odd):
+            rest = self.encode_batch([names[i] for i in odd])
+            texts = pc.if_else(pa.array(other), "", texts)
+        pieces = pc.split_pattern(texts, " ")
+        ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        self.after.update([(p, self.before[p]) for p in known if p not in self.after and p in self.before])
+        self._learn({p for p in known if p not in self.after}, self.after, " ")
+        ids = list(map(self.after.__getitem__, known))
+        first = ["" if o else t.partition(" ")[0] for t, o in zip(names, other.tolist(), strict=True)]
+        self._learn(set(first).difference(self.first), self.first, "")
+        codes[ends[:-1]] = len(ids) + np.arange(len(first))   # the first piece of a text has no blank before it
+        ids += map(self.first.__getitem__, first)
+        if len(odd):
+            for i, held in zip(odd.tolist(), rest, strict=True):
+                ids[len(known) + i] = held
+        self._drop()
+        flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        upto = np.concatenate([[0], np.cumsum(sizes[codes])])[ends]
+        some = range(0, len(codes), GATHERED)
+        values = np.concatenate([flat[:0], *[flat[gathered(starts, sizes, codes[at:at + GATHERED])[0]] for at in some]])
+        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values, pa.int32()))
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -300,10 +380,7 @@ class Vocabulary:
             self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
             self.lengths = np.array(self.sizes, dtype=np.int64)
             self.starts = np.cumsum(self.lengths) - self.lengths
-        sizes = self.lengths[ids]
-        upto = np.zeros(len(ids) + 1, dtype=np.int64)
-        np.cumsum(sizes, out=upto[1:])
-        place = np.arange(upto[-1]) + np.repeat(self.starts[ids] - upto[:-1], sizes)
+        place, upto = gathered(self.starts, self.lengths, ids)
         cuts = upto[ends]
         texts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(cuts), pa.py_buffer(self.flat[place]))
         try:
@@ -318,18 +395,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _lists(values: list[bytes]) -> pa.ListArray:
-    flat = np.frombuffer(b"".join(values), dtype=np.int32)
-    ends = np.zeros(len(values) + 1, dtype=np.int64)
-    np.cumsum([len(v) // 4 for v in values], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
-
-
-def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``BATCH`` rows."""
+def _some_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``most`` rows."""
     for batch in batches:
-        for start in range(0, batch.num_rows, BATCH):
-            yield batch.slice(start, BATCH)
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
 
 
 def _replaced(batch: pa.RecordBatch, keep: list[str], name: str, column: pa.Array) -> pa.RecordBatch:
@@ -348,9 +418,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         try:
-            for batch in _some_rows(batches):
-                ids = own.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
-                yield _replaced(batch, keep, ids_col, _lists(ids))
+            for batch in _some_rows(batches, LOOKED_UP):
+                yield _replaced(batch, keep, ids_col, own.encode_array(batch.column(text_col)))
         finally:
             own.forget()
 
@@ -363,7 +432,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in _some_rows(batches):
+        for batch in _some_rows(batches, BATCH):
             lists = batch.column(ids_col)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])

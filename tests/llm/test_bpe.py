@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,6 +39,30 @@ def test_random_letters_and_one_long_word(library):
         assert ids(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_batches_of_texts_of_all_kinds(library, monkeypatch):
+    rng = random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", "a", "the", "The", "ing", "'s", "1", "é", "日本", "\u00a0", "!", ",", "$$$", "<|endoftext|>", "ation.\nIn"]
+    texts = [None, "", " ", "x"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["one two, two. " * 20 + "end"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for cached in (bpe.CACHED, 50):
+        monkeypatch.setattr(bpe, "CACHED", cached)
+        own = bpe.Vocabulary(BPE_FILE)
+        array = pa.array(["cut", *texts])[1:]
+        got = [i for at in range(0, len(texts), 300) for i in own.encode_array(array.slice(at, 300)).to_pylist()]
+        assert got == want
+    assert own.encode_array(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_word_is_encoded_once_whatever_stands_after_it(monkeypatch):
+    own, asked = bpe.Vocabulary(BPE_FILE), []
+    encode_words = own.encode_words
+    monkeypatch.setattr(own, "encode_words", lambda words: encode_words([asked.append(w) or w for w in words]))
+    own.encode_batch(["so tallow tallow, tallow. (tallow) tallow!\nTallow"])
+    own.encode_batch(["so tallow; tallow... tallow?"])
+    assert asked.count(" tallow") == 1 and len(asked) == len(set(asked))
+
+
 def test_slices_of_a_long_text(library, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 50)
     text = "some words  and blanks \n here, there. " * 40
