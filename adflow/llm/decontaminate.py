@@ -360,7 +360,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", mos
     row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     found = matches(row, items, "text", **how)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where(F.coalesce(covered / F.col("n_words"), F.lit(0.0)) <= most_coverage)
+    kept = found.where(F.coalesce(F.try_divide(covered, F.col("n_words")), F.lit(0.0)) <= most_coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
