@@ -1,7 +1,7 @@
 """Registered queries of the streaming operators over the test tables, with the DuckDB oracles of their batch forms.
 
-A streamed query replays the events table in a few files of ascending time,
-then two rows years later that close every window, and runs to the end of them.
+A streamed query replays the events table in a few parts of ascending time,
+then rows of two instants years later that close every window, and runs to the end of them.
 """
 
 from __future__ import annotations
@@ -30,16 +30,25 @@ DELAY_MS = 1_000
 
 
 def replayed(spark, events: DataFrame) -> DataFrame:
-    """``events(ad_id, ts, et, event_time)`` as a stream, one file a micro-batch, in order of time."""
+    """``events(ad_id, ts, et, event_time)`` as a stream, a part of their time a micro-batch, in order of time.
+
+    A part lies in as many files as a micro-batch reads: each has a view of no ad
+    beside its events, at the part's first instant, so that none is missing.
+    """
     folder = scratch_dir(spark, "replay")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     width = (high - low) // FILES + 1 if low is not None else 1
-    flush = spark.sql(" UNION ALL ".join(f"SELECT 'flush' AS ad_id, unix_millis(TIMESTAMP'{d}') AS ts, 'view' AS et" for d in FLUSH))
-    last = [flush.where(F.col("ts") == F.unix_millis(F.lit(d).cast("timestamp"))) for d in FLUSH]
-    parts = [events.where(F.floor((F.col("ts") - low) / width) == n).select("ad_id", "ts", "et") for n in range(FILES if low is not None else 0)]
-    for part in [*parts, *last]:
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("ad_id string, ts long, et string").option("maxFilesPerTrigger", 1).parquet(folder)
+    nothing = events.select("ad_id", "ts", "et").where(F.lit(False))
+    parts = [(low + n * width, events.where(F.floor((F.col("ts") - low) / width) == n).select("ad_id", "ts", "et"))
+             for n in range(FILES if low is not None else 0)]
+    last = [(spark.sql(f"SELECT unix_millis(TIMESTAMP'{d}')").first()[0], nothing) for d in FLUSH]
+    for begin, part in [*parts, *last]:
+        own = spark.range(files).select(F.lit("flush").alias("ad_id"), F.lit(begin).cast("long").alias("ts"), F.lit("view").alias("et"),
+                                        F.col("id").cast("int").alias("file"))
+        dealt = part.withColumn("file", F.pmod(F.xxhash64("ad_id", "ts", "et"), F.lit(files)).cast("int"))
+        dealt.unionByName(own).repartitionById(files, "file").drop("file").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("ad_id string, ts long, et string").option("maxFilesPerTrigger", files).parquet(folder)
     return stream.withColumn("event_time", F.timestamp_millis("ts"))
 
 

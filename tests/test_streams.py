@@ -429,3 +429,45 @@ def test_session_pairs_needs_no_import_on_workers(spark):
     data = cloudpickle.dumps(_processor(1000, 8, 8))
     assert b"adflow.streaming.session_pairs" not in data or pickle.loads(data)
     assert session_pairs
+
+
+def test_session_pairs_of_many_ads_share_state_rows(spark, tmp_path):
+    """3 000 ads of a few events: their clicks lie in a row a group of ads, and the pairs are those of the batch form."""
+    from adflow.streaming.session_pairs import GROUPS
+    use_rocksdb(spark)
+    gap, folder, ck = 1000, str(tmp_path / "in"), str(tmp_path / "ck")
+    rows = [(f"a{i}", BASE + (i * 37) % 1000 + k * (700 + 300 * (i % 3)), "click" if (i + k) % 2 else "view")
+            for i in range(3000) for k in range(4)]
+    put(folder, 0, rows)
+
+    ev = stream(spark, folder).withWatermark("event_time", f"{state_delay(5000, gap)} milliseconds")
+    assert run(window_join(*sides(ev), "session", gap), "many_open", ck).count() == 0
+    held = spark.read.format("statestore").option("stateVarName", "clicks").load(ck)
+    assert held.agg(F.sum(F.length("user_map_value.ts"))).first()[0] == 6000 * 8 and held.count() <= GROUPS
+    flush(folder, 1)
+    ev = stream(spark, folder).withWatermark("event_time", f"{state_delay(5000, gap)} milliseconds")
+    out = str(tmp_path / "out")
+    q = (window_join(*sides(ev), "session", gap).writeStream.option("checkpointLocation", ck)
+         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert q.exception() is None
+    flat = spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.timestamp_millis("ts"))
+    want = pairs(session_join_bucketed(*sides(flat), gap))
+    assert pairs(spark.read.parquet(out)) == want and len(want) > 3000
+    for name in ("open", "views", "clicks"):
+        assert {r[0] for r in spark.read.format("statestore").option("stateVarName", name).load(ck).select("key.ads").distinct().collect()} <= \
+            {r[0] for r in spark.sql(f"SELECT pmod(xxhash64('flush'), {GROUPS})").collect()}
+
+
+def test_replay_has_a_part_of_time_in_each_micro_batch(spark, tmp_path):
+    """Every part lies in several files, even of a few events, and all of one micro-batch are of one part."""
+    from adflow.plans.stream_queries import replayed, stream_session
+    own = stream_session(spark)
+    files = int(own.conf.get("spark.sql.shuffle.partitions"))
+    flat = own.createDataFrame([(f"a{i}", BASE + i * 1000, "click") for i in range(40)], SCHEMA).withColumn("event_time", F.timestamp_millis("ts"))
+    seen = []
+    q = (replayed(own, flat).writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+         .foreachBatch(lambda df, n: seen.append((len(df.inputFiles()), sorted(r.ts for r in df.where("ad_id <> 'flush'").collect())))).start())
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert files > 1 and [s[1] for s in seen] == [[BASE + i * 1000 for i in range(20)], [BASE + i * 1000 for i in range(20, 40)], [], []]
